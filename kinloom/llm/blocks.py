@@ -31,27 +31,29 @@ BLOCK_TOKENS = 3_000_000
 def _block(number: int, ids: list, flags: list, parts: list, seen: Ids, shards: int) -> Iterator[tuple]:
     words = list(seen)
     shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.int64, len(words))
-    order = np.argsort(shard, kind="stable")
-    rank = np.empty(len(words), np.uint32)
-    rank[order] = np.arange(len(words), dtype=np.uint32)
-    tokens = rank[np.concatenate(parts)] if len(words) else np.zeros(0, np.uint32)
+    tokens = np.concatenate(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    held = np.repeat(np.array(flags, bool), lengths)
     all_n = np.bincount(tokens, minlength=len(words))
-    used_n = np.bincount(tokens[held], minlength=len(words))
+    used_n = np.bincount(tokens[np.repeat(np.array(flags, bool), lengths)], minlength=len(words))
+    # by shard, frequent words first: a token is its shard and a mostly small place in it, which pack well byte by byte
+    order = np.lexsort((-all_n, shard))
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    yield number, -1, pack(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), lengths, bounds.astype(np.int64), tokens)
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words)) - bounds[shard[order]]
+    planes = [plane for x, n in ((shard[tokens], 2), (place[tokens], 4)) for plane in (x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, b] for b in range(n))]
+    yield number, -1, pack(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), lengths, bounds.astype(np.int64), *planes)
+    all_n, used_n = all_n[order], used_n[order]
     for s in range(shards):
         a, b = bounds[s], bounds[s + 1]
         if a < b:
-            yield number, s, pack(*join_words([words[i] for i in order[a:b].tolist()]), all_n[a:b].astype(np.int64), used_n[a:b].astype(np.int64))
+            yield number, s, pack(*join_words([words[i] for i in order[a:b].tolist()]), all_n[a:b].astype(np.uint32), used_n[a:b].astype(np.uint32))
 
 
 def cut(docs: DataFrame, split: Callable[[str | None], list[bytes]], used: Callable[[object], bool] | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(block, shard, data) of documents (doc_id, text), checkpointed. Shard -1 has a block's documents as
-    (ids, null ids, lengths, bounds of shards, tokens); the others have a vocabulary's part as
+    (ids, null ids, lengths, bounds of shards, tokens' shards and places by byte); the others have a vocabulary's part as
     (lengths, bytes, tokens in all, tokens in documents whose id passes used())."""
-    shards = shuffle_partitions(docs.sparkSession)
+    shards = min(shuffle_partitions(docs.sparkSession), 1 << 16)
 
     def run(it):
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -87,7 +89,7 @@ def shard_words(data: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.nd
     """Distinct words of a shard, each block's places in them, and their two counts over all blocks."""
     seen, places, all_n, used_n = Ids(), [], [], []
     for blob in data:
-        lengths, raw, a, u = unpack(blob, np.uint32, np.uint8, np.int64, np.int64)
+        lengths, raw, a, u = unpack(blob, np.uint32, np.uint8, np.uint32, np.uint32)
         words = cut_words(lengths, raw)
         places.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
         all_n.append(a)
@@ -114,7 +116,9 @@ def join_back(blocks: DataFrame, answers: DataFrame, work: Callable[..., pd.Data
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return work([], np.zeros(0, np.int64), np.zeros(0, np.uint32), [])
-        ids, null, lengths, _, tokens = unpack(left["data"].iloc[0], np.int64, np.uint8, np.int64, np.int64, np.uint32)
+        ids, null, lengths, bounds, *planes = unpack(left["data"].iloc[0], np.int64, np.uint8, np.int64, np.int64, *[np.uint8] * 6)
+        shard = planes[0] + (planes[1].astype(np.int64) << 8)
+        tokens = bounds[shard] + sum(p.astype(np.int64) << 8 * b for b, p in enumerate(planes[2:]))
         return work([None if n else i for i, n in zip(ids.tolist(), null)], lengths, tokens, [right["data"].iloc[i] for i in np.argsort(right["shard"].to_numpy())])
 
     return blocks.filter("shard < 0").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, ddl)
