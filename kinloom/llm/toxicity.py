@@ -2,7 +2,8 @@
 
 A word is the mean of the embeddings of its hashed character n-grams and of itself; a window is the mean of its words; two
 classes are told apart by a linear softmax over it, so a misspelt word shares most of its vectors with the word meant.
-A text's score is that of its most toxic window of WINDOW words, so that a few words in a very long text count. In training,
+A text's bag holds each of its words once, in order of first use, and its score is that of the most toxic window of WINDOW of
+them: a few words in a very long text count, and a harmless word doesn't add up by being repeated. In training,
 a text stands for its windows at first and for its most toxic window in later rounds.
 
 The fit takes at most SAMPLE labelled texts of each class (by a hash of the id) of at most SAMPLE_CHARS characters each.
@@ -21,7 +22,7 @@ from . import grams
 from .common import Ids, tokens
 
 BUCKETS, SIZES, DIM = 1 << 16, (3, 4, 5), 8
-WINDOW, STEP = 16, 8
+WINDOW, STEP = 8, 4
 SAMPLE, SAMPLE_CHARS = 2_500, 60_000
 THRESHOLD = 0.3
 
@@ -32,6 +33,12 @@ def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(start + WINDOW, n)
 
 
+def bag(text: str | None, seen: Ids) -> np.ndarray:
+    """Numbers of a text's distinct words in order of first use."""
+    words = dict.fromkeys(tokens(text))
+    return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+
+
 class Model:
     """Per-bucket logits (embedding times the softmax's direction), and the bias."""
 
@@ -48,12 +55,12 @@ class Model:
         return out
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 6, epochs: int = 2, seed: int = 1) -> Model:
+def fit(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 2, seed: int = 1) -> Model:
     labels = np.array(labels)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), -1e4)
     rng, seen = np.random.default_rng(seed), Ids()
-    parts = [np.fromiter(map(seen.__getitem__, w := tokens(t)), np.int64, len(w)) for t in texts]
+    parts = [bag(t, seen) for t in texts]
     words = list(seen)
     at, of = grams.hashed(words, SIZES, BUCKETS)
     first = np.searchsorted(of_sorted := of[order := np.argsort(of, kind="stable")], np.arange(len(words) + 1))
@@ -139,9 +146,8 @@ def score(text: Column, model: Model) -> Column:
     def scored(x: pa.Array) -> pa.Array:
         out, parts, seen, n = [], [], Ids(), 0
         for t in x:
-            w = tokens(t.as_py())
-            parts.append(np.fromiter(map(seen.__getitem__, w), np.int64, len(w)))
-            n += len(w)
+            parts.append(bag(t.as_py(), seen))
+            n += len(parts[-1])
             if n >= 300_000:
                 out += model.score(parts, list(seen))
                 parts, seen, n = [], Ids(), 0
