@@ -61,9 +61,12 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 
 def unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
+    """The arrays of pack(); the dtype after an ellipsis is that of all further ones."""
     raw = zstandard.ZstdDecompressor().decompress(bytes(blob))
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     sizes = np.frombuffer(raw, np.int64, n, 8)
+    if ... in dtypes:
+        dtypes = (*dtypes[:-2], *[dtypes[-1]] * (n - len(dtypes) + 2))
     at, out = 8 * (n + 1), []
     for size, dtype in zip(sizes, dtypes, strict=True):
         out.append(np.frombuffer(raw, dtype, int(size) // np.dtype(dtype).itemsize, at))

@@ -37,5 +37,29 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_quality_rules, op5_toxicity, op10_secret_scans)}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    # the same vocabulary as byte_bpe_50k.json, as ranks
+    ranks = packing.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(crc_mod(F.col("doc_id"), 5) != 0))
+    told = docs.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), langid.predict(F.col("text"), model).alias("told"))
+    return told.select("doc_id", "held_out", F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score"))
+
+
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    vectors = ann.valid(table(spark, sf_dir, "embeddings"))
+    return ann.search(ann.index(vectors), vectors.filter("vec_id % 20 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_quality_rules, op5_toxicity, op7_language_id, op8_hnsw, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
