@@ -45,6 +45,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -61,5 +67,5 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.index(vectors), vectors.filter("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_quality_rules, op5_toxicity, op7_language_id, op8_hnsw, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_quality_rules, op5_toxicity, op6_minhash, op7_language_id, op8_hnsw, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
