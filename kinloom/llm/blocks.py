@@ -25,7 +25,7 @@ from .common import Ids, checkpoint, cut_words, join_words, pack, shuffle_partit
 SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
 DDL = "block long, shard int, data binary"
 #: A block is closed at so many tokens (it holds one document more at most).
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 
 
 def _block(number: int, ids: list, flags: list, parts: list, seen: Ids, shards: int) -> Iterator[tuple]:

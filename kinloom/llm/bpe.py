@@ -90,8 +90,8 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
 
     @F.arrow_udf("binary")
     def joined(x: pa.Array) -> pa.Array:
-        flat, ends = x.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(x.value_lengths().fill_null(0).to_numpy()).tolist()
-        return pa.array([None if m else b"".join(map(table.__getitem__, flat[a:b])) for a, b, m in zip([0, *ends], ends, x.is_null().to_pylist())], pa.binary())
+        flat, ends = x.flatten().to_numpy(zero_copy_only=False), np.cumsum(x.value_lengths().fill_null(0).to_numpy()).tolist()
+        return pa.array([None if m else b"".join(map(table.__getitem__, flat[a:b].tolist())) for a, b, m in zip([0, *ends], ends, x.is_null().to_pylist())], pa.binary())
 
     return joined(ids)
 
