@@ -28,9 +28,10 @@ DDL = "block long, shard int, data binary"
 BLOCK_TOKENS = 1_500_000
 
 
-def _block(number: int, ids: list, flags: list, parts: list, seen: Ids, shards: int) -> Iterator[tuple]:
+def _block(number: int, ids: list, flags: list, parts: list, seen: Ids, shards: int, hashed: bool) -> Iterator[tuple]:
     words = list(seen)
-    shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.int64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    shard = (hashes % np.uint64(shards)).astype(np.int64)
     tokens = np.concatenate(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     all_n = np.bincount(tokens, minlength=len(words))
@@ -41,7 +42,7 @@ def _block(number: int, ids: list, flags: list, parts: list, seen: Ids, shards:
     place = np.empty(len(words), np.int64)
     place[order] = np.arange(len(words)) - bounds[shard[order]]
     planes = [plane for x, n in ((shard[tokens], 2), (place[tokens], 4)) for plane in (x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, b] for b in range(n))]
-    yield number, -1, pack(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), lengths, bounds.astype(np.int64), *planes)
+    yield number, -1, pack(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), lengths, bounds.astype(np.int64), *planes, np.array(flags, np.uint8), hashes[order] if hashed else hashes[:0])
     all_n, used_n = all_n[order], used_n[order]
     for s in range(shards):
         a, b = bounds[s], bounds[s + 1]
@@ -49,9 +50,9 @@ def _block(number: int, ids: list, flags: list, parts: list, seen: Ids, shards:
             yield number, s, pack(*join_words([words[i] for i in order[a:b].tolist()]), all_n[a:b].astype(np.uint32), used_n[a:b].astype(np.uint32))
 
 
-def cut(docs: DataFrame, split: Callable[[str | None], list[bytes]], used: Callable[[object], bool] | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def cut(docs: DataFrame, split: Callable[[str | None], list[bytes]], used: Callable[[object], bool] | None = None, block_tokens: int = BLOCK_TOKENS, hashed: bool = False) -> DataFrame:
     """(block, shard, data) of documents (doc_id, text), checkpointed. Shard -1 has a block's documents as
-    (ids, null ids, lengths, bounds of shards, tokens' shards and places by byte); the others have a vocabulary's part as
+    (ids, null ids, lengths, bounds of shards, tokens' shards and places by byte, what used() said, hashes of the vocabulary if hashed); the others have a vocabulary's part as
     (lengths, bytes, tokens in all, tokens in documents whose id passes used())."""
     shards = min(shuffle_partitions(docs.sparkSession), 1 << 16)
 
@@ -69,11 +70,11 @@ def cut(docs: DataFrame, split: Callable[[str | None], list[bytes]], used: Calla
                     flags.append(used is None or used(doc_id))
                     n += len(words)
                     if n >= block_tokens or len(ids) >= block_tokens // 4:
-                        yield from _block(number, ids, flags, parts, seen, shards)
+                        yield from _block(number, ids, flags, parts, seen, shards, hashed)
                         number, n = number + 1, 0
                         ids, flags, parts, seen = [], [], [], Ids()
             if ids:
-                yield from _block(number, ids, flags, parts, seen, shards)
+                yield from _block(number, ids, flags, parts, seen, shards, hashed)
 
         for row in rows():
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SCHEMA)], schema=SCHEMA)
@@ -81,6 +82,14 @@ def cut(docs: DataFrame, split: Callable[[str | None], list[bytes]], used: Calla
     return checkpoint(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DDL))
 
 
+def open_block(data: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's ids, None where null, lengths, tokens, what used() said of each document, and hashes of the vocabulary."""
+    ids, null, lengths, bounds, *planes, flags, hashes = unpack(data, np.int64, np.uint8, np.int64, np.int64, *[np.uint8] * 7, np.uint64)
+    shard = planes[0] + (planes[1].astype(np.int64) << 8)
+    tokens = bounds[shard] + sum(p.astype(np.int64) << 8 * b for b, p in enumerate(planes[2:]))
+    return [None if n else i for i, n in zip(ids.tolist(), null)], lengths, tokens, flags.astype(bool), hashes
+
+
 def vocabulary(blocks: DataFrame) -> DataFrame:
     return blocks.filter("shard >= 0")
 
@@ -111,14 +120,13 @@ def per_shard(blocks: DataFrame, work: Callable[[list[bytes], np.ndarray, np.nda
 
 
 def join_back(blocks: DataFrame, answers: DataFrame, work: Callable[..., pd.DataFrame], ddl: str) -> DataFrame:
-    """Each block with the answers of its shards in order: work(ids, lengths, tokens, answers), ids None where null."""
+    """Each block with the answers of its shards in order: work(ids, lengths, tokens, answers), and the hashes of the vocabulary if cut() kept them."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return work([], np.zeros(0, np.int64), np.zeros(0, np.uint32), [])
-        ids, null, lengths, bounds, *planes = unpack(left["data"].iloc[0], np.int64, np.uint8, np.int64, np.int64, *[np.uint8] * 6)
-        shard = planes[0] + (planes[1].astype(np.int64) << 8)
-        tokens = bounds[shard] + sum(p.astype(np.int64) << 8 * b for b, p in enumerate(planes[2:]))
-        return work([None if n else i for i, n in zip(ids.tolist(), null)], lengths, tokens, [right["data"].iloc[i] for i in np.argsort(right["shard"].to_numpy())])
+        ids, lengths, tokens, _, hashes = open_block(left["data"].iloc[0])
+        more = (hashes,) if len(hashes) else ()
+        return work(ids, lengths, tokens, [right["data"].iloc[i] for i in np.argsort(right["shard"].to_numpy())], *more)
 
     return blocks.filter("shard < 0").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, ddl)

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -67,5 +73,5 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.index(vectors), vectors.filter("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_quality_rules, op5_toxicity, op6_minhash, op7_language_id, op8_hnsw, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_byte_bpe, op3_packing, op4_quality_rules, op5_toxicity, op6_minhash, op7_language_id, op8_hnsw, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
