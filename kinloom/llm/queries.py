@@ -37,6 +37,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -73,5 +79,5 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.index(vectors), vectors.filter("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_byte_bpe, op3_packing, op4_quality_rules, op5_toxicity, op6_minhash, op7_language_id, op8_hnsw, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_byte_bpe, op3_packing, op4_quality_rules, op5_toxicity, op6_minhash, op7_language_id, op8_hnsw, op9_compact_windows, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
