@@ -5,11 +5,13 @@ without words has none and links to nothing. Two documents are linked if their s
 their union; a group is what links connect.
 
 1. Equal sets are one class. Only classes go on, each with BANDS bands of ROWS universal-hash minima.
-2. In a bucket (classes with an equal band) every class is paired with one pivot, the first by a hash of the class, so that large groups
-   agree on few pivots and a bucket of n makes n - 1 pairs.
+2. In a bucket (classes with an equal band) every class is paired with one pivot, the class with the most bucket mates in all, so that
+   large groups agree on few pivots and a bucket of n makes n - 1 pairs.
 3. Pairs are confirmed on the full sets. Links give components (alternating stars).
-4. Buckets that still hold several components pair what isn't in the pivot's component with a new pivot (ROUNDS times), and at last with every
-   class of another component there. So no link between bucket mates is lost, and large groups never make all pairs.
+4. A class that isn't linked to its pivot may still be to others of the pivot's group. Up to SMALL of them are tried; larger groups are joined by
+   the rarest of their differences from the pivot, which misses no link (see rest_by_difference). Links found join the components.
+
+So no link between bucket mates is lost, and large groups never make all pairs.
 
 A true link at the least similarity of 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS = 5e-6.
 
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from . import components
 from .common import Ids, batches, checkpoint, mix64, tokens
 
-ROWS, BANDS, ROUNDS = 6, 40, 1
+ROWS, BANDS = 6, 40
+#: Classes of a group that are tried one by one, and steps of the prefix filter of larger ones.
+SMALL, LEVELS = 6, 9
 _RNG = np.random.default_rng(20240501)
 MULTIPLY = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
@@ -135,54 +139,77 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return made.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def confirm(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, p) whose sets are similar enough. A pivot p of many pairs is salted."""
+def with_sets(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs (x, p) with sizes and sets, nx, np, sx and sp. A p of many pairs is salted."""
     salts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
-    right = items.join(salts, items["cls"] == salts["p"]).select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", F.col("n").alias("np"), F.col("items").alias("sp"))
-    left = pairs.join(salts, "p").select("x", "p", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"))
-    left = left.join(items.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("items").alias("sx")), "x")
-    both = left.join(right.drop("salts"), ["p", "salt"]).filter(100 * F.least("nx", "np") >= percent * F.greatest("nx", "np"))
-    common = F.size(F.array_intersect("sx", "sp")).cast("long")
-    return both.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.col("nx") + F.col("np") - F.col("common"))).select(F.col("x").alias("a"), F.col("p").alias("b"))
+    right = items.join(salts, items["cls"] == salts["p"]).select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("n").alias("np"), F.col("items").alias("sp"))
+    left = pairs.join(salts, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int")).drop("salts")
+    return left.join(items.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("items").alias("sx")), "x").join(right, ["p", "salt"])
 
 
-def pivots(rows: DataFrame, seed: int) -> DataFrame:
-    """(key, p, pc) of the buckets of rows (key, cls, comp) that hold several components: the pivot, and its component."""
-    first = F.min(F.struct(F.xxhash64("cls", F.lit(seed)).alias("h"), "cls", "comp")).alias("first")
-    return rows.groupBy("key").agg(first, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", F.col("first.cls").alias("p"), F.col("first.comp").alias("pc"))
+def confirm(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """(x, p, linked) of pairs: whether the full sets are similar enough."""
+    both = with_sets(pairs, items).withColumn("common", F.size(F.array_intersect("sx", "sp")).cast("long"))
+    return both.select("x", "p", (100 * F.col("common") >= percent * (F.col("nx") + F.col("np") - F.col("common"))).alias("linked"))
+
+
+def links_of(tested: DataFrame) -> DataFrame:
+    return tested.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+
+
+def rest_by_difference(group: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of a pivot's group, x not linked to the pivot, that could be linked. group: (x, p, comp).
+
+    Where x lacks A and adds B to the pivot's set, and y likewise, their intersection follows from the S differences that both
+    have: the pair is linked if (100 + percent) * S >= W(x) + W(y) - (100 - percent) * |pivot|, with W = 100 * |A| + percent * |B|.
+    As W(x) > (100 - percent) * |pivot| for an x that isn't linked, most of y's differences must be x's too, so one of y's rarest must
+    (a prefix filter). The more x is away from the pivot, the fewer of y's come into question: LEVELS.
+    """
+    ratio = 100 + percent
+    tag = lambda a, b, n: F.transform(F.array_except(a, b), lambda e: F.xxhash64(e, F.lit(n)))
+    own = with_sets(group, items).withColumns({"lacks": tag("sp", "sx", 0), "adds": tag("sx", "sp", 1)})
+    own = own.withColumn("w", 100 * F.size("lacks") + percent * F.size("adds")).withColumn("e", F.col("w") - (100 - percent) * F.col("np"))
+    own = checkpoint(own.select("p", "x", "comp", "w", "e", F.concat("lacks", "adds").alias("d")))
+    each = own.select("p", "x", F.explode("d").alias("t"))
+    often = each.groupBy("p", "t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    shared = each.join(often, ["p", "t"]).groupBy("p", "x").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ts"))
+    # differences that no other has come first in the order and find nothing
+    own = own.join(shared, ["p", "x"]).withColumn("alone", F.size("d") - F.size("ts")).withColumn("n", F.size("d"))
+    least = F.array(*[F.lit(1 if k == 0 else ratio << (k - 1)) for k in range(LEVELS)])
+    prefix = F.transform(least, lambda e: F.col("n") - F.ceil((F.col("w") + e) / ratio) + 1)
+    y = own.select("p", F.col("x").alias("y"), F.col("comp").alias("yc"), "alone", prefix.alias("prefix"), F.posexplode("ts").alias("at", "ft"))
+    y = y.select("p", "y", "yc", F.col("ft.t").alias("t"), F.explode(F.filter(F.transform("prefix", lambda n, k: F.when(n > F.col("alone") + F.col("at"), k)), lambda k: k.isNotNull())).alias("level"))
+    level = F.size(F.filter(least, lambda e: e <= F.col("e"))) - 1
+    x = own.filter("e > 0").select("p", "x", F.col("comp").alias("xc"), level.alias("level"), F.explode("ts").alias("ft")).select("p", "x", "xc", "level", F.col("ft.t").alias("t"))
+    return x.join(y, ["p", "t", "level"]).filter("x <> y AND xc <> yc").select("x", "y").distinct()
 
 
 def groups(docs: DataFrame, words: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """The rows' (doc_id, n, cls), and (cls, component_id) of the classes."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = checkpoint(signatures(docs, words))
-    classes = signed.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    classes = signed.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     each = classes.select("cls", F.explode("bands").alias("key"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     rows = checkpoint(each.join(shared, "key"))
-    members = rows.select("cls").distinct()
+    members = rows.groupBy("cls").agg(F.sum("c").alias("mates"))
     classes = classes.select("cls", "doc_id")
     items = checkpoint(full_sets(docs, members.join(classes, "cls"), words))
-    comp, tried, links = None, None, None
-    for k in range(ROUNDS + 2):
-        at = rows.withColumn("comp", F.col("cls")) if comp is None else rows.join(comp, rows["cls"] == comp["node"], "left").select("key", "cls", F.coalesce("root", "cls").alias("comp"))
-        chosen = pivots(at, k)
-        if k <= ROUNDS:
-            pairs = at.join(chosen, "key").filter("comp <> pc").select(F.col("cls").alias("x"), "p")
-        else:  # what is left: every class outside the pivot's component with all of another component in its bucket
-            at = checkpoint(at.join(chosen, "key"))
-            other = at.select("key", F.col("cls").alias("p"), F.col("comp").alias("pc2"))
-            mine = at.filter("comp <> pc").select("key", F.col("cls").alias("x"), "comp", "pc")
-            pairs = mine.join(other, "key").filter("comp <> pc2 AND (pc2 = pc OR x < p)").select("x", "p")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, (F.least("x", "p") == F.col("t1")) & (F.greatest("x", "p") == F.col("t2")), "left_anti")
-        pairs = checkpoint(pairs)
-        mine = pairs.select(F.least("x", "p").alias("t1"), F.greatest("x", "p").alias("t2")).distinct()
-        tried = mine if tried is None else tried.unionByName(mine)
-        found = checkpoint(confirm(pairs, items, percent))
-        links = found if links is None else links.unionByName(found)
-        comp = components.components(links if comp is None else comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    rows = rows.join(members, "cls")
+    first = rows.groupBy("key").agg(F.max(F.struct("mates", F.xxhash64("cls").alias("h"), "cls")).alias("first")).select("key", F.col("first.cls").alias("p"))
+    pairs = checkpoint(rows.join(first, "key").filter("cls <> p").select(F.col("cls").alias("x"), "p").distinct())
+    tested = checkpoint(confirm(pairs, items, percent))
+    comp = components.components(links_of(tested))
+    # what isn't linked to the pivot may be to another class of its group
+    at = tested.join(comp, tested["x"] == comp["node"], "left").select("x", "p", "linked", F.coalesce("root", "x").alias("comp"))
+    size = at.groupBy("p").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("unlinked")).filter("size > 1 AND unlinked > 0")
+    at = checkpoint(at.join(size, "p"))
+    small = at.filter(F.col("size") <= SMALL)
+    few = small.filter("NOT linked").select("p", "x", F.col("comp").alias("xc")).join(small.select("p", F.col("x").alias("y"), F.col("comp").alias("yc")), "p").filter("x <> y AND xc <> yc").select("x", "y")
+    many = rest_by_difference(at.filter(F.col("size") > SMALL).select("x", "p", "comp"), items, percent)
+    more = few.unionByName(many).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("p")).distinct()
+    found = links_of(confirm(checkpoint(more), items, percent))
+    comp = components.components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
     labelled = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return signed.select("doc_id", "n", "cls"), labelled.join(least, "root").select("cls", "component_id")
