@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Ids, checkpoint, cut_words, join_words, pack, shuffle_partitions, unpack
 
-SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
-DDL = "block long, shard int, data binary"
+SCHEMA = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
+DDL = "route long, block long, shard int, data binary"
 #: A block is closed at so many tokens (it holds one document more at most).
 BLOCK_TOKENS = 1_500_000
 
@@ -50,8 +50,9 @@ def _block(number: int, ids: list, flags: list, parts: list, seen: Ids, shards:
             yield number, s, pack(*join_words([words[i] for i in order[a:b].tolist()]), all_n[a:b].astype(np.uint32), used_n[a:b].astype(np.uint32))
 
 
-def cut(docs: DataFrame, split: Callable[[str | None], list[bytes]], used: Callable[[object], bool] | None = None, block_tokens: int = BLOCK_TOKENS, hashed: bool = False) -> DataFrame:
-    """(block, shard, data) of documents (doc_id, text), checkpointed. Shard -1 has a block's documents as
+def cut(docs: DataFrame, split: Callable[[str | None], list[bytes]], used: Callable[[object], bool] | None = None, block_tokens: int = BLOCK_TOKENS, hashed: bool = False, keep: bool = True) -> DataFrame:
+    """(route, block, shard, data) of documents (doc_id, text). keep: checkpointed, for use in several queries; else one query
+    may use it twice, as both per_shard() and join_back() group all of it by route, so the same shuffle serves both. Shard -1 has a block's documents as
     (ids, null ids, lengths, bounds of shards, tokens' shards and places by byte, what used() said, hashes of the vocabulary if hashed); the others have a vocabulary's part as
     (lengths, bytes, tokens in all, tokens in documents whose id passes used())."""
     shards = min(shuffle_partitions(docs.sparkSession), 1 << 16)
@@ -76,10 +77,12 @@ def cut(docs: DataFrame, split: Callable[[str | None], list[bytes]], used: Calla
             if ids:
                 yield from _block(number, ids, flags, parts, seen, shards, hashed)
 
-        for row in rows():
+        for block, shard, data in rows():
+            row = (shard if shard >= 0 else -1 - block, block, shard, data)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SCHEMA)], schema=SCHEMA)
 
-    return checkpoint(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DDL))
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DDL)
+    return checkpoint(made) if keep else made
 
 
 def open_block(data: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,21 +115,23 @@ def per_shard(blocks: DataFrame, work: Callable[[list[bytes], np.ndarray, np.nda
     """(block, shard, data): work(words, count, used) runs once for each shard; what it returns makes a block's data from its places."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["shard"].iloc[0] < 0:
+            return pdf[:0]
         words, places, all_n, used_n = shard_words(list(pdf["data"]))
         give = work(words, all_n, used_n)
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": [give(p) for p in places]})
+        return pd.DataFrame({"route": -1 - pdf["block"], "block": pdf["block"], "shard": pdf["shard"], "data": [give(p) for p in places]})
 
-    return vocabulary(blocks).groupBy("shard").applyInPandas(run, DDL)
+    return blocks.groupBy("route").applyInPandas(run, DDL)
 
 
 def join_back(blocks: DataFrame, answers: DataFrame, work: Callable[..., pd.DataFrame], ddl: str) -> DataFrame:
     """Each block with the answers of its shards in order: work(ids, lengths, tokens, answers), and the hashes of the vocabulary if cut() kept them."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return work([], np.zeros(0, np.int64), np.zeros(0, np.uint32), [])
+        if not len(left) or left["shard"].iloc[0] >= 0:
+            return pd.DataFrame({field.split()[0]: pd.Series([], dtype=object) for field in ddl.split(", ")})
         ids, lengths, tokens, _, hashes = open_block(left["data"].iloc[0])
         more = (hashes,) if len(hashes) else ()
         return work(ids, lengths, tokens, [right["data"].iloc[i] for i in np.argsort(right["shard"].to_numpy())], *more)
 
-    return blocks.filter("shard < 0").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, ddl)
+    return blocks.groupBy("route").cogroup(answers.groupBy("route")).applyInPandas(run, ddl)

@@ -72,7 +72,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_tokens:
             out.append(flat[spread(start[t], n[t])].astype(np.int32))
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "ids": out})
 
-    cut = blocks.cut(docs, split, block_tokens=block_tokens)
+    cut = blocks.cut(docs, split, block_tokens=block_tokens, keep=False)
     return blocks.join_back(cut, blocks.per_shard(cut, work), back, "doc_id long, ids array<int>")
 
 
