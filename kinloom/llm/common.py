@@ -37,6 +37,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bits of a filter; the broadcast table has FILTER_BITS / 64 rows at most, whatever the number of ids.
+FILTER_BITS = 1 << 24
+
+
+def split_by_filter(df: DataFrame, column: str, ids: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose column may be in ids (one column of longs), and those whose column surely isn't, nulls among them.
+
+    A filter of fixed size keeps most rows that a join with ids would drop out of its shuffle; it doesn't replace the join.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = ids.select(place(F.col(ids.columns[0])).alias("at")).select(F.shiftright("at", 6).alias("filter_word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
+    words = checkpoint(at.groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits")))
+    key = place(F.col(column).cast("long"))
+    told = df.withColumn("filter_at", F.when(F.col(column).isNotNull(), key)).withColumn("filter_key", F.shiftright("filter_at", 6))
+    told = told.join(F.broadcast(words), told["filter_key"] == words["filter_word"], "left")
+    maybe = F.coalesce(F.expr("shiftright(filter_bits, cast(filter_at & 63 AS int)) & 1L") == 1, F.lit(False))
+    return told.filter(maybe).select(*df.columns), told.filter(~maybe).select(*df.columns)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
