@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import Ids, batches, checkpoint, mix64, tokens
+from .common import Ids, batches, checkpoint, mix64, split_by_filter, tokens
 
 ROWS, BANDS = 6, 40
 #: Classes of a group that are tried one by one, and steps of the prefix filter of larger ones.
@@ -134,7 +134,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 if len(s):
                     yield class_of(s), len(s), s.view(np.int64)
 
-    own = docs.join(wanted.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    may, _ = split_by_filter(docs, "doc_id", wanted.select("doc_id"))
+    own = may.join(wanted.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     made = own.mapInArrow(lambda it: batches(rows(it), _SETS, 200), "cls long, n long, items array<long>")
     return made.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
@@ -224,7 +225,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one row of each group; rows of null ids stay."""
-    found = near_duplicates(docs, words, percent)
+    found = checkpoint(near_duplicates(docs, words, percent))
+    gone = found.filter("NOT kept").select("doc_id").unionByName(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     kept = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    may, stay = split_by_filter(docs, "doc_id", gone)  # only rows that may go or repeat an id are shuffled
+    return may.join(kept, may["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(stay)
