@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, checkpoint, cut_words, join_words, pack, shuffle_partitions, unpack
+from .common import Ids, checkpoint, cut_words, join_words, pack, release, shuffle_partitions, unpack
 
 SCHEMA = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
 DDL = "route long, block long, shard int, data binary"
@@ -80,6 +80,7 @@ def cut(docs: DataFrame, split: Callable[[str | None], list[bytes]], used: Calla
         for block, shard, data in rows():
             row = (shard if shard >= 0 else -1 - block, block, shard, data)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SCHEMA)], schema=SCHEMA)
+        release()
 
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DDL)
     return checkpoint(made) if keep else made

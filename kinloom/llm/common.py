@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zlib
 
@@ -15,7 +17,22 @@ from pyspark.sql import functions as F
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: the rows that go to a Python worker at once are held to 8 MB, unless the session already asks for less."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+        spark.conf.set(name, str(most))
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as idle Python workers keep theirs beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -114,6 +131,7 @@ def batches(rows, schema: pa.Schema, size: int = 2000):
     while True:
         part = [r for _, r in zip(range(size), rows)]
         if not part:
+            release()
             return
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema, strict=True)], schema=schema)
 

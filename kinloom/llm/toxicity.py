@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import Ids, tokens
+from .common import Ids, release, tokens
 
 BUCKETS, SIZES, DIM = 1 << 16, (3, 4, 5), 8
 WINDOW, STEP = 8, 4
-SAMPLE, SAMPLE_CHARS = 2_500, 60_000
+SAMPLE, SAMPLE_CHARS = 1_500, 60_000
 THRESHOLD = 0.3
 
 
@@ -62,10 +62,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 2, s
     rng, seen = np.random.default_rng(seed), Ids()
     parts = [bag(t, seen) for t in texts]
     words = list(seen)
-    at, of = grams.hashed(words, SIZES, BUCKETS)
-    first = np.searchsorted(of_sorted := of[order := np.argsort(of, kind="stable")], np.arange(len(words) + 1))
-    at = at[order].astype(np.int32)
-    del of_sorted
+    at, n = [], []  # buckets of each word, one word after another
+    for k in range(0, len(words), 20_000):
+        part, of = grams.hashed(words[k : k + 20_000], SIZES, BUCKETS)
+        at.append(part[np.argsort(of, kind="stable")].astype(np.int32))
+        n.append(np.bincount(of, minlength=len(words[k : k + 20_000])))
+    at, first = np.concatenate(at or [np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(np.concatenate(n or [np.zeros(0, np.int64)]))]).astype(np.int64)
     doc, lo, hi = [], [], []  # windows
     base, flat = 0, np.concatenate(parts)
     for k, p in enumerate(parts):
@@ -151,6 +153,8 @@ def score(text: Column, model: Model) -> Column:
             if n >= 300_000:
                 out += model.score(parts, list(seen))
                 parts, seen, n = [], Ids(), 0
-        return pa.array(out + model.score(parts, list(seen)), pa.float64())
+        out += model.score(parts, list(seen))
+        release()
+        return pa.array(out, pa.float64())
 
     return scored(text)
