@@ -18,8 +18,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long: the rows that go to a Python worker at once are held to 8 MB, unless the session already asks for less."""
-    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    """Texts are long: the rows that go to a Python worker at once are held to 4 MB, unless the session already asks for less."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
     if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
         spark.conf.set(name, str(most))
 

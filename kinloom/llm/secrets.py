@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?:(?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -101,7 +103,9 @@ def _redacted(text: pa.Array) -> pa.Array:
                 at = b
         return "".join(out) + t[at:] if at else t
 
-    return pa.array([clean(t.as_py()) for t in text], pa.string())
+    out = pa.array([clean(t.as_py()) for t in text], pa.string())
+    release()
+    return out
 
 
 def redact(docs: DataFrame) -> DataFrame:
