@@ -39,7 +39,8 @@ def _part(kind: str, ddl: str):
 
 
 def _links(*urls, limit: int = 20):
-    return F.slice(text.first_seen(F.filter(F.concat(*urls), lambda u: u.isNotNull())), 1, limit)
+    lists = [F.coalesce(u, F.array().cast("array<string>")) for u in urls]
+    return F.slice(text.first_seen(F.filter(F.concat(*lists), lambda u: u.isNotNull())), 1, limit)
 
 
 def _topics(*lists, limit: int = 30):
