@@ -7,7 +7,7 @@ them: a few words in a very long text count, and a harmless word doesn't add up
 a text stands for its windows at first and for its most toxic window in later rounds.
 
 The fit takes at most SAMPLE labelled texts of each class (by a hash of the id) of at most SAMPLE_CHARS characters each.
-Labels without a document, or documents without a label, do not matter to it. Null and empty texts get the score of an empty bag.
+Labels without a document, or documents without a label, do not matter to it. Null and empty texts get 0.
 Rows, repeated and null ids included, are all scored. With fewer than two classes in the sample the score is 0 everywhere.
 """
 
@@ -48,6 +48,9 @@ class Model:
     def score(self, parts: list[np.ndarray], words: list[bytes]) -> list[float]:
         each, out = grams.means(words, self.logits, SIZES), []
         for p in parts:
+            if not len(p):
+                out.append(0.0)
+                continue
             a, b = windows(len(p))
             s = np.concatenate([[0.0], np.cumsum(each[p])])
             z = float(((s[b] - s[a]) / np.maximum(b - a, 1)).max()) + self.bias
@@ -138,7 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
         ids = part if ids is None else ids.unionByName(part)
     ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, toxic int")  # 2 * sample rows at most
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    texts, marks = [r["text"] for r in rows], [r["toxic"] for r in rows]
+    del rows
+    model = fit(texts, marks)
+    release()
+    return model
 
 
 def score(text: Column, model: Model) -> Column:
