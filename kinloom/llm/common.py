@@ -73,6 +73,17 @@ def split_by_filter(df: DataFrame, column: str, ids: DataFrame, bits: int = FILT
     return told.filter(maybe).select(*df.columns), told.filter(~maybe).select(*df.columns)
 
 
+def sample_ids(ids: DataFrame, n: int) -> DataFrame:
+    """The n rows of ids (doc_id, distinct) with the smallest hashes. Where there are many more, most go before the sort,
+    so that tasks don't send the driver n rows each."""
+    key, total = F.xxhash64("doc_id"), ids.count()
+    if total > 4 * n:
+        part = ids.filter(key < F.lit(int((2 * n / total - 0.5) * 2**64)))
+        if part.count() >= n:
+            ids = part
+    return ids.orderBy(key, "doc_id").limit(n)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")

@@ -12,12 +12,13 @@ best language's share after a softmax. Repeated and null ids are kept.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_ids
+
 SIZES = (1, 2, 3)
 SAMPLE, LANDMARKS, RIDGE, SHARPNESS = 400, 300, 1e-2, 6.0
 #: Characters of a landmark or training text; longer ones are not taken into the sample.
@@ -101,20 +102,17 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 
 def train(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, languages: int = 200) -> Model:
     """docs (doc_id, text, lang). The driver gets at most `sample` texts of each of the `languages` most frequent languages."""
-    from pyspark.sql import Window
-
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     names = [r[0] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    key = F.xxhash64("doc_id", F.lit(7))
     fit_for = docs.filter(F.length("text") <= chars)
     ids = None
     for name in names:  # a top-k for each language: no window gathers all rows of one
-        part = fit_for.filter(F.col("lang") == name).select("doc_id").orderBy(key, "doc_id").limit(sample)
+        part = sample_ids(fit_for.filter(F.col("lang") == name).select("doc_id").distinct(), sample)
         ids = part if ids is None else ids.unionByName(part)
     if ids is None:
         return fit([], [])
     ids = docs.sparkSession.createDataFrame(sorted({r[0] for r in ids.collect() if r[0] is not None} or {-1}), "long").toDF("doc_id")
-    rows = fit_for.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(key, "doc_id", "lang", "text").limit(2 * sample * len(names)).collect()
+    rows = sorted(fit_for.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"), F.min_by("lang", "text").alias("lang")).collect())
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import Ids, release, tokens
+from .common import Ids, release, sample_ids, tokens
 
 BUCKETS, SIZES, DIM = 1 << 16, (3, 4, 5), 8
 WINDOW, STEP = 8, 4
@@ -137,10 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     label = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = None
     for y in (0, 1):
-        part = label.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = sample_ids(label.filter(F.col("toxic") == y), sample)
         ids = part if ids is None else ids.unionByName(part)
     ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, toxic int")  # 2 * sample rows at most
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(F.length("text") <= chars).join(F.broadcast(ids), "doc_id")
+    rows = sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect())
     texts, marks = [r["text"] for r in rows], [r["toxic"] for r in rows]
     del rows
     model = fit(texts, marks)
