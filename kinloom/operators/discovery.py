@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import policy
 from ..functions import fuzzy, text
 
 
+def from_url(source: Column, url: Column) -> Column:
+    """The identifier that a profile URL of the source holds; null for other pages and hosts."""
+
+    def parts(u: Column) -> Column:
+        return F.struct(text.host(u).alias("h"), F.filter(F.split(F.regexp_extract(u, text.URL, 3), "/"), lambda p: p != "").alias("path"), F.regexp_extract(F.regexp_extract(u, text.URL, 4), "(?:^|&)id=([^&]*)", 1).alias("of"))
+
+    def named(x: Column) -> Column:
+        first, second, n = F.get(x["path"], 0), F.get(x["path"], 1), F.size(x["path"])
+        own = lambda s, h: (source == s) & (x["h"] == h) & (n == 1) & ~F.lower(first).isin(*policy.RESERVED_PATHS[s])
+        return (
+            F.when(own("github", "github.com") | own("devto", "dev.to"), first)
+            .when((source == "hackernews") & (x["h"] == "news.ycombinator.com") & (x["of"] != ""), x["of"])
+            .when((source == "hackernews") & (x["h"] == "hn.algolia.com") & (F.lower(first) == "user") & (n >= 2), second)
+            .when((source == "stackoverflow") & (x["h"] == "stackoverflow.com") & (F.lower(first) == "users") & second.rlike("^[0-9]+$"), second)
+        )
+
+    return text.let(text.let(text.with_scheme(url), parts), named)
+
+
+def identifier(source: Column, raw: Column) -> Column:
+    """What a request's field names: a profile URL's identifier or the value itself, without @ and leading zeros of numbers, if valid."""
+    is_url = raw.rlike("(?i)^https?://|//|(github[.]com|dev[.]to|stackoverflow[.]com|news[.]ycombinator[.]com|hn[.]algolia[.]com)/")
+    value = text.blank_to_null(F.regexp_replace(F.trim(F.when(is_url, from_url(source, raw)).otherwise(raw)), "^@+", ""))
+
+    def valid(x: Column) -> Column:
+        told = None
+        for s, pattern in policy.IDENTIFIER_PATTERNS.items():
+            test = (source == s) & x.rlike(pattern)
+            out = F.regexp_replace(x, "^0+(?=[0-9])", "") if s == "stackoverflow" else x
+            told = F.when(test, out) if told is None else told.when(test, out)
+        return told
+
+    return text.let(value, valid)
+
+
 def direct(requests: DataFrame) -> DataFrame:
-    """(run_id, source, identifier, rank) of identifiers that requests name, @ and blanks cut, valid ones only."""
+    """(run_id, source, identifier, rank) of identifiers that requests name, valid ones only."""
     order = ("github", "devto", "hackernews", "stackoverflow")
     args = ", ".join(f"'{s}', {s}" for s in order)
     rows = requests.select("run_id", F.expr(f"stack({len(order)}, {args}) AS (source, raw)"))
-    ident = text.blank_to_null(F.regexp_replace(F.trim("raw"), "^@+", ""))
-    rows = rows.withColumn("identifier", F.when(F.col("source") == "stackoverflow", F.regexp_replace(ident, "^0+(?=[0-9])", "")).otherwise(ident))
-    ok = F.when(F.col("source") == "stackoverflow", F.col("identifier").rlike("^[0-9]+$")).otherwise(F.col("identifier").rlike("^[A-Za-z0-9_-]{1,39}$"))
-    return rows.filter(ok).select("run_id", "source", "identifier", F.lit(100).alias("rank"))
+    return rows.select("run_id", "source", identifier(F.col("source"), F.col("raw")).alias("identifier"), F.lit(100).alias("rank")).filter("identifier IS NOT NULL")
 
 
 def variants(requests: DataFrame) -> DataFrame:

@@ -115,6 +115,20 @@ def website(b: DataFrame) -> DataFrame:
     return _first(best, F.desc("prio"), F.desc("relation_rank"), F.desc("field_confidence")).select("run_id", F.col("value").alias("website"))
 
 
+def avatar(b: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The picture of the best source."""
+    v = b.join(accounts.select("run_id", "account_key", "avatar_url"), ["run_id", "account_key"]).filter("avatar_url IS NOT NULL").withColumn("prio", rank_of(F.col("source"), policy.AVATAR_PRIORITY))
+    return _first(v, F.desc("prio"), F.desc("relation_rank"), F.desc("field_confidence")).select("run_id", "avatar_url")
+
+
+def facts(b: DataFrame) -> DataFrame:
+    """(run_id, account_key, fact, value, confidence): what accepted accounts say, each value once."""
+    pairs = [F.struct(F.lit(n).alias("fact"), F.col(n).alias("value")) for n in ("display_name", "location", "website_url", "bio")]
+    each = F.concat(F.array(*pairs), F.transform("topics", lambda t: F.struct(F.lit("topic").alias("fact"), t.alias("value"))))
+    rows = b.select("run_id", "account_key", F.col("field_confidence").alias("confidence"), F.inline(each)).filter("value IS NOT NULL")
+    return rows.groupBy("run_id", "account_key", "fact", "value").agg(F.max("confidence").alias("confidence"))
+
+
 def bio_quality(c: Column) -> Column:
     size = F.when(F.length(c).between(30, 220), 30).when(F.length(c) > 220, 20).otherwise(10)
     tech = reduce(lambda a, w: a | F.lower(c).contains(w), TECH_WORDS[1:], F.lower(c).contains(TECH_WORDS[0]))

@@ -219,4 +219,14 @@ ORACLES = {
     "forbidden_claims": "SELECT p_partkey, p_partkey % 4 <> 1 AS claims, p_name || CASE p_partkey % 4 WHEN 0 THEN ' is a accepted public profile match.' WHEN 1 THEN ' is unevidence-matched' ELSE ', the public profile match' END AS softened FROM part",
     "endpoint_redaction": "SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'token=REDACTED&x=1' AS endpoint FROM pages",
     "evaluation_metrics": f"WITH {DECIDED}, j AS (SELECT d.decision, coalesce(n.display_name, '') <> 'Zzyzx Qwvkj' AS same FROM decided d JOIN norm n USING (run_id, account_key)) SELECT count(*) AS n, count(*) FILTER (decision = 'auto_match' AND NOT same) AS false_merges, count(*) FILTER (decision = 'reject' AND same) AS missed_merges, count(*) FILTER (decision = 'needs_review') AS reviews, round(count(*) FILTER (decision = 'needs_review') / count(*), 6) AS review_rate FROM j",
+    "identifier_from_url": f"WITH {ACCOUNTS} SELECT account_key, run_id, CASE run_id % 4 WHEN 0 THEN CASE k WHEN 0 THEN 'gh' || run_id WHEN 1 THEN cast(id AS string) WHEN 2 THEN 'dt' || run_id ELSE 'hn' || run_id END WHEN 1 THEN user_id WHEN 2 THEN NULL ELSE CASE WHEN k = 1 THEN user_id ELSE '00' || user_id END END AS identifier FROM linked",
+    "canonical_facts": f"WITH {BUNDLES}, f AS (SELECT run_id, account_key, fc, 'display_name' AS fact, display_name AS value FROM b UNION ALL SELECT run_id, account_key, fc, 'location', location FROM b UNION ALL SELECT run_id, account_key, fc, 'website_url', website_url FROM b UNION ALL SELECT run_id, account_key, fc, 'bio', bio FROM b UNION ALL SELECT run_id, account_key, fc, 'topic', unnest(string_split(topics_text, '|')) FROM b) SELECT run_id, account_key, fact, value, cast(max(fc) AS double) AS confidence FROM f WHERE value IS NOT NULL GROUP BY ALL",
+    "canonical_avatar": f"WITH {BUNDLES}, v AS (SELECT *, 'https://img.dev/' || account_key AS avatar_url, {_rank(policy.AVATAR_PRIORITY)} AS prio FROM b WHERE right(account_key, 1) <> '8') SELECT run_id, avatar_url FROM v QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY prio DESC, rel DESC, fc DESC, br) = 1",
+    "purge_finished_runs": "WITH r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'P' THEN 'partial' ELSE 'running' END AS status, o_orderdate FROM orders) SELECT status, count(*) AS n, min(o_orderkey) AS first_key FROM r WHERE status = 'running' OR o_orderdate >= '1996-01-01' GROUP BY 1",
+    "json_merge_patch": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'priority=' || o_orderpriority || ',status=X' ELSE 'note=n,priority=' || o_orderpriority || ',status=' || o_orderstatus END AS merged FROM orders",
+    "schema_drift_union": "SELECT s_suppkey AS k, s_name AS name, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer",
+    "upsert_accounts": "WITH u AS (SELECT s_suppkey AS k, s_name AS name, 1 AS version, cast(NULL AS string) AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, 2, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY version DESC) = 1",
+    "ingestion_summary": f"WITH {CALLS}, s AS (SELECT event_id % 500 AS batch, source, bool_or(coalesce(status_code < 400, false)) AS ok FROM calls GROUP BY ALL) SELECT batch, string_agg(source, ',' ORDER BY source) AS attempted, coalesce(string_agg(source, ',' ORDER BY source) FILTER (ok), '') AS succeeded, coalesce(string_agg(source, ',' ORDER BY source) FILTER (NOT ok), '') AS failed FROM s GROUP BY batch",
+    "rate_limit_headers": "SELECT event_id, cast(5000 AS bigint) AS total, CASE WHEN event_id % 5 = 0 THEN event_id % 300 ELSE user_id END AS remaining, CASE WHEN event_id % 7 = 0 THEN cast(3 AS bigint) END AS retry_after_s FROM events",
+    "stored_row_violations": f"WITH {CALLS}, {RUNS} SELECT 'calls' AS tab, 'error_without_cause' AS rule, count(*) AS n FROM calls WHERE status_code IS NULL AND error_message IS NULL HAVING count(*) > 0 UNION ALL SELECT 'runs', 'slow', count(*) FROM runs WHERE duration_ms > 4900 HAVING count(*) > 0",
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, text
 from ..operators import discovery, golden, health, resolve
 from ..sources import accounts as sources
+from ..sources import store
 from ..streaming import metrics
 from . import derive
 
@@ -434,3 +435,73 @@ def handle_indel_similarity(spark, d):
 def name_compatibility(spark, d):
     r = resolution(spark, d)
     return r.pairs.select("run_id", "lk", "rk", fuzzy.name_compatibility(F.col("l.n_name"), F.col("r.n_name")).alias("compat"))
+
+
+@query
+def identifier_from_url(spark, d):
+    a = derive.accounts(spark, d)
+    given = F.when(F.col("run_id") % 4 == 0, F.col("profile_url")).when(F.col("run_id") % 4 == 1, F.concat(F.lit("@"), F.col("user_id"))).when(F.col("run_id") % 4 == 2, "https://github.com/settings").otherwise(F.concat(F.lit("00"), F.col("user_id")))
+    return a.select("account_key", "run_id", discovery.identifier(F.col("source"), given).alias("identifier"))
+
+
+@query
+def canonical_facts(spark, d):
+    r = resolution(spark, d)
+    return _num(golden.facts(golden.bundles(r.links, r.accounts)))
+
+
+@query
+def canonical_avatar(spark, d):
+    r = resolution(spark, d)
+    pictures = r.accounts.withColumn("avatar_url", F.when(F.substring("account_key", -1, 1) != "8", F.concat(F.lit("https://img.dev/"), F.col("account_key"))))
+    return golden.avatar(golden.bundles(r.links, r.accounts), pictures)
+
+
+@query
+def purge_finished_runs(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "resolved").when(F.col("o_orderstatus") == "P", "partial").otherwise("running").alias("status"), F.col("o_orderdate").alias("completed_at"))
+    return store.purge(o, F.lit("1996-01-01").cast("timestamp_ntz")).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
+@query
+def json_merge_patch(spark, d):
+    o = _t(spark, d, "orders")
+    old = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
+    patch = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("status"), F.lit("X"))).otherwise(F.create_map(F.lit("note"), F.lit("n")))
+    m = store.merge_patch(old, patch)
+    return o.select("o_orderkey", F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("merged"))
+
+
+@query
+def schema_drift_union(spark, d):
+    old = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    new = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return store.align(old, new)
+
+
+@query
+def upsert_accounts(spark, d):
+    old = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.lit(1).alias("version"))
+    new = _t(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.lit(2).alias("version"), F.col("c_mktsegment").alias("segment"))
+    return store.upsert(old, new, ["k"], ["version"])
+
+
+@query
+def ingestion_summary(spark, d):
+    c = derive.calls(spark, d).select((F.col("event_id") % 500).alias("batch"), "source", store.attempt_outcome(F.col("status_code")).alias("outcome"))
+    return _num(store.ingestion_summary(c, "batch"))
+
+
+@query
+def rate_limit_headers(spark, d):
+    e = _t(spark, d, "events")
+    headers = F.create_map(F.lit("x-ratelimit-limit"), F.lit("5000"), F.lit("x-ratelimit-remaining"), F.when(F.col("event_id") % 5 == 0, "soon").otherwise(F.col("user_id").cast("string")), F.lit("retry-after"), F.when(F.col("event_id") % 7 == 0, "3"))
+    body = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"quota_max": 300, "quota_remaining": '), (F.col("event_id") % 300).cast("string"), F.lit("}")))
+    return e.select("event_id", store.rate_limit(headers, body).alias("r")).select("event_id", "r.total", "r.remaining", "r.retry_after_s")
+
+
+@query
+def stored_row_violations(spark, d):
+    a = golden.violations(derive.calls(spark, d), store.CALL_RULES, "source").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    b = golden.violations(derive.runs(spark, d), store.RUN_RULES, "status").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return a.withColumn("tab", F.lit("calls")).unionByName(b.withColumn("tab", F.lit("runs")))

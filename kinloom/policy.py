@@ -93,6 +93,17 @@ BIO_ALIASES = {
 TRACKING_PARAMS = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src")
 SECRET_PARAMS = ("key", "token", "access_token", "client_secret", "api_key")
 RETRY_STATUSES = (408, 429, 500, 502, 503, 504)
+RESERVED_PATHS = {
+    "github": (
+        "about", "apps", "collections", "customer-stories", "events", "explore", "features", "issues", "login", "marketplace", "new", "notifications", "orgs",
+        "pricing", "pulls", "readme", "search", "settings", "sponsors", "topics", "trending",
+    ),
+    "devto": (
+        "about", "api", "code-of-conduct", "contact", "dashboard", "enter", "listings", "new", "pod", "podcasts", "privacy", "search", "settings", "shop",
+        "signin", "tag", "tags", "t", "terms", "top", "videos",
+    ),
+}
+IDENTIFIER_PATTERNS = {"github": r"^[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?$", "devto": r"^[A-Za-z0-9][A-Za-z0-9_-]{0,49}$", "hackernews": r"^[A-Za-z0-9_-]{1,100}$", "stackoverflow": r"^\d+$"}
 RATE_LIMITS = {"devto": (10, 30), "hackernews": (30, 60)}
 
 
