@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import zlib
 
@@ -20,7 +21,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def small_batches(spark: SparkSession) -> None:
     """Texts are long: the rows that go to a Python worker at once are held to 4 MB, unless the session already asks for less."""
     name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-    if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+    number, unit = re.fullmatch(r"(-?[0-9]+)([kmgt]?)b?", spark.conf.get(name).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= most:
         spark.conf.set(name, str(most))
 
 
