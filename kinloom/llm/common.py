@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import zlib
@@ -47,9 +48,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder. Spark deletes the files with the last reference if it is set up to."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage in the shared folder. Spark deletes the files with the last reference if it is set up to.
+
+    What only led up to it, shuffle files above all, goes with the driver's next garbage collection, which is asked for here:
+    iterations would pile theirs up on the executors' disks until the driver's heap happens to fill.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
