@@ -159,4 +159,5 @@ def test_pipeline(spark, tmp_path):
     assert passage in cut[121]["text"] and passage not in cut[122]["text"] and cut[122]["n_chars"] == len(cut[122]["text"]) and cut[0]["text"] == texts[0]
     assert "0a1b2c3d4e5f" not in seen["secret_scans"][123]["text"]
     assert set(seen["packing"]) == set(cut)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == df.count()
+    told = lambda x: sorted((r["doc_id"], r["doc_tokens"], r["n"]) for r in x.groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect())
+    assert told(corpus_pipeline.run(spark, str(tmp_path))) == told(df)  # how documents are cut depends on their partitions
