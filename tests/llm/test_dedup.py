@@ -131,6 +131,29 @@ def test_repeats(spark):
     assert substrings.repeats(docs(spark, [rows[3], rows[3], rows[3]], [4, 4, None])).count() == 0
 
 
+def test_passages_of_common_lines(spark):
+    """Passages that two texts share, made of lines that many have: neither the first nor the one before has more than a line of them."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    lines = [[word() for _ in range(10)] for _ in range(40)]
+    some = lambda: [w for line in rng.sample(lines, 6) for w in line]
+    plain = lambda n: [word() for _ in range(n)]
+    rows = [plain(5) + [w for line in rng.sample(lines, 20) for w in [*line, word()]] for _ in range(80)]
+    for _ in range(40):
+        passage = some()
+        rows += [plain(20) + passage + plain(20), plain(7) + passage + plain(30)]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    rows = [rows[k] for k in order]
+    first, want = {}, set()
+    for i, w in enumerate(rows):
+        for s in range(len(w) - 49):
+            if first.setdefault(tuple(w[s : s + 50]), i) != i:
+                want |= {(i, k) for k in range(s, s + 50)}
+    got = {(r["doc_id"], k) for r in substrings.repeats(docs(spark, [" ".join(w) for w in rows]).repartition(3)).collect() for k in range(r["start"], r["end"])}
+    assert len({i for i, _ in want}) >= 40 and want <= got
+
+
 def test_whole_copies_go(spark):
     t = " ".join(f"w{k}" for k in range(70))
     assert [r["doc_id"] for r in substrings.drop_repeats(docs(spark, [t, t.upper(), t + "\n"])).collect()] == [0]
