@@ -57,9 +57,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     shared_folder(spark)
     out = df.checkpoint(eager=True)
     del df
+    collect_garbage(spark)
+    return out
+
+
+def collect_garbage(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,8 +1,8 @@
 """LM scoring by a probabilistic suffix tree over tokens.
 
 Tokens are words (A-Z lower-cased), then one end for each text; a token that isn't in training is the symbol "unknown".
-A sequence of up to DEPTH + 1 tokens is a candidate if it makes up P_MIN of the training tokens (and is found LEAST times), so there are
-at most 1 / P_MIN of each length, whatever the corpus. A candidate is a context, and a state of the tree if the distribution
+A sequence of up to DEPTH + 1 tokens is a candidate if training has it LEAST times, whatever the size of the corpus, so the tree
+grows with it. A candidate is a context, and a state of the tree if the distribution
 of its next symbol diverges from that of its suffix, count * KL(context || suffix) >= DIVERGENCE * ln(N), or if a longer
 state ends in it. Contexts don't reach back beyond their text.
 
@@ -10,8 +10,10 @@ The root gives a token (c - D) / N and "unknown" what is left, D * V / N, with a
 the tokens found once and twice, half where either is missing). A state s gives a candidate's last token (count + MU * P_suffix) / (count(s) + MU) and shares out the rest as its suffix does.
 Each token is scored by the longest state that its history ends in. The distribution over the V + 1 symbols sums to 1.
 
-Counts run over all training documents: words are counted by blocks and shards (see blocks), longer sequences a length at a time,
-summed in a block first. Only candidates go to the driver and from there to the tasks.
+Counts run over all training documents: words are counted by blocks and shards (see blocks), longer sequences a length at a time, by
+64-bit hashes: a block sends a shard each distinct sequence whose two parts are candidates once, with its count, and gets back which ones
+are candidates. The tree is tables partitioned by those hashes; to score, a block asks the shards for the candidates that it has. Neither
+the driver nor a broadcast holds any of it.
 
 Null and empty texts are one end. Repeated and null ids are kept. Without training documents every token is unknown, with probability 1.
 """
@@ -20,16 +22,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import checkpoint, crc_mod_py, pack, tokens, unpack
+from .common import checkpoint, collect_garbage, crc_mod_py, mix64, pack, shuffle_partitions, tokens, unpack
 
 #: No word has this byte.
 STOP = b"\n"
-DEPTH, P_MIN, LEAST, DIVERGENCE, MU = 3, 4e-6, 3, 2.0, 4.0
+#: P_MIN: no share of the training tokens is asked of a candidate; its count decides.
+DEPTH, P_MIN, LEAST, DIVERGENCE, MU = 3, 0.0, 3, 2.0, 4.0
+#: Kinds of answers to a block, beside its candidates of two tokens or more (by their number of contexts' tokens).
+WORDS, VALUES = 0, DEPTH + 1
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -52,61 +57,195 @@ def back_by(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-class Tree:
-    """Candidates by length: codes[k] (sorted) of those of k + 1 tokens, which are the word's hash for one, else the first k tokens' number << 32 |
-    the last one's; logp[k]: log10 probability after the first k tokens; state[k]: whether one is a state; left[k]: log10 of the factor
-    by which a state passes on what it has no candidate for."""
-
-    def __init__(self, codes: list[np.ndarray]):
-        self.codes, self.logp, self.state, self.left = codes, [], [], []
-
-    def numbers(self, word: np.ndarray, first: np.ndarray, lengths: int | None = None) -> list[np.ndarray]:
-        """For each length, the number of the candidate that ends at a position, or -1. word: numbers of frequent words, -1 for others."""
-        out = [word]
-        for codes in self.codes[1:lengths]:
-            before = back_by(out[-1], first)
-            at = np.flatnonzero((before >= 0) & (word >= 0))
-            now = np.full(len(word), -1, np.int64)
-            now[at] = find(codes, before[at] << 32 | word[at])
-            out.append(now)
-        return out
-
-    def score(self, word: np.ndarray, first: np.ndarray, root: np.ndarray) -> np.ndarray:
+def shards_of(codes: np.ndarray, shards: int) -> np.ndarray:
+    """Each hash's shard, which grows with the hash."""
+    return ((codes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, ascending, a place of each, and the number of the value at each place."""
+    order = np.argsort(codes)
+    sorted_ = codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    number = np.empty(len(codes), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return sorted_[new], order[new], number
+
+
+def steps(codes: np.ndarray) -> np.ndarray:
+    """Ascending hashes as the bytes of their differences, high ones together, as most of those are 0."""
+    return np.ascontiguousarray(np.diff(codes, prepend=codes[:0] if not len(codes) else np.zeros(1, np.uint64)).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def from_steps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+class Block:
+    """A block's tokens and what shards answered: the words' counts in training and, by length, which sequences are candidates."""
+
+    def __init__(self, data: bytes, answers: pd.DataFrame):
+        self.ids, self.lengths, self.tokens, self.used, self.hashes = blocks.open_block(data)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        got = answers.sort_values("shard")
+        self.answers: dict[int, list[bytes]] = {}
+        for shard, answer in zip(got["shard"], got["data"]):
+            self.answers.setdefault(shard >> 16, []).append(answer)
+        self.count = np.concatenate([unpack(x, np.uint32)[0] for x in self.answers.get(WORDS, ())] or [np.zeros(0, np.uint32)])
+
+    def lengths_of(self, depth: int):
+        """For each length of sequence from two tokens on: (places where one ends, distinct hashes, each one's first place, the number of
+        the hash at each place, hashes of the parts without the first or last token at any place)."""
+        word = self.hashes[self.tokens]
+        ok, code = (self.count >= LEAST)[self.tokens], word
+        for k in range(1, depth + 1):
+            before = back_by(np.where(ok, 1, -1), self.first) > 0
+            at = np.flatnonzero(before & ok)
+            own, where, number = distinct(mix64(code[at - 1] * _GOLD + word[at]))
+            yield at, own, at[where], number, code
+            if k < depth:
+                kept = self.kept(k)[0][number] > 0
+                ok, code = np.zeros(len(word), bool), code.copy()
+                ok[at[kept]], code[at[kept]] = True, own[number[kept]]
+
+    def kept(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct sequence of k + 1 tokens, whether it is a candidate (2: this block reports it), and the counts of those to report."""
+        parts = [unpack(x, np.uint8, np.int64) for x in self.answers.get(k, ())]
+        return tuple(np.concatenate([x[j] for x in parts] or [np.zeros(0, d)]) for j, d in ((0, np.uint8), (1, np.int64)))
+
+    def wanted(self, lengths: list) -> tuple[np.ndarray, list[int]]:
+        """Hashes of the candidates that the block has, by length, and where each length ends."""
+        parts = [self.hashes[self.count >= LEAST], *(x[1][self.kept(k)[0] > 0] for k, x in enumerate(lengths, 1))]
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts]).tolist()
+
+    def score(self, root: np.ndarray) -> np.ndarray:
         """log10 probability at each position; root: that of the tokens alone."""
-        ends = self.numbers(word, first)
-        out, alive = np.zeros(len(word)), np.ones(len(word), bool)
-        for k in range(len(self.codes) - 1, 0, -1):  # states of k tokens before the position
-            s = back_by(ends[k - 1], first)
-            at = np.flatnonzero(alive & (s >= 0))
-            at = at[self.state[k - 1][s[at]]]
-            g = ends[k][at]
-            hit = at[g >= 0]
-            out[hit] += self.logp[k][g[g >= 0]]
-            alive[hit] = False
-            out[at[g < 0]] += self.left[k - 1][s[at[g < 0]]]
+        lengths = list(self.lengths_of(DEPTH))
+        codes, ends = self.wanted(lengths)
+        values = np.full((2, len(codes)), np.nan)
+        got = [unpack(x, np.float32, np.float32) for x in self.answers.get(VALUES, ())]
+        values[:, np.argsort(codes, kind="stable")] = [np.concatenate([x[j] for x in got] or [np.zeros(0)]) for j in (0, 1)]
+        nothing = np.full(len(self.tokens), np.nan)
+        told = np.full(len(self.count), np.nan)
+        told[self.count >= LEAST] = values[1, : ends[0]]
+        left, logp = [told[self.tokens]], [nothing]
+        for k, (at, own, _, number, _) in enumerate(lengths, 1):
+            for j, out in ((0, logp), (1, left)):
+                told = np.full(len(own), np.nan)
+                told[self.kept(k)[0] > 0] = values[j, ends[k - 1] : ends[k]]
+                out.append(nothing.copy())
+                out[-1][at] = told[number]
+        out, alive = np.zeros(len(self.tokens)), np.ones(len(self.tokens), bool)
+        for k in range(DEPTH, 0, -1):  # states of k tokens before the position
+            passed = np.concatenate([[np.nan], left[k - 1][:-1]])
+            passed[self.first] = np.nan
+            at = alive & ~np.isnan(passed)
+            hit = at & ~np.isnan(logp[k])
+            out[hit] += logp[k][hit]
+            alive &= ~hit
+            out[at & ~hit] += passed[at & ~hit]
         out[alive] += root[alive]
         return out
 
 
-def fit(tree: Tree, counts: list[np.ndarray], total: int, root: np.ndarray, divergence: float = DIVERGENCE, mu: float = MU) -> Tree:
-    """Fills in a tree's probabilities. counts: of the candidates by length; root: log10 probability of the frequent words."""
-    p, suffix, tests = [10**root], [np.zeros(len(root), np.int64)], []
-    for k in range(1, len(tree.codes)):
-        before, last = tree.codes[k] >> 32, tree.codes[k] & 0xFFFFFFFF
-        suffix.append(last if k == 1 else find(tree.codes[k - 1], suffix[k - 1][before] << 32 | last))
-        ctx, n = counts[k - 1].astype(float), counts[k].astype(float)
-        low = p[k - 1][suffix[k]]
-        p.append((n + mu * low) / (ctx[before] + mu))
-        m = len(ctx)
-        seen, seen_low = np.bincount(before, n, m), np.bincount(before, low, m)
-        rest, rest_low = np.maximum(ctx - seen, 0), np.maximum(1 - seen_low, 1e-12)
-        tree.left.append(np.log10((rest + mu * rest_low) / (ctx + mu) / rest_low))
-        kl = np.bincount(before, n * np.log(n / ctx[before] / low), m) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / ctx / rest_low), 0)
-        tests.append((np.bincount(before, minlength=m) > 0) & (kl >= divergence * np.log(max(total, 2))))
-    for k in range(len(tests) - 1, 0, -1):  # the suffixes of a state are states
-        tests[k - 1][suffix[k][tests[k]]] = True
-    tree.state, tree.logp = tests, [np.log10(x) for x in p]
-    return tree
+def ask(cut: DataFrame, answers: DataFrame, work, ddl: str) -> DataFrame:
+    """work(block, its number) of each block, with what shards have answered so far."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({field.split()[0]: pd.Series([], dtype=object) for field in ddl.split(", ")})
+        return work(Block(left["data"].iloc[0], right), left["block"].iloc[0])
+
+    return cut.filter("shard < 0").groupBy("route").cogroup(answers.groupBy("route")).applyInPandas(run, ddl)
+
+
+def to_shards(number: int, shards: int, codes: np.ndarray, *more: np.ndarray) -> pd.DataFrame:
+    """Sorted hashes and what goes with them, packed by shard."""
+    ends = np.searchsorted(shards_of(codes, shards), np.arange(shards + 1)).tolist()
+    parts = [(s, pack(steps(codes[a:b]), *(x[a:b] for x in more))) for s, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+    return pd.DataFrame({"route": [s for s, _ in parts], "block": number, "shard": [s for s, _ in parts], "data": [x for _, x in parts]})
+
+
+def candidates(cut: DataFrame, answers: DataFrame, k: int) -> DataFrame:
+    """Answers to blocks on their sequences of k + 1 tokens."""
+    shards = min(shuffle_partitions(cut.sparkSession), 1 << 16)
+
+    def send(block: Block, number: int) -> pd.DataFrame:
+        *_, (at, own, _, which, _) = block.lengths_of(k)
+        n = np.bincount(which, np.repeat(block.used, block.lengths)[at], len(own))
+        return to_shards(number, shards, own, n.astype(np.uint32))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(from_steps(x), n) for x, n in (unpack(d, np.uint8, np.uint32) for d in pdf["data"])]
+        own, first, which = distinct(np.concatenate([x[0] for x in parts]))
+        n = np.bincount(which, np.concatenate([x[1] for x in parts])).astype(np.int64)
+        kept = (n[which] >= LEAST).astype(np.uint8)
+        kept[first] *= 2
+        ends = np.cumsum([len(x[0]) for x in parts]).tolist()
+        data = [pack(kept[a:b], n[which[a:b]][kept[a:b] == 2]) for a, b in zip([0, *ends], ends)]
+        return pd.DataFrame({"route": -1 - pdf["block"], "block": pdf["block"], "shard": pdf["shard"] | k << 16, "data": data})
+
+    return ask(cut, answers, send, blocks.DDL).groupBy("route").applyInPandas(count, blocks.DDL)
+
+
+def tree(cut: DataFrame, words: DataFrame, answers: DataFrame, total: int, discount: float) -> DataFrame:
+    """(code, kind, value): kind 0, log10 probability of a candidate's last token after the others; kind 1, log10 of the factor by which a
+    state passes on what it has no candidate for."""
+
+    def report(block: Block, _number: int) -> pd.DataFrame:
+        out = []
+        for k, (_, own, where, _, code) in enumerate(block.lengths_of(DEPTH), 1):
+            kept, n = block.kept(k)
+            at = where[kept == 2]
+            out.append(pd.DataFrame({"k": k, "code": own[kept == 2].view(np.int64), "ctx": code[at - 1].view(np.int64), "suf": code[at].view(np.int64), "n": n}))
+        return pd.concat(out)
+
+    found = checkpoint(ask(cut, answers, report, "k int, code long, ctx long, suf long, n long"))
+    c = F.col
+    low = words.filter(c("n") >= LEAST).select(c("hash").alias("code"), "n", (F.greatest(c("n") - discount, F.lit(1e-9)) / max(total, 1)).alias("p"))
+    made, passing = [], []
+    for k in range(1, DEPTH + 1):
+        own = found.filter(c("k") == k).join(low.select(c("code").alias("ctx"), c("n").alias("ctx_n")), "ctx").join(low.select(c("code").alias("suf"), c("p").alias("low")), "suf")
+        own = checkpoint(own.select("code", "ctx", "suf", "n", "ctx_n", "low", ((c("n") + MU * c("low")) / (c("ctx_n") + MU)).alias("p")))
+        made.append(own)
+        low = own.select("code", "n", "p")
+        at = own.groupBy("ctx").agg(F.first("ctx_n").alias("ctx_n"), F.sum("n").alias("seen"), F.sum("low").alias("seen_low"), F.sum(c("n") * F.ln(c("n") / c("ctx_n") / c("low"))).alias("kl"))
+        at = at.select("ctx", "ctx_n", "kl", F.greatest(c("ctx_n") - c("seen"), F.lit(0)).alias("rest"), F.greatest(1 - c("seen_low"), F.lit(1e-12)).alias("rest_low"))
+        kl = c("kl") + F.when(c("rest") > 0, c("rest") * F.ln(c("rest") / c("ctx_n") / c("rest_low"))).otherwise(0.0)
+        left = F.log10((c("rest") + MU * c("rest_low")) / (c("ctx_n") + MU) / c("rest_low"))
+        passing.append(at.select(c("ctx").alias("code"), left.alias("value"), (kl >= DIVERGENCE * float(np.log(max(total, 2)))).alias("diverges")))
+    out, states = [x.select("code", F.lit(0).alias("kind"), F.log10("p").alias("value")) for x in made], None
+    for k in range(DEPTH, 0, -1):  # the suffixes of a state are states
+        own = passing[k - 1].filter("diverges").select("code")
+        states = checkpoint(own if states is None else own.unionByName(made[k - 1].join(states, "code", "left_semi").select(c("suf").alias("code"))).distinct())
+        out.append(passing[k - 1].join(states, "code", "left_semi").select("code", F.lit(1).alias("kind"), "value"))
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole
+
+
+def values(cut: DataFrame, answers: DataFrame, tree_: DataFrame) -> DataFrame:
+    """Answers to blocks: values of both kinds, not a number where the tree has none, of the candidates that a block has, by hash."""
+    shards = min(shuffle_partitions(cut.sparkSession), 1 << 16)
+    # written, so that the blocks' shuffle is gone before the next one
+    asked = checkpoint(ask(cut, answers, lambda block, number: to_shards(number, shards, np.sort(block.wanted(block.lengths_of(DEPTH))[0])), blocks.DDL))
+
+    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({x: pd.Series([], dtype=object) for x in ("route", "block", "shard", "data")})
+        kinds = []
+        for kind in (0, 1):
+            own = right[right["kind"] == kind]
+            code, value = own["code"].to_numpy(np.int64).view(np.uint64), own["value"].to_numpy(np.float32)
+            order = np.argsort(code)
+            kinds.append((code[order], np.append(value[order], np.float32(np.nan))))
+        data = [pack(*(value[find(code, x)] for code, value in kinds)) for x in (from_steps(unpack(d, np.uint8)[0]) for d in left["data"])]
+        return pd.DataFrame({"route": -1 - left["block"], "block": left["block"], "shard": left["shard"] | VALUES << 16, "data": data})
+
+    told = tree_.withColumn("route", F.shiftright(F.shiftrightunsigned("code", 32) * F.lit(shards), 32))
+    return asked.groupBy("route").cogroup(told.groupBy("route")).applyInPandas(look, blocks.DDL)
 
 
 def words_of(cut: DataFrame) -> DataFrame:
@@ -122,72 +261,45 @@ def words_of(cut: DataFrame) -> DataFrame:
     return blocks.vocabulary(cut).groupBy("shard").applyInPandas(run, "hash long, n long")
 
 
-def count_next(cut: DataFrame, tree: Tree) -> DataFrame:
-    """(code, n) of the sequences one token longer than the tree's, whose first and last parts are candidates, in training documents."""
-    tree = cut.sparkSession.sparkContext.broadcast(tree)
-
-    def run(it):
-        for batch in it:
-            for data in batch.column(0):
-                _, lengths, tokens_, used, hashes = blocks.open_block(data.as_py())
-                first = np.cumsum(lengths) - lengths
-                word = find(tree.value.codes[0], hashes)[tokens_]
-                ends = tree.value.numbers(word, first)[-1]
-                before = back_by(ends, first)
-                ok = (before >= 0) & (ends >= 0) & np.repeat(used, lengths)
-                code, n = np.unique(before[ok] << 32 | word[ok], return_counts=True)
-                for a in range(0, len(code), 100_000):
-                    yield pa.RecordBatch.from_pydict({"code": code[a : a + 100_000], "n": n[a : a + 100_000]})
-
-    return cut.filter("shard < 0").select("data").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def train(cut: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> tuple[Tree, int, int, float]:
-    """The tree, tokens and distinct tokens in training, and the discount."""
-    words = checkpoint(words_of(cut))
-    told = words.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    total, v, n1, n2 = (int(x or 0) for x in told)
-    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    least = max(LEAST, p_min * total)
-    found = words.filter(F.col("n") >= least).toPandas()
-    hashes, n = found["hash"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    tree, counts = Tree([hashes[order]]), [n[order]]
-    for _ in range(depth):
-        found = count_next(cut, tree).filter(F.col("n") >= least).toPandas().sort_values("code")
-        if not len(found):
-            break
-        tree = Tree([*tree.codes, found["code"].to_numpy(np.int64)])
-        counts.append(found["n"].to_numpy(np.int64))
-    return fit(tree, counts, total, np.log10(np.maximum(counts[0] - discount, 1e-9) / max(total, 1))), total, v, discount
-
-
 def score(docs: DataFrame, trains=lambda doc_id: crc_mod_py(doc_id, 10) != 0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text); trains(doc_id): learns from it."""
     cut = blocks.cut(docs, split, trains, hashed=True)
-    tree, n, v, discount = train(cut)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    words = checkpoint(words_of(cut))
+    told = words.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    n, v, n1, n2 = (int(x or 0) for x in told)
+    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
     def work(_words, _all, used):
         return lambda places: pack(used[places].astype(np.uint32))
 
-    def back(ids, lengths, tokens_, answers, hashes=np.zeros(0, np.uint64)):
-        c = np.concatenate([unpack(a, np.uint32)[0] for a in answers] or [np.zeros(0, np.uint32)]).astype(np.float64)
+    answers = checkpoint(blocks.per_shard(blocks.vocabulary(cut), work))
+    words = checkpoint(words.filter(F.col("n") >= LEAST))
+    cut = checkpoint(cut.filter("shard < 0"))
+    collect_garbage(cut.sparkSession)  # the vocabularies' files go
+    for k in range(1, DEPTH + 1):
+        answers = answers.unionByName(checkpoint(candidates(cut, answers, k)))
+    made = checkpoint(tree(cut, words, answers, n, discount))
+    collect_garbage(cut.sparkSession)
+    answers = answers.unionByName(checkpoint(values(cut, answers, made)))
+    del made, words
+    collect_garbage(cut.sparkSession)
+
+    def back(block: Block, _number: int) -> pd.DataFrame:
+        c = block.count.astype(np.float64)
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         root = np.log10(np.where(c > 0, c - discount, discount * v) / n) if n else np.zeros(len(c))
-        first = np.cumsum(lengths) - lengths
-        logp = shared.value.score(find(shared.value.codes[0], hashes)[tokens_], first, root[tokens_])
-        sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)  # noqa: E731  every document has a token
+        logp = block.score(root[block.tokens])
+        sums = lambda x: np.add.reduceat(x, block.first) if len(block.first) else np.zeros(0)  # noqa: E731  every document has a token
         return pd.DataFrame(
             {
-                "doc_id": pd.array(ids, "Int64"),
-                "held_out": [not trains(i) for i in ids],
-                "n_tokens": lengths,
-                "n_known": sums((c > 0).astype(np.int64)[tokens_]),
-                "train_tokens": np.full(len(ids), n, np.int64),
-                "base_score": sums(base[tokens_]),
+                "doc_id": pd.array(block.ids, "Int64"),
+                "held_out": [not trains(i) for i in block.ids],
+                "n_tokens": block.lengths,
+                "n_known": sums((c > 0).astype(np.int64)[block.tokens]),
+                "train_tokens": np.full(len(block.ids), n, np.int64),
+                "base_score": sums(base[block.tokens]),
                 "score": sums(logp),
             }
         )
 
-    return blocks.join_back(cut.filter("shard < 0"), blocks.per_shard(blocks.vocabulary(cut), work), back, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ask(cut, answers, back, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

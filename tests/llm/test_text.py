@@ -130,6 +130,16 @@ def test_suffix_tree(spark):
     assert lm.score(docs(spark, ["a"]), lambda i: False).first()["n_known"] == 0
 
 
+def test_suffix_tree_keeps_rare_contexts(spark):
+    """A context that training has three times counts in a large corpus as well."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, 50_000).tolist()) for _ in range(20)] + ["alpha beta gamma delta"] * 4
+    r = next(r for r in lm.score(docs(spark, texts), lambda i: i != 23).collect() if r["doc_id"] == 23)
+    n = r["train_tokens"]
+    # three times each, so after its first token (2 tokens after alpha's own probability) all is (3 + MU * low) / (3 + MU) or more
+    assert n > 1_000_000 and r["held_out"] and r["score"] > math.log10(2 / n) + 4 * math.log10(3 / (3 + lm.MU))
+
+
 def test_quality(spark):
     good = ["alpha beta gamma delta words flow along nicely here and there with plenty of plain text to read so all is well %d" % i for i in range(40)]
     bad = ["BUY!!! NOW### $$$ %%%%%% CLICK*** HERE!!! *** ||| &&& <<< >>> ### $$$ DEAL!!! X### Y$$$ Z%%% A!!! B### C$$$ " + str(i) for i in range(10)]
