@@ -1,8 +1,8 @@
 """Secret scans: three rules, and strings that a primed compressor finds new in a sensitive context.
 
-A candidate is a long run of key-like characters, with digits and letters, shortly after a word such as "password".
+A candidate is a long run of key-like characters shortly after a word such as "password".
 Its marginal compressed bytes are those of zstandard, primed with a dictionary of identifiers and given the text around
-the candidate, with the candidate less those without it. A candidate that costs NOVELTY bytes a character or more is
+the candidate (without other copies of it, so one given twice is as new as one given once), with the candidate less those without it. A candidate that costs NOVELTY bytes a character or more is
 reported as kind `novel`. Spans of the rules stay, whatever the novelty.
 
 Null and empty texts have no spans. Every row is scanned as a whole; repeated and null ids are kept, other columns dropped
@@ -49,9 +49,12 @@ class Novelty:
 
     def of(self, text: str, start: int, end: int) -> float:
         """Marginal compressed bytes a character."""
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        own = text[start:end]
+        # cut where a copy may reach over the edge, after the copies are out
+        before, after = text[max(0, start - AROUND - len(own)) : start].replace(own, ""), text[end : end + AROUND + len(own)].replace(own, "")
+        before, after = before[-AROUND:], after[:AROUND]
         without = len(self.compress((before + after).encode()))
-        return (len(self.compress((before + after + text[start:end]).encode())) - without) / (end - start)
+        return (len(self.compress((before + after + own).encode())) - without) / (end - start)
 
 
 def find(text: str | None, novelty: Novelty) -> list[tuple[str, int, int]]:
@@ -72,8 +75,7 @@ def find(text: str | None, novelty: Novelty) -> list[tuple[str, int, int]]:
             if a < seen or any(s < b and a < e for s, _, e in spans):
                 continue
             seen = b
-            found = text[a:b]
-            if any(c.isdigit() for c in found) and any(c.isalpha() for c in found) and novelty.of(text, a, b) >= NOVELTY:
+            if novelty.of(text, a, b) >= NOVELTY:
                 spans.append((a, 3, b))
     return [(KINDS[k], a, b) for a, k, b in sorted(spans)]
 

@@ -140,6 +140,19 @@ def test_suffix_tree_keeps_rare_contexts(spark):
     assert n > 1_000_000 and r["held_out"] and r["score"] > math.log10(2 / n) + 4 * math.log10(3 / (3 + lm.MU))
 
 
+def test_secrets_given_twice_or_of_letters():
+    rng, novelty = np.random.default_rng(8), secrets.Novelty()
+    make = lambda chars, n: "".join(rng.choice(list(chars), n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for _ in range(20):
+        key, plain = make(letters + "0123456789", 40), make(letters, 40)
+        line = f'curl -H "Authorization: Bearer {key}" https://example.com/\n'
+        got = secrets.find(line * 2, novelty)
+        assert [(kind, (line * 2)[a:b]) for kind, a, b in got] == [("novel", key)] * 2
+        assert [x[0] for x in secrets.find(f"Bearer {plain} ", novelty)] == ["novel"]
+    assert secrets.find("the bearer xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", novelty) == []
+
+
 def test_quality(spark):
     good = ["alpha beta gamma delta words flow along nicely here and there with plenty of plain text to read so all is well %d" % i for i in range(40)]
     bad = ["BUY!!! NOW### $$$ %%%%%% CLICK*** HERE!!! *** ||| &&& <<< >>> ### $$$ DEAL!!! X### Y$$$ Z%%% A!!! B### C$$$ " + str(i) for i in range(10)]
