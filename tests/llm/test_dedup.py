@@ -154,6 +154,18 @@ def test_passages_of_common_lines(spark):
     assert len({i for i, _ in want}) >= 40 and want <= got
 
 
+def test_no_near_copy_misses_its_hits(spark):
+    """Passages of 50 words with one changed, a similarity of just over 0.8."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    rows = []
+    for _ in range(1500):
+        w = [word() for _ in range(50)]
+        rows += [w, [*w[:25], word(), *w[26:]]]
+    got = {r["doc_id"] for r in substrings.repeats(docs(spark, [" ".join(w) for w in rows])).collect()}
+    assert got == set(range(1, 3000, 2))
+
+
 def test_whole_copies_go(spark):
     t = " ".join(f"w{k}" for k in range(70))
     assert [r["doc_id"] for r in substrings.drop_repeats(docs(spark, [t, t.upper(), t + "\n"])).collect()] == [0]
