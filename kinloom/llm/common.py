@@ -40,10 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local session, whose executors are the driver, gets a temporary
+    one if it names none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -70,23 +74,58 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Bits of a filter; the broadcast table has FILTER_BITS / 64 rows at most, whatever the number of ids.
+#: Bytes of input that a shard stands for at most, where the session asks for fewer shards.
+SHARD_BYTES = 64 << 20
+
+
+def shards_for(df: DataFrame) -> int:
+    """Shards of what df is cut into: the session's shuffle partitions, more if what df reads is large for them (by Spark's own estimate)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 55)  # the others aren't known
+    return min(max(shuffle_partitions(df.sparkSession), size // SHARD_BYTES), 1 << 16)
+
+
+def as_rows(df: DataFrame) -> Column:
+    """All columns as one struct: whatever they are called, they can't clash with an operator's own. Back with select("row.*")."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row")
+
+
+#: Bits of a filter; the broadcast table has FILTER_BITS / 64 rows at most, whatever the number of keys.
 FILTER_BITS = 1 << 24
 
 
-def split_by_filter(df: DataFrame, column: str, ids: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """Rows of df whose column may be in ids (one column of longs), and those whose column surely isn't, nulls among them.
+def flagged(df: DataFrame, key: Column, keys: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """df with a boolean column: whether key (a long of df's) may be in keys (one column of longs); false surely isn't, null isn't.
 
-    A filter of fixed size keeps most rows that a join with ids would drop out of its shuffle; it doesn't replace the join.
+    A filter of fixed size keeps most rows that a join with keys would drop out of its shuffle; it doesn't replace the join.
+    df's own columns mustn't be named as the helpers below; see as_rows().
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    at = ids.select(place(F.col(ids.columns[0])).alias("at")).select(F.shiftright("at", 6).alias("filter_word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
+    at = keys.select(place(F.col(keys.columns[0])).alias("at")).select(F.shiftright("at", 6).alias("filter_word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
     words = checkpoint(at.groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits")))
-    key = place(F.col(column).cast("long"))
-    told = df.withColumn("filter_at", F.when(F.col(column).isNotNull(), key)).withColumn("filter_key", F.shiftright("filter_at", 6))
-    told = told.join(F.broadcast(words), told["filter_key"] == words["filter_word"], "left")
-    maybe = F.coalesce(F.expr("shiftright(filter_bits, cast(filter_at & 63 AS int)) & 1L") == 1, F.lit(False))
-    return told.filter(maybe).select(*df.columns), told.filter(~maybe).select(*df.columns)
+    told = df.withColumn("filter_at", F.when(key.isNotNull(), place(key))).withColumn("filter_key", F.shiftright("filter_at", 6))
+    told = told.join(F.broadcast(words), F.col("filter_key") == F.col("filter_word"), "left")
+    return told.select(*df.columns, F.coalesce(F.expr("shiftright(filter_bits, cast(filter_at & 63 AS int)) & 1L") == 1, F.lit(False)).alias(name))
+
+
+def split_by_filter(df: DataFrame, column: str, ids: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose column may be in ids (one column of longs), and those whose column surely isn't, nulls among them."""
+    told = flagged(df.select(as_rows(df), F.col(f"`{column}`").cast("long").alias("key")), F.col("key"), ids, "maybe", bits)
+    return told.filter("maybe").select("row.*"), told.filter("NOT maybe").select("row.*")
+
+
+def text_hash(text: Column) -> Column:
+    """A 64-bit hash of a text; what is null hashes alike."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs (doc_id long, text, ...) with a column tag: 0, or a hash of the text if other rows (may) have the same id, so that
+    (doc_id, tag) names a text. Ids that occur once aren't shuffled with their texts."""
+    often = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    told = flagged(docs, F.col("doc_id"), often, "often")
+    return told.select(*docs.columns, F.when(F.col("often"), F.pmod(text_hash(F.col("text")), F.lit((1 << 31) - 1)).cast("int") + 1).otherwise(F.lit(0)).alias("tag"))
 
 
 def sample_ids(ids: DataFrame, n: int) -> DataFrame:
@@ -142,6 +181,17 @@ def unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
+def planes(x: np.ndarray, width: int = 4) -> np.ndarray:
+    """Non-negative numbers under 256 ** width as bytes, all low ones first: high ones are mostly 0 and pack well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).ravel()
+
+
+def from_planes(x: np.ndarray, width: int = 4) -> np.ndarray:
+    out = np.zeros((len(x) // width, 8), np.uint8)
+    out[:, :width] = x.reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
 def join_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Words as lengths and one byte array."""
     return np.fromiter(map(len, words), np.uint32, len(words)), np.frombuffer(b"".join(words), np.uint8)
