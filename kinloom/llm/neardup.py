@@ -16,7 +16,8 @@ So no link between bucket mates is lost, and large groups never make all pairs.
 A true link at the least similarity of 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS = 5e-6.
 
 Null and empty texts have no shingles. A null id takes no part (component null, kept). Rows with one id are told apart by their texts,
-and each gets its row.
+and each gets its row. Where only one row of a group is to stay, it is that of the smallest id, of several with it the one with the smallest hash of
+its text, and of equal rows any. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import Ids, batches, checkpoint, mix64, split_by_filter, tokens
+from .common import Ids, as_rows, batches, checkpoint, flagged, mix64, split_by_filter, text_hash, tokens
 
 ROWS, BANDS = 6, 40
 #: Classes of a group that are tried one by one, and steps of the prefix filter of larger ones.
@@ -39,7 +40,7 @@ ADD = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
 #: Words gathered before their shingles are hashed, and shingles that are hashed at once (they stay in the cache).
 CHUNK, AT_ONCE = 300_000, 1 << 15
 #: Classes of one pivot in one salt of it.
-PER_SALT = 500
+PER_SALT, PARTS = 500, 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +65,7 @@ def sets(it, words: int):
         return [(i, shingles(hashes[p], words)) for i, p in held]
 
     for batch in it:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column("text")):
             w = tokens(text.as_py())
             held.append((doc_id, np.fromiter(map(seen.__getitem__, w), np.int64, len(w))))
             n += len(w)
@@ -101,25 +102,26 @@ def class_of(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, cls, bands) of each row; cls and bands null without shingles."""
+    """(doc_id, hash, n, cls, bands) of each row, hash that of the text; cls and bands null without shingles."""
 
     def rows(it):
         for chunk in sets(it, words):
             part, size = [], 0
             for k, (i, s) in enumerate(chunk):
-                part.append((i, s))
+                part.append(((i["doc_id"], i["hash"]), s))
                 size += len(s)
                 if size >= AT_ONCE or k == len(chunk) - 1:
                     keys = iter(bands(full) if (full := [s for _, s in part if len(s)]) else ())
-                    for i, s in part:
-                        yield (i, len(s), class_of(s), next(keys)) if len(s) else (i, 0, None, None)
+                    for (i, h), s in part:
+                        yield (i, h, len(s), class_of(s), next(keys)) if len(s) else (i, h, 0, None, None)
                     part, size = [], 0
 
-    return docs.mapInArrow(lambda it: batches(rows(it), _SIGNED), "doc_id long, n long, cls long, bands array<long>")
+    named = docs.select(F.struct("doc_id", text_hash(F.col("text")).alias("hash")).alias("name"), "text")
+    return named.mapInArrow(lambda it: batches(rows(it), _SIGNED), "doc_id long, hash long, n long, cls long, bands array<long>")
 
 
 _SETS = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
@@ -141,13 +143,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs (x, p) with sizes and sets, nx, np, sx and sp. A p of many pairs is salted."""
-    salts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
+    """Pairs (x, p) with sizes and sets, nx, np, sx and sp. A p of many pairs is salted from the first, see salted()."""
+    left, salts = salted(pairs)
     right = items.join(salts, items["cls"] == salts["p"]).select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("n").alias("np"), F.col("items").alias("sp"))
-    left = pairs.join(salts, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int")).drop("salts")
     return left.join(items.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("items").alias("sx")), "x").join(right, ["p", "salt"])
 
 
+def salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs with a salt of their p, PER_SALT of them in one, and (p, salts). Pairs are counted and joined by parts of a p, so that those of a
+    common one never meet in one task."""
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int"))
+    salts = pairs.groupBy("p", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.ceil(F.sum("n") / PER_SALT).cast("int").alias("salts"), F.collect_list("part").alias("parts"))
+    told = pairs.join(salts.select("p", "salts", F.explode("parts").alias("part")), ["p", "part"])
+    return told.withColumn("salt", F.pmod(F.xxhash64("x", F.lit(1)), F.col("salts")).cast("int")).drop("salts", "part"), salts.select("p", "salts")
+
+
 def confirm(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """(x, p, linked) of pairs: whether the full sets are similar enough."""
     both = with_sets(pairs, items).withColumn("common", F.size(F.array_intersect("sx", "sp")).cast("long"))
@@ -186,16 +196,16 @@ def rest_by_difference(group: DataFrame, items: DataFrame, percent: int) -> Data
 
 
 def groups(docs: DataFrame, words: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """The rows' (doc_id, n, cls), and (cls, component_id) of the classes."""
+    """The rows' (doc_id, hash, n, cls), and (cls, component_id, keeper) of the classes: the smallest id, and with it the smallest hash of a text."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = checkpoint(signatures(docs, words))
-    classes = signed.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    classes = signed.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "hash")).alias("least"), F.first("bands").alias("bands"))
     each = classes.select("cls", F.explode("bands").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     rows = checkpoint(each.join(shared, "key"))
     members = rows.groupBy("cls").agg(F.sum("c").alias("mates"))
-    classes = classes.select("cls", "doc_id")
-    items = checkpoint(full_sets(docs, members.join(classes, "cls"), words))
+    classes = classes.select("cls", F.col("least.doc_id").alias("doc_id"), "least")
+    items = checkpoint(full_sets(docs, members.join(classes.drop("least"), "cls"), words))
     rows = rows.join(members, "cls")
     first = rows.groupBy("key").agg(F.max(F.struct("mates", F.xxhash64("cls").alias("h"), "cls")).alias("first")).select("key", F.col("first.cls").alias("p"))
     pairs = checkpoint(rows.join(first, "key").filter("cls <> p").select(F.col("cls").alias("x"), "p").distinct())
@@ -203,17 +213,18 @@ def groups(docs: DataFrame, words: int = 4, percent: int = 80) -> tuple[DataFram
     comp = components.components(links_of(tested))
     # what isn't linked to the pivot may be to another class of its group
     at = tested.join(comp, tested["x"] == comp["node"], "left").select("x", "p", "linked", F.coalesce("root", "x").alias("comp"))
-    size = at.groupBy("p").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("unlinked")).filter("size > 1 AND unlinked > 0")
-    at = checkpoint(at.join(size, "p"))
+    at = at.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int"))
+    size = at.groupBy("p", "part").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("unlinked")).groupBy("p").agg(F.sum("size").alias("size"), F.sum("unlinked").alias("unlinked"), F.collect_list("part").alias("parts")).filter("size > 1 AND unlinked > 0")
+    at = checkpoint(at.join(size.select("p", "size", F.explode("parts").alias("part")), ["p", "part"]).drop("part"))
     small = at.filter(F.col("size") <= SMALL)
     few = small.filter("NOT linked").select("p", "x", F.col("comp").alias("xc")).join(small.select("p", F.col("x").alias("y"), F.col("comp").alias("yc")), "p").filter("x <> y AND xc <> yc").select("x", "y")
     many = rest_by_difference(at.filter(F.col("size") > SMALL).select("x", "p", "comp"), items, percent)
     more = few.unionByName(many).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("p")).distinct()
     found = links_of(confirm(checkpoint(more), items, percent))
     comp = components.components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-    labelled = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return signed.select("doc_id", "n", "cls"), labelled.join(least, "root").select("cls", "component_id")
+    labelled = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("keeper"))
+    return signed.select("doc_id", "hash", "n", "cls"), labelled.select("root", "cls").join(least, "root").select("cls", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
@@ -224,9 +235,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one row of each group; rows of null ids stay."""
-    found = checkpoint(near_duplicates(docs, words, percent))
-    gone = found.filter("NOT kept").select("doc_id").unionByName(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    kept = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    may, stay = split_by_filter(docs, "doc_id", gone)  # only rows that may go or repeat an id are shuffled
-    return may.join(kept, may["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(stay)
+    """docs with one row of each group; rows of null ids and rows without a word stay, whatever their ids."""
+    signed, classes = groups(docs, words, percent)
+    own = signed.filter("doc_id IS NOT NULL AND cls IS NOT NULL").groupBy("doc_id", "hash", "cls").agg(F.count(F.lit(1)).alias("n"))
+    told = own.join(classes, "cls").select("doc_id", "hash", (F.struct("doc_id", "hash") == F.col("keeper")).alias("stays"), "n")
+    told = checkpoint(told.filter("NOT stays OR n > 1").select("doc_id", "hash", "stays"))
+    name = F.xxhash64("doc_id", "hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text").cast("string")).alias("hash"), as_rows(docs))
+    rows = flagged(rows, F.when(F.col("doc_id").isNotNull(), name), told.select(name.alias("name")), "maybe")  # only rows that may go or repeat one are shuffled
+    may = rows.filter("maybe").join(told, ["doc_id", "hash"], "left")
+    once = may.filter("stays").dropDuplicates(["doc_id", "hash"])
+    return rows.filter("NOT maybe").select("row").unionByName(may.filter("stays IS NULL").select("row")).unionByName(once.select("row")).select("row.*")

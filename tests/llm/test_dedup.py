@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kinloom.llm import components, neardup, substrings
 from kinloom.llm.common import tokens
@@ -196,3 +198,42 @@ def test_pipeline(spark, tmp_path):
     assert set(seen["packing"]) == set(cut)
     told = lambda x: sorted((r["doc_id"], r["doc_tokens"], r["n"]) for r in x.groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect())
     assert told(corpus_pipeline.run(spark, str(tmp_path))) == told(df)  # how documents are cut depends on their partitions
+
+
+def words_of(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rng = random.Random(31)
+    a, b, c = words_of(rng, 60), words_of(rng, 60), words_of(rng, 90)
+    d, e, f = words_of(rng, 40), words_of(rng, 40), words_of(rng, 70)
+    rows = [(3, a), (5, f"{a} tail"), (5, b), (6, d), (6, e), (7, f), (7, f"{f} tail"), (7, f), (7, f), (8, None), (8, None), (8, ""), (None, " ")]
+    left = [(r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()]
+    assert sum(i == 7 for i, _ in left) == 1 and {x for x in left if x[0] == 7} <= set(rows)
+    assert sorted(map(str, (x for x in left if x[0] != 7))) == sorted(map(str, (x for x in rows if x[0] != 7 and x != (5, f"{a} tail"))))
+    # passages: (1, c) has what (2, ...) has as well; the other row of id 2 has it not
+    texts = [c, f"{words_of(rng, 20)} {c}", b, b, f"{b} {words_of(rng, 15)}"]
+    out = sorted((r["doc_id"], r["text"]) for r in substrings.drop_repeats(docs(spark, texts, [1, 2, 2, 2, 7])).collect())
+    want = sorted([(1, c), (2, " ".join(texts[1].split()[:20]) + " "), (2, b), (2, b), (7, " " + " ".join(texts[4].split()[60:]))])
+    assert out == want
+    # two different texts of one id with a passage in common: one of them keeps it
+    out = [r["text"].split() for r in substrings.drop_repeats(docs(spark, [texts[1], f"{c} {words_of(rng, 12)}"], [4, 4])).collect()]
+    assert sorted(map(len, out)) in ([12, 110], [20, 102])
+
+
+HELPERS = """at filter_at filter_key filter_word filter_bits maybe often tag key span_id span_list spans left_over row hash name stays keeper cls n bands component_id n_shingles
+kept least root x xt p pt cx cp l r f found need part salt salts lo hi offsets start end ref_doc_id DOC_HASH value shard data""".split()
+
+
+def test_columns_of_any_name_stay(spark):
+    rng = random.Random(32)
+    a, b = words_of(rng, 80), words_of(rng, 80)
+    df = docs(spark, [a, f"{a} x", b, f"{words_of(rng, 40)} {b}"]).select("doc_id", "text", *[F.concat(F.lit(f"{c} of "), F.col("doc_id")).alias(c) for c in HELPERS], F.lit(1.5).alias("odd `name.with dots"))
+    for stage, ids in ((neardup.drop_near_duplicates, {0, 2, 3}), (substrings.drop_repeats, {0, 1, 2, 3})):
+        out = stage(df)
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} == ids and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in HELPERS)
+    assert stage(df.limit(0)).columns == df.columns and stage(df.limit(0)).count() == 0
+    assert neardup.drop_near_duplicates(df.limit(0)).count() == 0
