@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, checkpoint, cut_words, join_words, pack, release, shuffle_partitions, unpack
+from .common import Ids, checkpoint, cut_words, join_words, pack, release, shards_for, unpack
 
 SCHEMA = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
 DDL = "route long, block long, shard int, data binary"
@@ -55,7 +55,7 @@ def cut(docs: DataFrame, split: Callable[[str | None], list[bytes]], used: Calla
     may use it twice, as both per_shard() and join_back() group all of it by route, so the same shuffle serves both. Shard -1 has a block's documents as
     (ids, null ids, lengths, bounds of shards, tokens' shards and places by byte, what used() said, hashes of the vocabulary if hashed); the others have a vocabulary's part as
     (lengths, bytes, tokens in all, tokens in documents whose id passes used())."""
-    shards = min(shuffle_partitions(docs.sparkSession), 1 << 16)
+    shards = shards_for(docs)
 
     def run(it):
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32

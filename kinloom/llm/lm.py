@@ -12,7 +12,8 @@ Each token is scored by the longest state that its history ends in. The distribu
 
 Counts run over all training documents: words are counted by blocks and shards (see blocks), longer sequences a length at a time, by
 64-bit hashes: a block sends a shard each distinct sequence whose two parts are candidates once, with its count, and gets back which ones
-are candidates. The tree is tables partitioned by those hashes; to score, a block asks the shards for the candidates that it has. Neither
+are candidates and how often they are found. So a block works out the probabilities of its own candidates by itself; for each candidate, one block adds to the sums of
+its context by which that is tested. The states are a table partitioned by hash; to score, a block asks the shards for the contexts that it has. Neither
 the driver nor a broadcast holds any of it.
 
 Null and empty texts are one end. Repeated and null ids are kept. Without training documents every token is unknown, with probability 1.
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import checkpoint, collect_garbage, crc_mod_py, mix64, pack, shuffle_partitions, tokens, unpack
+from .common import checkpoint, collect_garbage, crc_mod_py, mix64, pack, shards_for, tokens, unpack
 
 #: No word has this byte.
 STOP = b"\n"
-#: P_MIN: no share of the training tokens is asked of a candidate; its count decides.
-DEPTH, P_MIN, LEAST, DIVERGENCE, MU = 3, 0.0, 3, 2.0, 4.0
+#: LEAST: no share of the training tokens is asked of a candidate; its count decides.
+DEPTH, LEAST, DIVERGENCE, MU = 3, 3, 2.0, 4.0
 #: Kinds of answers to a block, beside its candidates of two tokens or more (by their number of contexts' tokens).
 WORDS, VALUES = 0, DEPTH + 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -110,32 +111,67 @@ class Block:
                 ok[at[kept]], code[at[kept]] = True, own[number[kept]]
 
     def kept(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each distinct sequence of k + 1 tokens, whether it is a candidate (2: this block reports it), and the counts of those to report."""
+        """Of each distinct sequence of k + 1 tokens, whether it is a candidate (2: this block reports it), and its count if it is."""
         parts = [unpack(x, np.uint8, np.int64) for x in self.answers.get(k, ())]
-        return tuple(np.concatenate([x[j] for x in parts] or [np.zeros(0, d)]) for j, d in ((0, np.uint8), (1, np.int64)))
-
-    def wanted(self, lengths: list) -> tuple[np.ndarray, list[int]]:
-        """Hashes of the candidates that the block has, by length, and where each length ends."""
-        parts = [self.hashes[self.count >= LEAST], *(x[1][self.kept(k)[0] > 0] for k, x in enumerate(lengths, 1))]
+        kept, n = (np.concatenate([x[j] for x in parts] or [np.zeros(0, d)]) for j, d in ((0, np.uint8), (1, np.int64)))
+        count = np.zeros(len(kept), np.int64)
+        count[kept > 0] = n
+        return kept, count
+
+    def contexts(self, lengths: list) -> tuple[np.ndarray, list[int]]:
+        """Hashes of the candidates of up to DEPTH tokens that the block has, by length, and where each length ends."""
+        parts = [self.hashes[self.count >= LEAST], *(x[1][self.kept(k)[0] > 0] for k, x in enumerate(lengths, 1) if k < DEPTH)]
         return np.concatenate(parts), np.cumsum([len(x) for x in parts]).tolist()
 
-    def score(self, root: np.ndarray) -> np.ndarray:
+    def learn(self, lengths: list, total: int, discount: float):
+        """For each length from two tokens on: which of its distinct sequences are candidates (2: reported here), counts and probabilities of their
+        last tokens; and counts and probabilities at each place of the sequences that are one token shorter."""
+        n = np.where(self.count >= LEAST, self.count, 0)[self.tokens].astype(np.float64)
+        p = np.maximum(n - discount, 1e-9) / max(total, 1)
+        for k, (at, _, where, number, _) in enumerate(lengths, 1):
+            kept, count = self.kept(k)
+            own = (count + MU * p[where]) / (n[where - 1] + MU)
+            yield kept, count, own, n, p
+            if k < DEPTH:
+                n, p = np.zeros(len(n)), np.zeros(len(p))
+                n[at], p[at] = count[number], np.where(kept > 0, own, 0)[number]
+
+    def sums(self, total: int, discount: float) -> pd.DataFrame:
+        """What the candidates that this block reports add to the sums of their contexts, and the hashes of these and of their suffixes."""
+        lengths, out = list(self.lengths_of(DEPTH)), []
+        for k, ((kept, count, _, n, p), (_, _, where, _, code)) in enumerate(zip(self.learn(lengths, total, discount), lengths), 1):
+            mine = np.flatnonzero(kept == 2)
+            at = where[mine]
+            ctx, first, which = distinct(code[at - 1])
+            c, ctx_n, low = count[mine].astype(np.float64), n[at - 1], p[at]
+            add = lambda x: np.bincount(which, x, len(ctx))
+            shorter = [lengths[j][4][at[first] - 1].view(np.int64) for j in range(k - 2, -1, -1)]
+            shorter += [np.zeros(len(ctx), np.int64)] * (DEPTH - 1 - len(shorter))
+            out.append(pd.DataFrame({"k": np.full(len(ctx), k, np.int32), "ctx": ctx.view(np.int64), **{f"suf{j}": x for j, x in enumerate(shorter)}, "ctx_n": ctx_n[first], "seen": add(c), "seen_low": add(low), "kl": add(c * np.log(c / ctx_n / low))}))
+        return pd.concat(out)
+
+    def score(self, root: np.ndarray, total: int, discount: float) -> np.ndarray:
         """log10 probability at each position; root: that of the tokens alone."""
         lengths = list(self.lengths_of(DEPTH))
-        codes, ends = self.wanted(lengths)
-        values = np.full((2, len(codes)), np.nan)
-        got = [unpack(x, np.float32, np.float32) for x in self.answers.get(VALUES, ())]
-        values[:, np.argsort(codes, kind="stable")] = [np.concatenate([x[j] for x in got] or [np.zeros(0)]) for j in (0, 1)]
-        nothing = np.full(len(self.tokens), np.nan)
-        told = np.full(len(self.count), np.nan)
-        told[self.count >= LEAST] = values[1, : ends[0]]
-        left, logp = [told[self.tokens]], [nothing]
-        for k, (at, own, _, number, _) in enumerate(lengths, 1):
-            for j, out in ((0, logp), (1, left)):
-                told = np.full(len(own), np.nan)
-                told[self.kept(k)[0] > 0] = values[j, ends[k - 1] : ends[k]]
-                out.append(nothing.copy())
-                out[-1][at] = told[number]
+        codes, ends = self.contexts(lengths)
+        values = np.full(len(codes), np.nan)
+        got = [unpack(x, np.uint8, np.float32) for x in self.answers.get(VALUES, ())]
+        told = np.full(sum(len(x[0]) for x in got), np.nan)
+        told[np.concatenate([x[0] for x in got] or [np.zeros(0, np.uint8)]) > 0] = np.concatenate([x[1] for x in got] or [np.zeros(0)])
+        values[np.argsort(codes, kind="stable")] = told
+        passing = np.full(len(self.count), np.nan)
+        passing[self.count >= LEAST] = values[: ends[0]]
+        left, logp = [passing[self.tokens]], [None]
+        for k, ((kept, _, own, _, _), (at, _, _, number, _)) in enumerate(zip(self.learn(lengths, total, discount), lengths), 1):
+            out = np.full(len(self.tokens), np.nan)
+            out[at] = np.where(kept > 0, np.log10(own), np.nan)[number]
+            logp.append(out)
+            if k < DEPTH:
+                passing = np.full(len(kept), np.nan)
+                passing[kept > 0] = values[ends[k - 1] : ends[k]]
+                out = np.full(len(self.tokens), np.nan)
+                out[at] = passing[number]
+                left.append(out)
         out, alive = np.zeros(len(self.tokens)), np.ones(len(self.tokens), bool)
         for k in range(DEPTH, 0, -1):  # states of k tokens before the position
             passed = np.concatenate([[np.nan], left[k - 1][:-1]])
@@ -167,9 +203,8 @@ def to_shards(number: int, shards: int, codes: np.ndarray, *more: np.ndarray) ->
     return pd.DataFrame({"route": [s for s, _ in parts], "block": number, "shard": [s for s, _ in parts], "data": [x for _, x in parts]})
 
 
-def candidates(cut: DataFrame, answers: DataFrame, k: int) -> DataFrame:
+def candidates(cut: DataFrame, answers: DataFrame, k: int, shards: int) -> DataFrame:
     """Answers to blocks on their sequences of k + 1 tokens."""
-    shards = min(shuffle_partitions(cut.sparkSession), 1 << 16)
 
     def send(block: Block, number: int) -> pd.DataFrame:
         *_, (at, own, _, which, _) = block.lengths_of(k)
@@ -183,68 +218,42 @@ def candidates(cut: DataFrame, answers: DataFrame, k: int) -> DataFrame:
         kept = (n[which] >= LEAST).astype(np.uint8)
         kept[first] *= 2
         ends = np.cumsum([len(x[0]) for x in parts]).tolist()
-        data = [pack(kept[a:b], n[which[a:b]][kept[a:b] == 2]) for a, b in zip([0, *ends], ends)]
+        data = [pack(kept[a:b], n[which[a:b]][kept[a:b] > 0]) for a, b in zip([0, *ends], ends)]
         return pd.DataFrame({"route": -1 - pdf["block"], "block": pdf["block"], "shard": pdf["shard"] | k << 16, "data": data})
 
     return ask(cut, answers, send, blocks.DDL).groupBy("route").applyInPandas(count, blocks.DDL)
 
 
-def tree(cut: DataFrame, words: DataFrame, answers: DataFrame, total: int, discount: float) -> DataFrame:
-    """(code, kind, value): kind 0, log10 probability of a candidate's last token after the others; kind 1, log10 of the factor by which a
-    state passes on what it has no candidate for."""
+def states(cut: DataFrame, answers: DataFrame, total: int, discount: float) -> DataFrame:
+    """(ctx, value) of each state: its hash, and log10 of the factor by which it passes on what it has no candidate for."""
+    c, sufs = F.col, [f"suf{j}" for j in range(DEPTH - 1)]
+    ddl = f"k int, ctx long, {', '.join(f'{x} long' for x in sufs)}, ctx_n double, seen double, seen_low double, kl double"
+    found = ask(cut, answers, lambda block, _number: block.sums(total, discount), ddl)
+    at = found.groupBy("k", "ctx").agg(*[F.first(x).alias(x) for x in sufs], F.first("ctx_n").alias("ctx_n"), F.sum("seen").alias("seen"), F.sum("seen_low").alias("seen_low"), F.sum("kl").alias("kl"))
+    at = at.withColumns({"rest": F.greatest(c("ctx_n") - c("seen"), F.lit(0.0)), "rest_low": F.greatest(1 - c("seen_low"), F.lit(1e-12))})
+    kl = c("kl") + F.when(c("rest") > 0, c("rest") * F.ln(c("rest") / c("ctx_n") / c("rest_low"))).otherwise(0.0)
+    left = F.log10((c("rest") + MU * c("rest_low")) / (c("ctx_n") + MU) / c("rest_low"))
+    at = checkpoint(at.select("k", "ctx", *sufs, left.cast("float").alias("value"), (kl >= DIVERGENCE * float(np.log(max(total, 2)))).alias("diverges")))
+    # the suffixes of a state are states: k - 1 of them
+    own = at.filter("diverges").select(F.explode(F.concat(F.array("ctx"), F.slice(F.array(*sufs), F.lit(1), c("k") - 1))).alias("ctx")).distinct()
+    return at.join(own, "ctx", "left_semi").select("ctx", "value")
 
-    def report(block: Block, _number: int) -> pd.DataFrame:
-        out = []
-        for k, (_, own, where, _, code) in enumerate(block.lengths_of(DEPTH), 1):
-            kept, n = block.kept(k)
-            at = where[kept == 2]
-            out.append(pd.DataFrame({"k": k, "code": own[kept == 2].view(np.int64), "ctx": code[at - 1].view(np.int64), "suf": code[at].view(np.int64), "n": n}))
-        return pd.concat(out)
 
-    found = checkpoint(ask(cut, answers, report, "k int, code long, ctx long, suf long, n long"))
-    c = F.col
-    low = words.filter(c("n") >= LEAST).select(c("hash").alias("code"), "n", (F.greatest(c("n") - discount, F.lit(1e-9)) / max(total, 1)).alias("p"))
-    made, passing = [], []
-    for k in range(1, DEPTH + 1):
-        own = found.filter(c("k") == k).join(low.select(c("code").alias("ctx"), c("n").alias("ctx_n")), "ctx").join(low.select(c("code").alias("suf"), c("p").alias("low")), "suf")
-        own = checkpoint(own.select("code", "ctx", "suf", "n", "ctx_n", "low", ((c("n") + MU * c("low")) / (c("ctx_n") + MU)).alias("p")))
-        made.append(own)
-        low = own.select("code", "n", "p")
-        at = own.groupBy("ctx").agg(F.first("ctx_n").alias("ctx_n"), F.sum("n").alias("seen"), F.sum("low").alias("seen_low"), F.sum(c("n") * F.ln(c("n") / c("ctx_n") / c("low"))).alias("kl"))
-        at = at.select("ctx", "ctx_n", "kl", F.greatest(c("ctx_n") - c("seen"), F.lit(0)).alias("rest"), F.greatest(1 - c("seen_low"), F.lit(1e-12)).alias("rest_low"))
-        kl = c("kl") + F.when(c("rest") > 0, c("rest") * F.ln(c("rest") / c("ctx_n") / c("rest_low"))).otherwise(0.0)
-        left = F.log10((c("rest") + MU * c("rest_low")) / (c("ctx_n") + MU) / c("rest_low"))
-        passing.append(at.select(c("ctx").alias("code"), left.alias("value"), (kl >= DIVERGENCE * float(np.log(max(total, 2)))).alias("diverges")))
-    out, states = [x.select("code", F.lit(0).alias("kind"), F.log10("p").alias("value")) for x in made], None
-    for k in range(DEPTH, 0, -1):  # the suffixes of a state are states
-        own = passing[k - 1].filter("diverges").select("code")
-        states = checkpoint(own if states is None else own.unionByName(made[k - 1].join(states, "code", "left_semi").select(c("suf").alias("code"))).distinct())
-        out.append(passing[k - 1].join(states, "code", "left_semi").select("code", F.lit(1).alias("kind"), "value"))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole
-
-
-def values(cut: DataFrame, answers: DataFrame, tree_: DataFrame) -> DataFrame:
-    """Answers to blocks: values of both kinds, not a number where the tree has none, of the candidates that a block has, by hash."""
-    shards = min(shuffle_partitions(cut.sparkSession), 1 << 16)
+def values(cut: DataFrame, answers: DataFrame, states_: DataFrame, shards: int) -> DataFrame:
+    """Answers to blocks: of the contexts that a block has, by hash, which are states, and the values of those."""
     # written, so that the blocks' shuffle is gone before the next one
-    asked = checkpoint(ask(cut, answers, lambda block, number: to_shards(number, shards, np.sort(block.wanted(block.lengths_of(DEPTH))[0])), blocks.DDL))
+    asked = checkpoint(ask(cut, answers, lambda block, number: to_shards(number, shards, np.sort(block.contexts(list(block.lengths_of(DEPTH - 1)))[0])), blocks.DDL))
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({x: pd.Series([], dtype=object) for x in ("route", "block", "shard", "data")})
-        kinds = []
-        for kind in (0, 1):
-            own = right[right["kind"] == kind]
-            code, value = own["code"].to_numpy(np.int64).view(np.uint64), own["value"].to_numpy(np.float32)
-            order = np.argsort(code)
-            kinds.append((code[order], np.append(value[order], np.float32(np.nan))))
-        data = [pack(*(value[find(code, x)] for code, value in kinds)) for x in (from_steps(unpack(d, np.uint8)[0]) for d in left["data"])]
-        return pd.DataFrame({"route": -1 - left["block"], "block": left["block"], "shard": left["shard"] | VALUES << 16, "data": data})
-
-    told = tree_.withColumn("route", F.shiftright(F.shiftrightunsigned("code", 32) * F.lit(shards), 32))
+        code, value = right["ctx"].to_numpy(np.int64).view(np.uint64), right["value"].to_numpy(np.float32)
+        order = np.argsort(code)
+        code, value = code[order], value[order]
+        at = [find(code, from_steps(unpack(d, np.uint8)[0])) for d in left["data"]]
+        return pd.DataFrame({"route": -1 - left["block"], "block": left["block"], "shard": left["shard"] | VALUES << 16, "data": [pack((x >= 0).astype(np.uint8), value[x[x >= 0]]) for x in at]})
+
+    told = states_.withColumn("route", F.shiftright(F.shiftrightunsigned("ctx", 32) * F.lit(shards), 32))
     return asked.groupBy("route").cogroup(told.groupBy("route")).applyInPandas(look, blocks.DDL)
 
 
@@ -263,6 +272,7 @@ def words_of(cut: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, trains=lambda doc_id: crc_mod_py(doc_id, 10) != 0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text); trains(doc_id): learns from it."""
+    shards = shards_for(docs)
     cut = blocks.cut(docs, split, trains, hashed=True)
     words = checkpoint(words_of(cut))
     told = words.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
@@ -273,22 +283,21 @@ def score(docs: DataFrame, trains=lambda doc_id: crc_mod_py(doc_id, 10) != 0) ->
         return lambda places: pack(used[places].astype(np.uint32))
 
     answers = checkpoint(blocks.per_shard(blocks.vocabulary(cut), work))
-    words = checkpoint(words.filter(F.col("n") >= LEAST))
     cut = checkpoint(cut.filter("shard < 0"))
+    del words
     collect_garbage(cut.sparkSession)  # the vocabularies' files go
     for k in range(1, DEPTH + 1):
-        answers = answers.unionByName(checkpoint(candidates(cut, answers, k)))
-    made = checkpoint(tree(cut, words, answers, n, discount))
-    collect_garbage(cut.sparkSession)
-    answers = answers.unionByName(checkpoint(values(cut, answers, made)))
-    del made, words
+        answers = answers.unionByName(checkpoint(candidates(cut, answers, k, shards)))
+    made = checkpoint(states(cut, answers, n, discount))
+    answers = answers.unionByName(checkpoint(values(cut, answers, made, shards)))
+    del made
     collect_garbage(cut.sparkSession)
 
     def back(block: Block, _number: int) -> pd.DataFrame:
         c = block.count.astype(np.float64)
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         root = np.log10(np.where(c > 0, c - discount, discount * v) / n) if n else np.zeros(len(c))
-        logp = block.score(root[block.tokens])
+        logp = block.score(root[block.tokens], n, discount)
         sums = lambda x: np.add.reduceat(x, block.first) if len(block.first) else np.zeros(0)  # noqa: E731  every document has a token
         return pd.DataFrame(
             {

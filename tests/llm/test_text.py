@@ -94,10 +94,9 @@ def test_suffix_tree(spark):
     grams = Counter(tuple(ws[j : j + k]) for i, ws in held.items() if trains(i) for k in range(1, lm.DEPTH + 2) for j in range(len(ws) - k + 1))
     n1, n2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
     d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    least = max(lm.LEAST, lm.P_MIN * n)
     kept = set()
     for k in range(1, lm.DEPTH + 2):
-        kept |= {g for g, x in grams.items() if len(g) == k and x >= least and (k == 1 or (g[:-1] in kept and g[1:] in kept))}
+        kept |= {g for g, x in grams.items() if len(g) == k and x >= lm.LEAST and (k == 1 or (g[:-1] in kept and g[1:] in kept))}
     root = lambda w: (c[w] - d) / n if c[w] else d * v / n
     follow = lambda s: [g[-1] for g in kept if len(g) == len(s) + 1 and g[:-1] == s]
 
