@@ -65,6 +65,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """df dealt out by a column into the session's shuffle partitions, as a checkpoint that keeps this: what groups by the column next to it needs
+    no shuffle. Spark doesn't know how a plan that adapts is dealt out, so this one doesn't."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    try:
+        conf.set(name, "false")
+        return checkpoint(df.repartition(shuffle_partitions(df.sparkSession), column))
+    finally:
+        conf.set(name, before)
+
+
 def collect_garbage(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import checkpoint, collect_garbage, crc_mod_py, mix64, pack, shards_for, tokens, unpack
+from .common import checkpoint, collect_garbage, crc_mod_py, dealt, mix64, pack, shards_for, tokens, unpack
 
 #: No word has this byte.
 STOP = b"\n"
@@ -267,13 +267,13 @@ def words_of(cut: DataFrame) -> DataFrame:
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in keep.tolist()), np.uint64, len(keep))
         return pd.DataFrame({"hash": hashes.view(np.int64), "n": used[keep]})
 
-    return blocks.vocabulary(cut).groupBy("shard").applyInPandas(run, "hash long, n long")
+    return blocks.vocabulary(cut).groupBy("route").applyInPandas(run, "hash long, n long")
 
 
 def score(docs: DataFrame, trains=lambda doc_id: crc_mod_py(doc_id, 10) != 0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text); trains(doc_id): learns from it."""
     shards = shards_for(docs)
-    cut = blocks.cut(docs, split, trains, hashed=True)
+    cut = dealt(blocks.cut(docs, split, trains, hashed=True, keep=False), "route")  # so that blocks stay where they are while answers come and go
     words = checkpoint(words_of(cut))
     told = words.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n, v, n1, n2 = (int(x or 0) for x in told)
