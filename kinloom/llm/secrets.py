@@ -12,6 +12,7 @@ Null and empty texts have no spans. Every row is scanned as a whole; repeated an
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -27,7 +28,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: What makes a context sensitive, and how far before a candidate it counts.
 SENSITIVE = re.compile(r"(?ai:passw(?:or)?d|pwd|secret|token|api[_-]?key|private[_-]?key|credential|bearer|signature)")
 REACH = 48
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Characters of surrounding text on each side that the compressor sees, and compressed bytes a character that count as new.
 AROUND, NOVELTY = 256, 0.6
 #: Primes the compressor: identifiers and words of code and configuration files.
@@ -64,15 +66,24 @@ def find(text: str | None, novelty: Novelty) -> list[tuple[str, int, int]]:
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    seen = -1  # end of the last candidate that was looked at
-    for near in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, near.end(), min(len(text), near.end() + REACH + 1024)):
-            a, b = m.span()
-            if a > near.end() + REACH:
+    nears = [m.end() for m in SENSITIVE.finditer(text)]
+    if not nears:
+        return [(KINDS[k], a, b) for a, k, b in sorted(spans)]
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    ends, taken = [b for _, b in runs], []  # what the rules' spans cover, ascending and apart
+    for a, _, b in sorted(spans):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    starts, seen = [a for a, _ in taken], -1  # seen: end of the last candidate that was looked at
+    for near in nears:
+        for a, b in runs[(first := bisect_right(ends, near)) : first + 2 + REACH // LEAST]:
+            a = max(a, near)  # of a run that the word is in, what follows it
+            if a > near + REACH:
                 break
-            while b < len(text) and CANDIDATE.match(text[a : b + 1]) and CANDIDATE.match(text[a : b + 1]).end() == b + 1 - a:
-                b += 1  # one that goes on beyond the search's end
-            if a < seen or any(s < b and a < e for s, _, e in spans):
+            at = bisect_left(starts, b)
+            if b - a < LEAST or a < seen or at and taken[at - 1][1] > a:
                 continue
             seen = b
             if novelty.of(text, a, b) >= NOVELTY:
