@@ -6,7 +6,7 @@ as such lengths are not padded. Pieces go in descending cost to the sequence of
 longer than a sequence is cut into full pieces first, and a piece that fits nowhere is cut to fill the cheapest sequence.
 So no group has any padding.
 
-Tokens of a document: its text's ids, then END. Null and empty texts are that one id. Repeated and null ids are packed as they come.
+Tokens of a document: its text's ids as the tokenizers library gives them (a special token's string in a text is that token), then END. Null and empty texts are that one id. Repeated and null ids are packed as they come.
 A group's documents come from one partition, and no row is shuffled.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 
 import numpy as np
@@ -32,9 +33,15 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
 DDL = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(ranks: dict[bytes, int], pattern: str):
-    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_ordinary(text) if text else []
+def encoder(ranks: dict[bytes, int], pattern: str, specials: dict[str, int] | None = None):
+    encoding, specials = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials or {}), specials or {}
+
+    def encode(text: str | None) -> list[int]:
+        if not text:
+            return []
+        return encoding.encode(text, allowed_special="all") if any(x in text for x in specials) else encoding.encode_ordinary(text)
+
+    return encode
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,6 +49,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
+def read_specials(path: str) -> dict[str, int]:
+    """Strings and ids of the tokens that a tokenizer's file adds to its vocabulary."""
+    with open(path) as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
 def capacities(total: int, size: int) -> list[int]:
     """Room of the sequences that so many tokens fill without padding."""
     rest = total % size
@@ -81,11 +94,11 @@ def place(lengths: list[int], size: int = SEQUENCE) -> list[tuple[int, int, int,
     return out
 
 
-def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = SEQUENCE, end: int = END, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = SEQUENCE, end: int = END, group: int = GROUP, specials: dict[str, int] | None = None) -> DataFrame:
     """A row for each piece, with its ids."""
 
     def rows(it):
-        encode, number = encoder(ranks, pattern), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        encode, number = encoder(ranks, pattern, specials), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
 
         def packed(held):
             nonlocal number

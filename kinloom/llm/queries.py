@@ -54,7 +54,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # the same vocabulary as byte_bpe_50k.json, as ranks
     ranks = packing.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
+    specials = packing.read_specials(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, specials=specials).drop("ids")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
