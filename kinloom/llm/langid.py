@@ -1,12 +1,13 @@
 """Language identification by a string kernel.
 
 The kernel of two texts counts the byte n-grams (sizes SIZES, blended) that both have, divided by the geometric mean of
-how many each has. LANDMARKS labelled texts span a Nyström space, in which kernel ridge regression is fitted for each
-language against the rest on at most SAMPLE labelled texts of each language (by a hash of the id). As the kernel is linear in a text's n-gram
+how many each has. LANDMARKS labelled texts, some of each language, span a Nyström space, in which kernel ridge regression is fitted for each
+language against the rest on at most SAMPLE labelled texts of each language (by a hash of the id; fewer of each where there are so many languages that these
+were more than SAMPLES in all, but one at least). As the kernel is linear in a text's n-gram
 presences, the landmarks' coefficients are folded into a weight for each n-gram, and batches of presence rows are multiplied by them.
 
 Null texts and texts without a letter are `und` with score 0, as are all texts where no language was learnt. The score is the
-best language's share after a softmax. Repeated and null ids are kept.
+best language's share after a softmax. Repeated and null ids are kept. Every language of the training rows can be predicted.
 """
 
 from __future__ import annotations
@@ -14,13 +15,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sample_ids
-
 SIZES = (1, 2, 3)
-SAMPLE, LANDMARKS, RIDGE, SHARPNESS = 400, 300, 1e-2, 6.0
+SAMPLE, SAMPLES, LANDMARKS, RIDGE, SHARPNESS = 400, 20_000, 300, 1e-2, 6.0
 #: Characters of a landmark or training text; longer ones are not taken into the sample.
 SAMPLE_CHARS = 20_000
 SPACE = 1 << 24
@@ -54,7 +53,6 @@ class Model:
         if self.known is None:
             self.known = np.full(SPACE, len(self.codes), np.int32)
             self.known[self.codes] = np.arange(len(self.codes))
-            self.mark = np.zeros(SPACE, bool)
         told = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
         for a in range(0, len(told), at_once):
             part = told[a : a + at_once]
@@ -62,7 +60,6 @@ class Model:
             for i, k in enumerate(part):
                 c = codes(texts[k])
                 presence[i, self.known[c]] = 1
-                self.mark[c] = True
                 c.sort()
                 n[i] = 1 + np.count_nonzero(c[1:] != c[:-1])
             z = presence[:, :-1] @ self.weights / np.sqrt(n)[:, None]
@@ -80,7 +77,9 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
     sets = [np.unique(codes(texts[k])) for k in keep]
     y = np.array([[1.0 if langs[k] == name else -1.0 for name in names] for k in keep])
-    chosen = np.sort(np.random.default_rng(seed).permutation(len(keep))[:landmarks])
+    order, each = np.random.default_rng(seed).permutation(len(keep)), max(2, -(-landmarks // len(names)))
+    own = np.array([names.index(langs[k]) for k in keep])[order]
+    chosen = np.sort(np.concatenate([order[own == j][:each] for j in range(len(names))]))
     vocabulary = np.unique(np.concatenate([sets[k] for k in chosen]))
 
     def rows(which) -> np.ndarray:
@@ -100,19 +99,20 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return Model(names, vocabulary.astype(np.int64), (z.T @ alpha).astype(np.float32))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, languages: int = 200) -> Model:
-    """docs (doc_id, text, lang). The driver gets at most `sample` texts of each of the `languages` most frequent languages."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    names = [r[0] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    fit_for = docs.filter(F.length("text") <= chars)
-    ids = None
-    for name in names:  # a top-k for each language: no window gathers all rows of one
-        part = sample_ids(fit_for.filter(F.col("lang") == name).select("doc_id").distinct(), sample)
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
+def train(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, samples: int = SAMPLES) -> Model:
+    """docs (doc_id, text, lang). Two scans, whatever the number of languages: one counts them, one takes the sample."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang").filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    count = {r["lang"]: r["count"] for r in docs.filter(F.length("text") <= chars).groupBy("lang").count().collect()}
+    if not count:
         return fit([], [])
-    ids = docs.sparkSession.createDataFrame(sorted({r[0] for r in ids.collect() if r[0] is not None} or {-1}), "long").toDF("doc_id")
-    rows = sorted(fit_for.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"), F.min_by("lang", "text").alias("lang")).collect())
+    sample = max(1, min(sample, samples // len(count)))
+    # a bound on hashes that leaves about twice the sample of each language, so that neither the sort nor its task gets all rows of one
+    bounds = docs.sparkSession.createDataFrame([(lang, min((1 << 63) - 1, int((min(1, (2 * sample + 20) / n) - 0.5) * 2**64))) for lang, n in sorted(count.items())], "lang string, bound long")
+    key = F.xxhash64("doc_id")
+    near = docs.filter(F.length("text") <= chars).join(F.broadcast(bounds), "lang").filter(key <= F.col("bound"))  # a row for each language
+    once = near.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.*")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))
+    rows = sorted(once.withColumn("n", first).filter(F.col("n") <= sample).select("doc_id", "text", "lang").collect())
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
