@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
 from kinloom.llm import ann, bpe, langid, lm, packing, quality, secrets, toxicity
@@ -50,9 +52,11 @@ def test_bpe_repeated_and_null_ids(spark, ranks):
 
 def test_packing(spark):
     ranks = packing.read_ranks(P.path("byte_bpe_50k.tiktoken"))
-    encode = packing.encoder(ranks, P.PATTERN)
-    ids = {i: [*encode(t), 1] for i, t in enumerate(TEXTS)}
-    rows = packing.pack(docs(spark).coalesce(1), ranks, P.PATTERN, size=64, group=500).collect()
+    whole = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [*TEXTS, "<|endoftext|>", "a <|endoftext|><|endoftext|>  b <|endoftext |>\n", "a\x1cb\x85 c\u2028d\u200be\x0b f", "I'LL we'll  \t\n x\xa0\xa0y"]
+    ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    specials = packing.read_specials(P.path("byte_bpe_50k.json"))
+    rows = packing.pack(docs(spark, texts).coalesce(1), ranks, P.PATTERN, size=64, group=500, specials=specials).collect()
     pieces, seqs = {}, {}
     for r in rows:
         assert list(r["ids"]) == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]] and r["doc_tokens"] == len(ids[r["doc_id"]])
@@ -152,6 +156,18 @@ def test_secrets_given_twice_or_of_letters():
     assert secrets.find("the bearer xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", novelty) == []
 
 
+def test_secrets_in_very_long_runs():
+    """A candidate is looked at once, however long it is and however many sensitive words it holds."""
+    rng, novelty = np.random.default_rng(9), secrets.Novelty()
+    run = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 1_000_000))
+    began = time.time()
+    assert secrets.find(f"token data {run} end", novelty) == [("novel", 11, 1_000_011)]
+    assert secrets.find("secret" + run[:500_000] + "token" + run[500_000:], novelty) == [("novel", 6, 1_000_011)]
+    text = ("token: abc123 " + "password " * 20) * 20_000
+    assert len(secrets.find(text, novelty)) == 20_000
+    assert time.time() - began < 20
+
+
 def test_quality(spark):
     good = ["alpha beta gamma delta words flow along nicely here and there with plenty of plain text to read so all is well %d" % i for i in range(40)]
     bad = ["BUY!!! NOW### $$$ %%%%%% CLICK*** HERE!!! *** ||| &&& <<< >>> ### $$$ DEAL!!! X### Y$$$ Z%%% A!!! B### C$$$ " + str(i) for i in range(10)]
@@ -211,7 +227,23 @@ def test_language_id(spark):
     got = {r["doc_id"]: r["t"] for r in df.select("doc_id", langid.predict(F.col("text"), model).alias("t")).collect()}
     assert all(got[i]["lang"] == lang for i, _, lang in texts[:100]) and got[102]["lang"] == "xx"
     assert got[100]["lang"] == got[101]["lang"] == "und" and all(0 <= x["score"] <= 1 for x in got.values())
-    # the folded weights are the landmarks' kernel values times their coefficients
+    # the folded weights are the landmarks' kernel values times their coefficients: brute force over sets of n-grams
+    train = [(t, lang) for _, t, lang in texts[:40]]
+    model = langid.fit(*map(list, zip(*train)), landmarks=40)
+    grams = lambda t: {(n, t.lower().encode()[j : j + n]) for n in langid.SIZES for j in range(len(t.lower().encode()) - n + 1)}
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    sets = [grams(t) for t, _ in train]
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[1.0 if lang == name else -1.0 for name in model.langs] for _, lang in train])
+    for t in ("the thing und other", "eine nicht with", "über"):
+        g = grams(t)
+        # all texts are landmarks, so this is kernel ridge regression itself
+        z = np.array([kernel(g, s) for s in sets]) @ np.linalg.solve(k + langid.RIDGE * len(train) * np.eye(len(train)), y)
+        p = np.exp(langid.SHARPNESS * (z - z.max()))
+        lang, score = model.predict([t])
+        assert lang == [model.langs[int(z.argmax())]] and score[0] == pytest.approx(p.max() / p.sum(), rel=1e-3)
+    many = spark.createDataFrame([(i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrst'[i // 26 % 20]} word", f"l{i % 520}") for i in range(1040)], "doc_id long, text string, lang string")
+    assert len(langid.train(many).langs) == 520
     assert langid.train(df.limit(0)).predict(["abc"]) == (["und"], [0.0])
 
 
@@ -238,3 +270,16 @@ def test_hnsw(spark):
     few = df.filter("vec_id < 5")
     assert ann.search(ann.index(few), few).groupBy("query_id").count().filter("count = 4").count() == 5
     assert ann.search(ann.index(df.limit(0)), df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_hnsw_recall_in_a_full_shard(clusters):
+    """Production settings, a shard of SHARD rows; without clusters is the harder case."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(ann.SHARD, 64)) + (rng.normal(size=(clusters, 64))[rng.integers(0, clusters, ann.SHARD)] if clusters else 0)
+    q = np.arange(0, ann.SHARD, 40)
+    found, s = ann.Graph.build(x.astype(np.float32)).search(x[q].astype(np.float32)), x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    want = np.argpartition(-s, 19, axis=1)[:, :20]
+    near = [sorted((i for i in own.tolist() if i not in (-1, k)), key=lambda i: -s[j, i])[:20] for j, (k, own) in enumerate(zip(q, found))]
+    assert sum(len({*a} & {*b}) for a, b in zip(near, want.tolist())) >= 0.95 * 20 * len(q)
