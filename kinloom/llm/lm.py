@@ -86,8 +86,9 @@ def from_steps(x: np.ndarray) -> np.ndarray:
 class Block:
     """A block's tokens and what shards answered: the words' counts in training and, by length, which sequences are candidates."""
 
-    def __init__(self, data: bytes, answers: pd.DataFrame):
+    def __init__(self, data: bytes, answers: pd.DataFrame, mask: np.uint64):
         self.ids, self.lengths, self.tokens, self.used, self.hashes = blocks.open_block(data)
+        self.hashes, self.mask = self.hashes & mask, mask
         self.first = np.cumsum(self.lengths) - self.lengths
         got = answers.sort_values("shard")
         self.answers: dict[int, list[bytes]] = {}
@@ -103,7 +104,7 @@ class Block:
         for k in range(1, depth + 1):
             before = back_by(np.where(ok, 1, -1), self.first) > 0
             at = np.flatnonzero(before & ok)
-            own, where, number = distinct(mix64(code[at - 1] * _GOLD + word[at]))
+            own, where, number = distinct(mix64(code[at - 1] * _GOLD + word[at]) & self.mask)
             yield at, own, at[where], number, code
             if k < depth:
                 kept = self.kept(k)[0][number] > 0
@@ -185,13 +186,19 @@ class Block:
         return out
 
 
-def ask(cut: DataFrame, answers: DataFrame, work, ddl: str) -> DataFrame:
+def mask_for(shards: int) -> np.uint64:
+    """Bits of a hash that go through shuffles: 48 for up to 1,024 shards (64 GB), 8 more for each 256 times as many, so that one sequence in
+    some 10,000 at most shares its hash with another, whatever the input."""
+    return np.uint64((1 << 64) - (1 << max(0, 16 - 8 * max(0, -(-((shards - 1).bit_length() - 10) // 8)))))
+
+
+def ask(cut: DataFrame, answers: DataFrame, work, ddl: str, mask: np.uint64) -> DataFrame:
     """work(block, its number) of each block, with what shards have answered so far."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({field.split()[0]: pd.Series([], dtype=object) for field in ddl.split(", ")})
-        return work(Block(left["data"].iloc[0], right), left["block"].iloc[0])
+        return work(Block(left["data"].iloc[0], right, mask), left["block"].iloc[0])
 
     return cut.filter("shard < 0").groupBy("route").cogroup(answers.groupBy("route")).applyInPandas(run, ddl)
 
@@ -221,14 +228,14 @@ def candidates(cut: DataFrame, answers: DataFrame, k: int, shards: int) -> DataF
         data = [pack(kept[a:b], n[which[a:b]][kept[a:b] > 0]) for a, b in zip([0, *ends], ends)]
         return pd.DataFrame({"route": -1 - pdf["block"], "block": pdf["block"], "shard": pdf["shard"] | k << 16, "data": data})
 
-    return ask(cut, answers, send, blocks.DDL).groupBy("route").applyInPandas(count, blocks.DDL)
+    return ask(cut, answers, send, blocks.DDL, mask_for(shards)).groupBy("route").applyInPandas(count, blocks.DDL)
 
 
-def states(cut: DataFrame, answers: DataFrame, total: int, discount: float) -> DataFrame:
+def states(cut: DataFrame, answers: DataFrame, total: int, discount: float, shards: int) -> DataFrame:
     """(ctx, value) of each state: its hash, and log10 of the factor by which it passes on what it has no candidate for."""
     c, sufs = F.col, [f"suf{j}" for j in range(DEPTH - 1)]
     ddl = f"k int, ctx long, {', '.join(f'{x} long' for x in sufs)}, ctx_n double, seen double, seen_low double, kl double"
-    found = ask(cut, answers, lambda block, _number: block.sums(total, discount), ddl)
+    found = ask(cut, answers, lambda block, _number: block.sums(total, discount), ddl, mask_for(shards))
     at = found.groupBy("k", "ctx").agg(*[F.first(x).alias(x) for x in sufs], F.first("ctx_n").alias("ctx_n"), F.sum("seen").alias("seen"), F.sum("seen_low").alias("seen_low"), F.sum("kl").alias("kl"))
     at = at.withColumns({"rest": F.greatest(c("ctx_n") - c("seen"), F.lit(0.0)), "rest_low": F.greatest(1 - c("seen_low"), F.lit(1e-12))})
     kl = c("kl") + F.when(c("rest") > 0, c("rest") * F.ln(c("rest") / c("ctx_n") / c("rest_low"))).otherwise(0.0)
@@ -242,7 +249,7 @@ def states(cut: DataFrame, answers: DataFrame, total: int, discount: float) -> D
 def values(cut: DataFrame, answers: DataFrame, states_: DataFrame, shards: int) -> DataFrame:
     """Answers to blocks: of the contexts that a block has, by hash, which are states, and the values of those."""
     # written, so that the blocks' shuffle is gone before the next one
-    asked = checkpoint(ask(cut, answers, lambda block, number: to_shards(number, shards, np.sort(block.contexts(list(block.lengths_of(DEPTH - 1)))[0])), blocks.DDL))
+    asked = checkpoint(ask(cut, answers, lambda block, number: to_shards(number, shards, np.sort(block.contexts(list(block.lengths_of(DEPTH - 1)))[0])), blocks.DDL, mask_for(shards)))
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -282,14 +289,14 @@ def score(docs: DataFrame, trains=lambda doc_id: crc_mod_py(doc_id, 10) != 0) ->
     def work(_words, _all, used):
         return lambda places: pack(used[places].astype(np.uint32))
 
-    answers = checkpoint(blocks.per_shard(blocks.vocabulary(cut), work))
+    answers = dealt(blocks.per_shard(blocks.vocabulary(cut), work), "route")
     cut = checkpoint(cut.filter("shard < 0"))
     del words
     collect_garbage(cut.sparkSession)  # the vocabularies' files go
     for k in range(1, DEPTH + 1):
-        answers = answers.unionByName(checkpoint(candidates(cut, answers, k, shards)))
-    made = checkpoint(states(cut, answers, n, discount))
-    answers = answers.unionByName(checkpoint(values(cut, answers, made, shards)))
+        answers = answers.unionByName(dealt(candidates(cut, answers, k, shards), "route"))
+    made = checkpoint(states(cut, answers, n, discount, shards))
+    answers = answers.unionByName(dealt(values(cut, answers, made, shards), "route"))
     del made
     collect_garbage(cut.sparkSession)
 
@@ -311,4 +318,4 @@ def score(docs: DataFrame, trains=lambda doc_id: crc_mod_py(doc_id, 10) != 0) ->
             }
         )
 
-    return ask(cut, answers, back, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ask(cut, answers, back, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", mask_for(shards))
