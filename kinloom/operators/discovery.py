@@ -44,6 +44,25 @@ def identifier(source: Column, raw: Column) -> Column:
     return text.let(value, valid)
 
 
+#: Hosts that make a value of a request's field a URL.
+HOSTS = {"github": ("github.com",), "devto": ("dev.to",), "hackernews": ("news.ycombinator.com", "hn.algolia.com")}
+
+
+def requested(source: str, raw: Column) -> Column:
+    """What a request's field says for comparison with accounts: a profile URL's identifier, else the value itself, in lower case; null for other pages."""
+
+    def told(x: Column) -> Column:
+        page = F.lower(from_url(F.lit(source), x))
+        if source == "stackoverflow":
+            return F.regexp_replace(F.when(x.rlike("^[0-9]+$"), x).otherwise(page), "^0+(?=[0-9])", "")
+        is_url = x.contains("://")
+        for h in HOSTS[source]:
+            is_url = is_url | F.lower(x).contains(h)
+        return F.when(is_url, page).otherwise(F.lower(x))
+
+    return text.let(text.blank_to_null(F.regexp_replace(F.trim(raw), "^@+", "")), told)
+
+
 def direct(requests: DataFrame) -> DataFrame:
     """(run_id, source, identifier, rank) of identifiers that requests name, valid ones only."""
     order = ("github", "devto", "hackernews", "stackoverflow")

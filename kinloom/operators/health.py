@@ -48,18 +48,29 @@ def json_sums(calls: DataFrame) -> DataFrame:
     return calls.groupBy("source").agg(F.sum(F.coalesce(F.nullif(k, F.lit(0)), F.lit(1))).alias("k_sum"), F.count_if(k.isNull()).alias("k_missing"))
 
 
+BUCKET_S = 3600
+
+
+def bucketed(calls: DataFrame, seconds: int) -> DataFrame:
+    """calls with `at` (microseconds), in buckets of an hour or of the window if that is longer, so that a source's calls are many tasks' work. A call that a
+    bucket's first ones look back to is in it as well, with `own` false."""
+    size = max(BUCKET_S, seconds) * 1_000_000
+    at = calls.withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp")))
+    first, last = F.floor(F.col("at") / size), F.floor((F.col("at") + seconds * 1_000_000) / size)
+    return at.withColumn("first", first).withColumn("bucket", F.explode(F.sequence(first, last))).withColumn("own", F.col("bucket") == F.col("first")).drop("first")
+
+
 def rolling_window(calls: DataFrame, seconds: int = 30) -> DataFrame:
     """Calls of the source in the seconds up to each call."""
-    at = F.unix_micros(F.col("created_at").cast("timestamp"))
-    w = Window.partitionBy("source").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("at", at).select("event_id", "source", F.count(F.lit(1)).over(w).alias("in_window"))
+    w = Window.partitionBy("source", "bucket").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
+    return bucketed(calls.select("event_id", "source", "created_at"), seconds).withColumn("in_window", F.count(F.lit(1)).over(w)).filter("own").select("event_id", "source", "in_window")
 
 
 def spacing(calls: DataFrame, seconds: int = 12) -> DataFrame:
     """Calls that came sooner after the source's one before than they should."""
-    at = F.unix_micros(F.col("created_at").cast("timestamp"))
-    gap = F.col("at") - F.lag("at").over(Window.partitionBy("source").orderBy("at", "event_id"))
-    return calls.withColumn("at", at).withColumn("gap", gap).filter(F.col("gap") < seconds * 1_000_000).select("event_id", "source", F.col("gap").alias("gap_us"))
+    before = F.lag("at").over(Window.partitionBy("source", "bucket").orderBy("at", "event_id"))  # one that isn't in the bucket is long enough ago
+    gaps = bucketed(calls.select("event_id", "source", "created_at"), seconds).withColumn("gap", F.col("at") - before)
+    return gaps.filter(F.col("own") & (F.col("gap") < seconds * 1_000_000)).select("event_id", "source", F.col("gap").alias("gap_us"))
 
 
 def tumbling(calls: DataFrame) -> DataFrame:

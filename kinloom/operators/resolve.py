@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import policy
 from ..functions import fuzzy, text
+from . import discovery
 
 SCORE = "decimal(6,4)"
 
@@ -61,18 +62,20 @@ def request_evidence(accounts: DataFrame, requests: DataFrame) -> DataFrame:
     asked = requests.select(
         F.col("run_id").alias("req_run"),
         text.normalize_name(fuzzy.ascii_fold(text.clean(F.col("name")))).alias("q_name"),
-        *[F.lower(F.regexp_replace(F.trim(s), "^@+", "")).alias(f"q_{s}") for s in policy.SOURCES],
+        *[discovery.requested(s, F.col(s)).alias(f"q_{s}") for s in policy.SOURCES],
         F.col("email_hash").alias("q_hash"),
         F.lower("email_domain").alias("q_domain"),
     )
     both = accounts.join(asked, F.col("run_id") == F.col("req_run"))
     own = reduce(lambda c, s: c.when(F.col("source") == s, F.col(f"q_{s}")), policy.SOURCES[1:], F.when(F.col("source") == policy.SOURCES[0], F.col(f"q_{policy.SOURCES[0]}")))
     key, none = F.col("account_key"), F.lit(None).cast("string")
+    user_id = F.when(F.col("source") == "stackoverflow", F.regexp_replace(F.trim("user_id"), "^0+(?=[0-9]+$)", "")).otherwise(F.lower(F.trim("user_id")))
+    handle = F.lower(F.regexp_replace(F.trim("handle"), "^@+", ""))
     named = ~F.col("hn_handle") & F.col("n_name").isNotNull()
     exact = named & text.names_exact(F.col("q_name"), F.col("n_name"))
     return _unpivot(
         both,
-        _signal("input_handle_match", (own == F.lower("user_id")) | (own == F.lower("handle")), key, none, own),
+        _signal("input_handle_match", (own == user_id) | (own == F.lower(F.trim("user_id"))) | (own == handle), key, none, own),
         _signal("exact_name_match", exact, key, none, F.col("n_name")),
         _signal("partial_name_match", named & text.names_partial(F.col("q_name"), F.col("n_name")), key, none, F.col("n_name")),
         _signal("email_hint_match", F.col("q_hash") == F.col("email_hash"), key, none, F.col("email_hash")),

@@ -37,8 +37,8 @@ linked AS (
   FROM accounts a),
 requests AS (
   SELECT r AS run_id, base_name AS name,
-    CASE WHEN r % 3 > 0 THEN cast(r * 4 AS string) END AS github,
-    CASE WHEN r % 3 = 2 THEN cast(r * 4 + 2 AS string) END AS devto,
+    CASE WHEN r % 6 = 1 THEN concat('https://www.GitHub.com/', cast(r * 4 AS string), '/') WHEN r % 6 = 4 THEN concat('github.com/', cast(r * 4 AS string), '?tab=repositories') WHEN r % 3 > 0 THEN cast(r * 4 AS string) END AS github,
+    CASE WHEN r % 6 = 5 THEN concat('https://dev.to/', cast(r * 4 + 2 AS string)) WHEN r % 3 = 2 THEN cast(r * 4 + 2 AS string) END AS devto,
     CASE WHEN r % 9 = 0 THEN concat('hash', cast(r AS string)) END AS email_hash,
     CASE WHEN r % 10 = 2 THEN concat('mail', cast(r AS string), '.org') END AS email_domain
   FROM people WHERE k = 0)

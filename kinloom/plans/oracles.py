@@ -14,6 +14,8 @@ SHARED = "(^|[.])(" + "|".join(d.replace(".", "[.]") for d in policy.SHARED_DOMA
 DEC = "decimal(6,4)"
 HOST = "regexp_replace(lower(regexp_extract(u, '^https?://([^/?#]*)', 1)), '^www[.]', '')"
 
+#: What is left of a profile URL without its host and what follows the name.
+NAMED = "regexp_replace(regexp_replace({c}, '^(https?://)?(www[.])?(github[.]com|dev[.]to)/', '', 'i'), '[/?].*$', '')"
 #: Accounts with normalized columns, and pairs.
 NORM = f"""{ACCOUNTS},
 n1 AS (SELECT *, CASE WHEN website_url LIKE 'http%' THEN website_url WHEN website_url LIKE '%.%' THEN 'https://' || website_url END AS u FROM linked),
@@ -49,7 +51,7 @@ def _row(signal: str, rest: str) -> str:
 #: The names of the derived accounts conflict just where one of them is the odd name.
 ODD = "zzyzx qwvkj"
 EVIDENCE = f"""{NORM},
-asked AS (SELECT a.*, q.github AS q_github, q.devto AS q_devto, lower(q.name) AS q_name, q.email_hash AS q_hash, q.email_domain AS q_mail, {SHARED_TOKENS.format(a="lower(q.name)", b="a.n_name")} AS sh FROM norm a JOIN requests q USING (run_id)),
+asked AS (SELECT a.*, {NAMED.format(c="lower(q.github)")} AS q_github, {NAMED.format(c="lower(q.devto)")} AS q_devto, lower(q.name) AS q_name, q.email_hash AS q_hash, q.email_domain AS q_mail, {SHARED_TOKENS.format(a="lower(q.name)", b="a.n_name")} AS sh FROM norm a JOIN requests q USING (run_id)),
 ev AS (
   {_row("input_handle_match", "account_key, cast(NULL AS string) AS other_key FROM asked WHERE (k = 0 AND q_github IN (user_id, lower(handle))) OR (k = 2 AND q_devto IN (user_id, lower(handle)))")}
   UNION ALL {_row("exact_name_match", "account_key, NULL FROM asked WHERE NOT hn_handle AND n_name = q_name")}
@@ -190,7 +192,7 @@ ORACLES = {
     "name_compare": f"WITH {NORM}, s AS (SELECT *, {SHARED_TOKENS.format(a='l_name', b='r_name')} AS sh FROM pairs) SELECT run_id, lk, rk, coalesce(l_name = r_name, false) AS exact, coalesce({PARTIAL.format(a='l_name', b='r_name')}, false) AS part FROM s",
     "location_normalize": f"WITH {NORM} SELECT account_key, run_id, n_location, array_to_string(list_sort(n_places), ',') AS places FROM norm",
     "candidate_name_variants": f"WITH {ACCOUNTS}, t AS (SELECT run_id, string_split(name, ' ')[1] AS f, string_split(name, ' ')[2] AS l FROM requests), v AS (SELECT run_id, [f || l, f || '-' || l, f || '_' || l, f[1] || l, f || l[1]] AS vs FROM t) SELECT run_id, cast(generate_subscripts(vs, 1) - 1 AS int) AS \"at\", unnest(vs) AS variant FROM v",
-    "candidate_caps": f"WITH {ACCOUNTS}, t AS (SELECT run_id, string_split(name, ' ')[1] AS f, string_split(name, ' ')[2] AS l FROM requests WHERE github IS NULL AND devto IS NULL), v AS (SELECT run_id, [f || l, f || '-' || l, f || '_' || l, f[1] || l, f || l[1]] AS vs FROM t), e AS (SELECT run_id, generate_subscripts(vs, 1) - 1 AS pos, unnest(vs) AS identifier FROM v), c AS (SELECT run_id, 'github' AS source, github AS identifier, 100 AS rank FROM requests WHERE github IS NOT NULL UNION ALL SELECT run_id, 'devto', devto, 100 FROM requests WHERE devto IS NOT NULL UNION ALL SELECT run_id, 'github', identifier, greatest(40, 60 - 5 * pos) FROM e UNION ALL SELECT run_id, 'devto', identifier, greatest(35, 55 - 5 * pos) FROM e UNION ALL SELECT run_id, 'hackernews', identifier, greatest(25, 35 - 5 * pos) FROM e WHERE pos < 2), s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY run_id, source ORDER BY rank DESC, identifier) <= 3) SELECT run_id, source, identifier, cast(rank AS int) AS rank, cast(row_number() OVER (PARTITION BY run_id ORDER BY rank DESC, source, identifier) AS int) AS place FROM s QUALIFY place <= 12",
+    "candidate_caps": f"WITH {ACCOUNTS}, t AS (SELECT run_id, string_split(name, ' ')[1] AS f, string_split(name, ' ')[2] AS l FROM requests WHERE github IS NULL AND devto IS NULL), v AS (SELECT run_id, [f || l, f || '-' || l, f || '_' || l, f[1] || l, f || l[1]] AS vs FROM t), e AS (SELECT run_id, generate_subscripts(vs, 1) - 1 AS pos, unnest(vs) AS identifier FROM v), c AS (SELECT run_id, 'github' AS source, {NAMED.format(c='github')} AS identifier, 100 AS rank FROM requests WHERE github IS NOT NULL UNION ALL SELECT run_id, 'devto', {NAMED.format(c='devto')}, 100 FROM requests WHERE devto IS NOT NULL UNION ALL SELECT run_id, 'github', identifier, greatest(40, 60 - 5 * pos) FROM e UNION ALL SELECT run_id, 'devto', identifier, greatest(35, 55 - 5 * pos) FROM e UNION ALL SELECT run_id, 'hackernews', identifier, greatest(25, 35 - 5 * pos) FROM e WHERE pos < 2), s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY run_id, source ORDER BY rank DESC, identifier) <= 3) SELECT run_id, source, identifier, cast(rank AS int) AS rank, cast(row_number() OVER (PARTITION BY run_id ORDER BY rank DESC, source, identifier) AS int) AS place FROM s QUALIFY place <= 12",
     "account_pairs": f"WITH {NORM} SELECT run_id, lk, rk FROM pairs",
     "evidence_long": f"WITH {EVIDENCE} SELECT run_id, signal, signal_group, cast(weight AS double) AS weight, account_key, other_key, signal IN {_list(policy.WEAK_SIGNALS)} AS weak FROM ev",
     "evidence_by_type": f"WITH {EVIDENCE} SELECT signal, count(*) AS n FROM ev GROUP BY signal",
@@ -225,7 +227,7 @@ ORACLES = {
     "purge_finished_runs": "WITH r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'P' THEN 'partial' ELSE 'running' END AS status, o_orderdate FROM orders) SELECT status, count(*) AS n, min(o_orderkey) AS first_key FROM r WHERE status = 'running' OR o_orderdate >= '1996-01-01' GROUP BY 1",
     "json_merge_patch": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'priority=' || o_orderpriority || ',status=X' ELSE 'note=n,priority=' || o_orderpriority || ',status=' || o_orderstatus END AS merged FROM orders",
     "schema_drift_union": "SELECT s_suppkey AS k, s_name AS name, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer",
-    "upsert_accounts": "WITH u AS (SELECT s_suppkey AS k, s_name AS name, 1 AS version, cast(NULL AS string) AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, 2, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY version DESC) = 1",
+    "upsert_accounts": "WITH u AS (SELECT s_suppkey AS k, s_name AS name, 1 AS version, cast(NULL AS string) AS segment FROM supplier UNION ALL SELECT c_custkey + 7, c_name, 2, c_mktsegment FROM customer) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY version DESC) = 1",
     "ingestion_summary": f"WITH {CALLS}, s AS (SELECT event_id % 500 AS batch, source, bool_or(coalesce(status_code < 400, false)) AS ok FROM calls GROUP BY ALL) SELECT batch, string_agg(source, ',' ORDER BY source) AS attempted, coalesce(string_agg(source, ',' ORDER BY source) FILTER (ok), '') AS succeeded, coalesce(string_agg(source, ',' ORDER BY source) FILTER (NOT ok), '') AS failed FROM s GROUP BY batch",
     "rate_limit_headers": "SELECT event_id, cast(5000 AS bigint) AS total, CASE WHEN event_id % 5 = 0 THEN event_id % 300 ELSE user_id END AS remaining, CASE WHEN event_id % 7 = 0 THEN cast(3 AS bigint) END AS retry_after_s FROM events",
     "stored_row_violations": f"WITH {CALLS}, {RUNS} SELECT 'calls' AS tab, 'error_without_cause' AS rule, count(*) AS n FROM calls WHERE status_code IS NULL AND error_message IS NULL HAVING count(*) > 0 UNION ALL SELECT 'runs', 'slow', count(*) FROM runs WHERE duration_ms > 4900 HAVING count(*) > 0",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +26,7 @@ def _num(df: DataFrame) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint in the shared folder, so that stages which several others read run once and plans stay small."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    store.shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -482,7 +479,7 @@ def schema_drift_union(spark, d):
 @query
 def upsert_accounts(spark, d):
     old = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.lit(1).alias("version"))
-    new = _t(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.lit(2).alias("version"), F.col("c_mktsegment").alias("segment"))
+    new = _t(spark, d, "customer").select((F.col("c_custkey") + 7).alias("k"), F.col("c_name").alias("name"), F.lit(2).alias("version"), F.col("c_mktsegment").alias("segment"))
     return store.upsert(old, new, ["k"], ["version"])
 
 

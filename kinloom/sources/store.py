@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .accounts import keep_latest
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; checkpoints go there as well. Only a local session, whose executors are the
+    driver, gets a temporary one if it names none."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: list[str]) -> DataFrame:
     """Old rows with new ones in their place, by key; columns that one side lacks are null."""
     return keep_latest(align(old, new), key, version)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder
+
 
 def hourly(calls: DataFrame, late: str = "1 hour") -> DataFrame:
     """Calls an hour and type, with a watermark. calls: ts (timestamp), event_type."""
@@ -20,11 +22,21 @@ def first_seen(calls: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def run_once(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives over all that there is now, as a table in memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream gives over all that there is now. Batches go to files in the shared folder, as does the stream's state; of mode `complete`
+    the last one is the result, of `append` all are."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    batches = []
+
+    def put(batch: DataFrame, number: int) -> None:  # a batch that is tried again takes its own place
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        batches.append(number)
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    found = sorted(set(batches))
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/batch-{n}" for n in (found if mode == "append" else found[-1:])])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

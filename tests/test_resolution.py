@@ -127,3 +127,20 @@ def test_empty_tables(spark):
 def test_review_action(spark, verdict, score, want):
     a = golden.review_action(F.lit(verdict), F.lit("high"), resolve.dec(score), F.lit(2), F.lit(True), F.lit(False), F.lit(False))
     assert spark.range(1).select(a).first()[0] == want
+
+
+def test_request_fields_may_be_profile_urls(spark):
+    from pyspark.sql import functions as F
+
+    from kinloom.operators import discovery
+
+    cases = {
+        "github": [("https://github.com/Octocat", "octocat"), ("www.github.com/octocat/", "octocat"), ("github.com/octocat/repo", None), ("https://github.com/settings", None), (" @Octo ", "octo"), ("https://example.org/octocat", None), (None, None), ("", None)],
+        "stackoverflow": [("https://stackoverflow.com/users/00042/x", "42"), ("0042", "42"), ("https://stackoverflow.com/questions/1", None), ("name", None)],
+        "hackernews": [("https://news.ycombinator.com/user?id=PG", "pg"), ("https://hn.algolia.com/user/pg/x", "pg"), ("pg", "pg")],
+        "devto": [("https://dev.to/Ben", "ben"), ("dev.to/ben?x=1", "ben"), ("https://dev.to/search", None)],
+    }
+    for source, rows in cases.items():
+        df = spark.createDataFrame([(raw,) for raw, _ in rows], "raw string")
+        got = [r[0] for r in df.select(discovery.requested(source, F.col("raw"))).collect()]
+        assert got == [want for _, want in rows], source
