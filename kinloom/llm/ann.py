@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, pack, unpack
 
 SHARD, QUERIES = 8_192, 4_096
-#: Recall of the 20 nearest in a full shard is 0.97 with these (see the tests).
+#: Recall of the 20 nearest in a full shard is 0.95 or more with these (see the tests).
 LINKS, NEAR, EF, EF_DOWN, AT_ONCE = 24, 96, 192, 16, 256
 FOUND = "query_id long, vec_id long, score double"
 
