@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text
+
 
 def indel(a: str, b: str) -> float:
     """200 * LCS / (|a| + |b|), with the common subsequence's length by bit rows."""
@@ -111,3 +113,8 @@ def _unescape(x: pd.Series) -> pd.Series:
 def html_unescape(c: Column) -> Column:
     some = c.contains("&")
     return F.when(some, F.pandas_udf(_unescape, "string")(F.when(some, c))).otherwise(c)
+
+
+def html_to_text(c: Column) -> Column:
+    """Text without tags; entities are read before tags go and after."""
+    return text.clean(html_unescape(F.regexp_replace(text.clean(html_unescape(c)), "<[^>]+>", " ")))

@@ -242,3 +242,8 @@ def salvage_json(c: Column) -> Column:
 
 def html_escape(c: Column) -> Column:
     return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#x27;"}.items(), c)
+
+
+def safe_message(c: Column) -> Column:
+    """A failure's message, 300 characters of it at most; one that may tell secrets is replaced."""
+    return let(F.trim(c), lambda m: F.when(m.rlike(f"(?i){policy.SENSITIVE_MESSAGE}"), "Exception message omitted because it may contain sensitive data.").otherwise(F.substring(m, 1, 300)))

@@ -137,14 +137,24 @@ def bio_quality(c: Column) -> Column:
 
 def bio(b: DataFrame) -> DataFrame:
     v = b.withColumns({"value": text.clean(F.col("bio")), "prio": rank_of(F.col("source"), policy.BIO_PRIORITY)})
-    v = v.filter((F.length("value") >= 18) & (F.size(F.array_distinct(F.split(F.lower("value"), " "))) > 2)).withColumn("quality", bio_quality(F.col("value")))
+    v = v.filter((F.length("value") >= 18) & ~F.lower("value").isin(*policy.GENERIC_BIOS) & (F.size(F.array_distinct(F.split(F.lower("value"), " "))) > 2)).withColumn("quality", bio_quality(F.col("value")))
     return _first(v, F.desc("quality"), F.desc("relation_rank"), F.desc("prio"), F.desc("field_confidence"), F.desc(F.length("value"))).select("run_id", F.col("value").alias("bio"))
 
 
+def weak_headline(c: Column) -> Column:
+    """Greetings and bare trades say nothing."""
+    said = F.regexp_replace(F.regexp_replace(F.lower(c), "^[ ,.!?]+|[ ,.!?]+$", ""), r"(?U)\s+", " ")
+    tail = lambda x: F.regexp_replace(x, "^[^ ]+ ", "")
+    greeted = lambda x: x.rlike("^(hi|hello)[ ,]") & x.contains(" ") & (tail(x).isin(*policy.WEAK_HEADLINES) | tail(x).rlike("^i('m| am) a developer"))
+    return text.let(said, lambda x: (x == "") | x.isin(*policy.WEAK_HEADLINES) | greeted(x) | x.rlike("^welcome( to|!)"))
+
+
 def headline(c: Column) -> Column:
-    """A first sentence of 12 to 120 characters, else a short text as it is, else its first 117 characters and an ellipsis."""
-    first = F.trim(F.substring_index(c, ".", 1))
-    return F.when(F.length(first).between(12, 120), first).when(F.length(c) <= 120, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, 117)), F.lit("...")))
+    """A first sentence of 12 to 120 characters, else a short text as it is, else its first 117 characters and an ellipsis; null where that is weak."""
+    first, cut = F.trim(F.substring_index(c, ".", 1)), F.concat(F.rtrim(F.substring(c, 1, 117)), F.lit("..."))
+    none = F.lit(None).cast("string")
+    short = (F.length(c) <= 120) & ~weak_headline(c)
+    return F.when(weak_headline(first), none).when(F.length(first).between(12, 120), first).when(short, c).when(~weak_headline(cut), cut)
 
 
 def skill_key(c: Column) -> Column:
@@ -175,7 +185,8 @@ def profiles(linked: DataFrame, accounts: DataFrame) -> DataFrame:
     fields = sum((F.when(F.col(c).isNotNull() & (F.col("top_field") >= dec("0.75")), 1).otherwise(0) for c in ("location", "website", "bio", "skills")), F.when(F.col("name_confidence") >= dec("0.75"), 1).otherwise(0))
     high = (F.col("n_accounts") >= 2) & (F.col("top_link") >= dec("0.85")) & (F.col("top_evidence") >= dec("0.60")) & (fields >= 2)
     level = F.when(F.col("n_accounts").isNull(), "uncertain").when(high, "high").otherwise("medium")
-    return out.select("run_id", "display_name", "name_strategy", "location", "website", "bio", headline(F.col("bio")).alias("headline"), "skills", F.coalesce("n_accounts", F.lit(0)).alias("n_accounts"), level.alias("level"))
+    focus = F.concat(F.lit("Developer focused on "), F.array_join(F.slice(F.split("skills", ", "), 1, 3), ", "))
+    return out.select("run_id", "display_name", "name_strategy", "location", "website", "bio", F.coalesce(headline(F.col("bio")), focus).alias("headline"), "skills", F.coalesce("n_accounts", F.lit(0)).alias("n_accounts"), level.alias("level"))
 
 
 def fallback_summary(profile: DataFrame) -> DataFrame:
@@ -184,6 +195,24 @@ def fallback_summary(profile: DataFrame) -> DataFrame:
     return profile.select("run_id", F.when(F.col("n_accounts") == 0, "No account could be accepted.").otherwise(F.concat(name, F.lit(" has "), F.col("n_accounts").cast("string"), F.lit(" accepted public accounts"), F.when(F.col("skills").isNotNull(), F.concat(F.lit(" with "), F.array_join(F.slice(F.split("skills", ", "), 1, 3), ", "))).otherwise(""), F.lit("."))).alias("summary"))
 
 
+def evidence_of_links(linked: DataFrame, ev: DataFrame) -> DataFrame:
+    """Evidence rows of accounts that have a link, with the link's relationship, both platforms and the field that is told of."""
+    own = linked.select("run_id", "account_key", "relationship", F.col("source").alias("source_a"))
+    other = F.substring_index("other_key", ":", 1)
+    return ev.join(own, ["run_id", "account_key"]).select("run_id", "account_key", "other_key", "relationship", "signal", F.col("signal_group").alias("field_name"), "weight", "source_a", other.alias("source_b"), F.coalesce("value", "account_key").alias("value_a"))
+
+
+def conflict_sides(cf: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Conflicts with `sides`: what each of the two accounts says, source and target."""
+    basis = F.col("basis")
+    said = {"name_conflict": F.col("n_name"), "website_conflict": F.col("n_domain"), "location_conflict": F.col("n_location"), "email_hash": F.col("email_hash"), "email_domain": F.lower("email_domain"), "topic_mismatch": F.array_join(F.array_sort("n_topics"), ",")}
+    values = F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v)])
+    a = accounts.select("run_id", "account_key", F.struct("source", "account_key", values.alias("said")).alias("own"))
+    side = lambda c, name: F.struct(F.lit(name).alias("side"), F.col(f"{c}.source").alias("source"), F.col(f"{c}.account_key").alias("account_key"), F.col(f"{c}.said")[basis].alias("value"))
+    both = cf.join(a.select("run_id", F.col("account_key").alias("lk"), F.col("own").alias("l")), ["run_id", "lk"]).join(a.select("run_id", F.col("account_key").alias("rk"), F.col("own").alias("r")), ["run_id", "rk"])
+    return both.select("run_id", "conflict", "basis", "severity", "penalty", F.array(side("l", "source"), side("r", "target")).alias("sides"))
+
+
 def read_model(linked: DataFrame, ev: DataFrame, cf: DataFrame) -> DataFrame:
     """Each run with its links (best first), evidence and conflict counts, as ordered strings."""
     order = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "account_key", "decision")))

@@ -27,7 +27,7 @@ def call_metrics(calls: DataFrame) -> DataFrame:
 
 
 def calls_by_source(calls: DataFrame) -> DataFrame:
-    return calls.filter("source <> 'gemini'").groupBy("source").agg(F.count(F.lit(1)).alias("calls"), F.count_if(failed()).alias("failures"), F.max("created_at").cast("string").alias("last_call"))
+    return calls.filter("source <> 'gemini'").groupBy("source").agg(F.count(F.lit(1)).alias("calls"), F.count_if(failed()).alias("failures"), F.round(F.coalesce(F.avg("duration_ms"), F.lit(0.0)), 2).alias("avg_ms"), F.max("created_at").cast("string").alias("last_call"))
 
 
 def latest_call(calls: DataFrame) -> DataFrame:
@@ -92,8 +92,14 @@ def error_kind(status: Column) -> Column:
     return F.when(status.isNull(), "timeout").when(status == 404, "not_found").when(status == 429, "rate_limited").when(status >= 400, "api_error")
 
 
-def retry_plan(calls: DataFrame, attempts: int = 3) -> DataFrame:
-    """Type of failure, whether to try again, and the wait before: half a second doubled each time, three at most."""
-    status, attempt = F.col("status_code"), (F.col("event_id") % attempts + 1)
-    again = (status.isNull() | status.isin(*policy.RETRY_STATUSES)) & (attempt < attempts)
-    return calls.filter(failed()).select("event_id", error_kind(status).alias("kind"), again.alias("again"), F.when(again, F.least(F.lit(3.0), F.lit(0.5) * F.pow(F.lit(2.0), attempt - 1))).alias("wait_s"))
+def retry_plan(calls: DataFrame, attempts: int = 3, longest_s: float = 3.0) -> DataFrame:
+    """Type of failure, whether to try again, and the wait before: what the answer asks for, else half a second doubled each time, longest_s at most.
+    There is no new try while a quota is spent whose reset is known, nor if a rate-limited answer asks for a longer wait.
+    calls may lack rate_limit_remaining, rate_limit_reset and retry_after_s."""
+    given = lambda c: F.when(F.col("status_code").isNotNull(), F.col(c)) if c in calls.columns else F.lit(None)
+    status, attempt, after = F.col("status_code"), (F.col("event_id") % attempts + 1), given("retry_after_s").cast("double")
+    spent = F.coalesce((given("rate_limit_remaining") == 0) & given("rate_limit_reset").isNotNull(), F.lit(False))
+    too_long = F.coalesce((status == 429) & (after > longest_s), F.lit(False))
+    again = (status.isNull() | status.isin(*policy.RETRY_STATUSES)) & (attempt < attempts) & ~spent & ~too_long
+    wait = F.least(F.lit(longest_s), F.coalesce(after, F.lit(0.5) * F.pow(F.lit(2.0), attempt - 1)))
+    return calls.filter(failed()).select("event_id", error_kind(status).alias("kind"), again.alias("again"), F.when(again, wait).alias("wait_s"))

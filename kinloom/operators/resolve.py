@@ -184,6 +184,45 @@ def pair_scores(paired: DataFrame, ev: DataFrame, cf: DataFrame, limits: policy.
     return out.withColumns({"weak_only": weak, "blocking": F.size("blocking_types") > 0, "rejects": rejects, "pair_key": F.concat_ws("|", "lk", "rk")})
 
 
+def _said(*parts: tuple[Column | None, Column]) -> Column:
+    """Sentences whose condition holds."""
+    return F.array_compact(F.array(*[x if test is None else F.when(test, x) for test, x in parts]))
+
+
+def _scored(groups: str, none: str) -> Column:
+    listed = F.concat(F.lit("Applied independent evidence groups: "), F.array_join(groups, ", "), F.lit("."))
+    return F.when(F.size(groups) > 0, listed).otherwise(none)
+
+
+def _two(c: Column) -> Column:
+    return F.format_string("%.2f", c.cast("double"))
+
+
+def account_explanations(accounts: DataFrame, scores: DataFrame, limits: policy.Policy = policy.DEFAULT) -> DataFrame:
+    """(run_id, account_key, explanation): a score in sentences."""
+    s = scores.join(accounts.select("run_id", "account_key", "source"), ["run_id", "account_key"])
+    return s.select("run_id", "account_key", _said(
+        (None, F.concat(F.lit("Account "), F.col("account_key"), F.lit(" scored "), _two(F.col("confidence")), F.lit(" against the request."))),
+        (None, _scored("groups", "No direct request evidence was applied.")),
+        ((F.size("groups") > 0) & (F.size("strong_groups") == 0), F.lit("Only weak identity signals were applied; classifier should avoid auto-match from this alone.")),
+        (F.col("source") == "hackernews", F.lit("Hacker News evidence is conservative because HN profiles are sparse.")),
+        (F.col("positive") > dec(limits.confidence_cap), F.lit(f"Positive score exceeded the confidence cap and was capped at {limits.confidence_cap}.")),
+    ).alias("explanation"))
+
+
+def pair_explanations(scores: DataFrame, limits: policy.Policy = policy.DEFAULT) -> DataFrame:
+    """(run_id, pair_key, hn_requires_strong, explanation): a score in sentences, and whether it takes strong evidence as one side is sparse."""
+    return scores.select("run_id", "pair_key", (F.col("hn") & F.col("weak_only")).alias("hn_requires_strong"), _said(
+        (None, F.concat(F.lit("Account pair "), F.col("pair_key"), F.lit(" scored "), _two(F.col("confidence")), F.lit("."))),
+        (None, _scored("groups", "No positive account-pair evidence was applied.")),
+        (F.col("penalty") < 0, F.concat(F.lit("Conflict penalties reduced the score by "), _two(F.abs("penalty")), F.lit("."))),
+        (F.size("strong_groups") > 0, F.concat(F.lit("Strong connection groups present: "), F.array_join("strong_groups", ", "), F.lit("."))),
+        (F.col("weak_only"), F.lit("Only weak pair signals were applied; classifier should avoid auto-match from this alone.")),
+        (F.col("hn"), F.lit("Pair involves Hacker News or HN-derived evidence; classifier should require stronger corroboration.")),
+        (F.col("positive") + F.col("penalty") > dec(limits.confidence_cap), F.lit(f"Positive score exceeded the confidence cap and was capped at {limits.confidence_cap}.")),
+    ).alias("explanation"))
+
+
 def components(ev: DataFrame, cf: DataFrame) -> DataFrame:
     """Audit rows of the pair scores: evidence and conflicts, applied or discarded within their group or type."""
     keys = ["run_id", "lk", "rk"]

@@ -149,7 +149,7 @@ sk AS (SELECT run_id, term, sum(100 + sp) AS points, count(DISTINCT account_key)
 c_skills AS (SELECT run_id, upper(term[1]) || term[2:] AS skill, points / 100 AS weight, n_sources, row_number() OVER (PARTITION BY run_id ORDER BY points DESC, n_sources DESC, term) AS skill_rank FROM sk QUALIFY skill_rank <= 30),
 top_skills AS (SELECT run_id, string_agg(skill, ', ' ORDER BY skill_rank) AS skills FROM c_skills GROUP BY ALL),
 per AS (SELECT run_id, count(*) AS n_accounts, max(confidence) AS top_link, max(evidence_confidence) AS top_ev, max(fc) AS top_fc FROM b GROUP BY ALL),
-c_profile AS (SELECT r.run_id, display_name, name_strategy, location, website, bio, bio AS headline, skills, coalesce(n_accounts, 0) AS n_accounts, CASE WHEN n_accounts IS NULL THEN 'uncertain'
+c_profile AS (SELECT r.run_id, display_name, name_strategy, location, website, bio, coalesce(bio, 'Developer focused on ' || array_to_string(string_split(skills, ', ')[1:3], ', ')) AS headline, skills, coalesce(n_accounts, 0) AS n_accounts, CASE WHEN n_accounts IS NULL THEN 'uncertain'
   WHEN n_accounts >= 2 AND top_link >= 0.85 AND top_ev >= 0.60 AND (CASE WHEN name_confidence >= 0.75 THEN 1 ELSE 0 END + CASE WHEN top_fc >= 0.75 THEN (location IS NOT NULL)::int + (website IS NOT NULL)::int + (bio IS NOT NULL)::int + (skills IS NOT NULL)::int ELSE 0 END) >= 2 THEN 'high' ELSE 'medium' END AS level
   FROM (SELECT DISTINCT run_id FROM links) r LEFT JOIN per USING (run_id) LEFT JOIN c_name USING (run_id) LEFT JOIN c_location USING (run_id) LEFT JOIN c_website USING (run_id) LEFT JOIN c_bio USING (run_id) LEFT JOIN top_skills USING (run_id))"""
 
@@ -160,12 +160,18 @@ WORDS = f"list_filter(regexp_extract_all(lower(trim(regexp_replace(regexp_replac
 URL_N = """(SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS s, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www[.]', '') AS h, rtrim(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') AS p,
   array_to_string(list_filter(list_transform(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: lower(string_split(x, '=')[1]) || '=' || coalesce(string_split(x, '=')[2], '')), lambda x: regexp_matches(x, '^[^=]*=.+$') AND NOT starts_with(x, 'utm_') AND string_split(x, '=')[1] NOT IN """ + _list(policy.TRACKING_PARAMS) + """), '&') AS q FROM pages)"""
 
+#: The entities that pages have.
+UNESCAPED = "replace(replace(replace(replace({x}, '&quot;', chr(34)), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&')"
+SPACED = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+LISTED = "CASE WHEN len(groups) > 0 THEN 'Applied independent evidence groups: ' || array_to_string(groups, ', ') || '.' ELSE '{none}' END"
+CAPPED = "CASE WHEN {x} > 0.97 THEN 'Positive score exceeded the confidence cap and was capped at 0.97.' END"
+WEAK = "(SELECT y = '' OR y IN {w} OR (regexp_matches(y, '^(hi|hello)[ ,]') AND contains(y, ' ') AND (regexp_replace(y, '^[^ ]+ ', '') IN {w} OR regexp_matches(regexp_replace(y, '^[^ ]+ ', ''), '^i(.m| am) a developer'))) OR regexp_matches(y, '^welcome( to|!)') FROM (SELECT trim(lower({x}), ' ,.!?') AS y))"
 ORACLES = {
     "health_profile_metrics": f"WITH {RUNS} SELECT count(*) AS total_runs, count(*) FILTER (status = 'resolved') AS resolved_runs, count(*) FILTER (status = 'partial') AS partial_runs, count(*) FILTER (status = 'failed') AS failed_runs, coalesce(avg(duration_ms) FILTER (status IN ('resolved', 'partial')), 0.0) AS avg_duration_ms FROM runs",
     "health_api_calls": f"WITH {CALLS} SELECT s.source, coalesce(count(c.event_id), 0) AS total_calls, count(c.event_id) FILTER {FAILED.replace('(', '(WHERE ', 1)} AS error_calls, coalesce(avg(duration_ms), 0.0) AS avg_ms FROM (VALUES ('github'), ('stackoverflow'), ('devto'), ('hackernews')) s(source) LEFT JOIN calls c ON c.source = s.source GROUP BY s.source",
     "health_latest_rate_limit": f"WITH {CALLS} SELECT event_id, rate_limit_remaining FROM calls WHERE source = 'github' AND rate_limit_remaining IS NOT NULL ORDER BY created_at DESC, event_id DESC LIMIT 1",
     "health_llm_usage": "WITH t AS (SELECT CASE WHEN length(trim(text)) = 0 THEN 0 ELSE greatest(1, cast(floor(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) * 16 / 10) AS int), cast(floor(length(text) / 4) AS int)) END AS n FROM conversations WHERE role = 'assistant') SELECT count(*) AS summaries, cast(coalesce(sum(n), 0) AS bigint) AS output_tokens, cast(max(n) AS int) AS longest FROM t",
-    "api_metrics_by_source": f"WITH {CALLS} SELECT source, count(*) AS calls, count(*) FILTER {FAILED.replace('(', '(WHERE ', 1)} AS failures, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_call FROM calls WHERE source <> 'gemini' GROUP BY source",
+    "api_metrics_by_source": f"WITH {CALLS} SELECT source, count(*) AS calls, count(*) FILTER {FAILED.replace('(', '(WHERE ', 1)} AS failures, round(coalesce(avg(duration_ms), 0), 2) AS avg_ms, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_call FROM calls WHERE source <> 'gemini' GROUP BY source",
     "latest_call_per_source": f"WITH {CALLS} SELECT source, event_id, status_code FROM calls QUALIFY row_number() OVER (PARTITION BY source ORDER BY created_at DESC, event_id DESC) = 1",
     "llm_metadata_json_sums": f"WITH {CALLS}, k AS (SELECT source, cast(json_extract_string(props, '$.k') AS bigint) AS k FROM calls) SELECT source, cast(sum(coalesce(nullif(k, 0), 1)) AS bigint) AS k_sum, count(*) FILTER (k IS NULL) AS k_missing FROM k GROUP BY source",
     "rolling_rate_window": f"WITH {CALLS} SELECT event_id, source, count(*) OVER (PARTITION BY source ORDER BY created_at RANGE BETWEEN INTERVAL 30 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM calls",
@@ -173,7 +179,7 @@ ORACLES = {
     "tumbling_activity": f"WITH {CALLS} SELECT epoch_us(date_trunc('hour', created_at)) // 1000000 AS start_s, source, count(*) AS calls FROM calls GROUP BY ALL",
     "sliding_activity": f"WITH {CALLS}, w AS (SELECT source, epoch_us(date_trunc('hour', created_at)) // 1000000 - unnest([0, 3600]) AS start_s FROM calls) SELECT start_s, source, count(*) AS calls FROM w GROUP BY ALL",
     "session_activity": f"WITH {CALLS}, g AS (SELECT source, epoch_us(created_at) AS t, CASE WHEN epoch_us(created_at) - lag(epoch_us(created_at)) OVER (PARTITION BY source ORDER BY created_at) < 600000000 THEN 0 ELSE 1 END AS new FROM calls), s AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT min(t) AS start_us, source, count(*) AS calls FROM s GROUP BY source, n",
-    "retry_policy": f"WITH {CALLS}, r AS (SELECT event_id, status_code, event_id % 3 + 1 AS a FROM calls WHERE {FAILED}), w AS (SELECT event_id, CASE WHEN status_code IS NULL THEN 'timeout' WHEN status_code = 404 THEN 'not_found' WHEN status_code = 429 THEN 'rate_limited' WHEN status_code >= 400 THEN 'api_error' END AS kind, (status_code IS NULL OR status_code IN (408, 429, 500, 502, 503, 504)) AND a < 3 AS again, a FROM r) SELECT event_id, kind, again, CASE WHEN again THEN least(3.0::double, 0.5::double * pow(2, a - 1)) END AS wait_s FROM w",
+    "retry_policy": f"WITH {CALLS}, r AS (SELECT event_id, status_code, event_id % 3 + 1 AS a, CASE WHEN status_code IS NOT NULL AND event_id % 5 < 3 THEN event_id % 8 END AS after, coalesce(status_code IS NOT NULL AND rate_limit_remaining % 3 = 0 AND event_id % 2 = 0, false) AS spent FROM calls WHERE {FAILED}), w AS (SELECT event_id, CASE WHEN status_code IS NULL THEN 'timeout' WHEN status_code = 404 THEN 'not_found' WHEN status_code = 429 THEN 'rate_limited' WHEN status_code >= 400 THEN 'api_error' END AS kind, (status_code IS NULL OR status_code IN (408, 429, 500, 502, 503, 504)) AND a < 3 AND NOT spent AND NOT (coalesce(status_code, 0) = 429 AND coalesce(after, 0) > 3) AS again, a, after FROM r) SELECT event_id, kind, again, CASE WHEN again THEN least(3.0::double, coalesce(after::double, 0.5::double * pow(2, a - 1))) END AS wait_s FROM w",
     "stream_watermark_counts": "SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS start_s, event_type, count(*) AS calls FROM events GROUP BY ALL",
     "stream_dedupe": "SELECT DISTINCT event_id, event_type FROM events",
     "account_keys": f"WITH {ACCOUNTS} SELECT run_id, lower(source || ':' || coalesce(user_id, handle)) AS account_key FROM accounts",
@@ -184,7 +190,7 @@ ORACLES = {
     "url_normalize": f"SELECT page_id, s || '://' || h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url_n FROM {URL_N}",
     "website_domain": f"WITH {NORM} SELECT account_key, run_id, n_domain AS domain FROM norm",
     "profile_fingerprint": f"WITH {NORM} SELECT account_key, run_id, n_print AS own, coalesce(n_link, '') AS links FROM norm",
-    "html_to_text": "SELECT page_id, sha256(trim(regexp_replace(regexp_replace(trim(regexp_replace(html, '\\s+', ' ', 'g')), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_hash FROM pages",
+    "html_to_text": f"SELECT page_id, sha256({SPACED.format(x=UNESCAPED.format(x="regexp_replace(" + SPACED.format(x=UNESCAPED.format(x=SPACED.format(x="html"))) + ", '<[^>]+>', ' ', 'g')"))}) AS text_hash FROM pages",
     "outbound_links": "SELECT page_id, cast(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS int) AS n_links, cast(len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS int) AS n_distinct FROM pages",
     "keyword_topics_topk": f"WITH w AS (SELECT conv_id, turn, {WORDS} AS ws FROM conversations), e AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w), g AS (SELECT conv_id, word, count(*) AS n, min(turn * 1000000 + pos) AS f FROM e GROUP BY ALL) SELECT conv_id, word, n, cast(row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) AS int) AS topic_rank FROM g QUALIFY topic_rank <= 20",
     "bio_keyword_overlap": f"WITH {NORM} SELECT run_id, lk, rk, CASE WHEN len(words) >= 2 THEN array_to_string(words, ',') ELSE '' END AS shared FROM pairs",
@@ -232,3 +238,21 @@ ORACLES = {
     "rate_limit_headers": "SELECT event_id, cast(5000 AS bigint) AS total, CASE WHEN event_id % 5 = 0 THEN event_id % 300 ELSE user_id END AS remaining, CASE WHEN event_id % 7 = 0 THEN cast(3 AS bigint) END AS retry_after_s FROM events",
     "stored_row_violations": f"WITH {CALLS}, {RUNS} SELECT 'calls' AS tab, 'error_without_cause' AS rule, count(*) AS n FROM calls WHERE status_code IS NULL AND error_message IS NULL HAVING count(*) > 0 UNION ALL SELECT 'runs', 'slow', count(*) FROM runs WHERE duration_ms > 4900 HAVING count(*) > 0",
 }
+
+_weak = lambda x: WEAK.format(x=x, w=_list(policy.WEAK_HEADLINES))
+ORACLES |= {
+    "account_explanations": f"WITH {SCORES} SELECT run_id, account_key, concat_ws(' ', 'Account ' || account_key || ' scored ' || printf('%.2f', confidence::double) || ' against the request.', {LISTED.format(none='No direct request evidence was applied.')}, CASE WHEN len(groups) > 0 AND len(strong_groups) = 0 THEN 'Only weak identity signals were applied; classifier should avoid auto-match from this alone.' END, CASE WHEN starts_with(account_key, 'hackernews:') THEN 'Hacker News evidence is conservative because HN profiles are sparse.' END, {CAPPED.format(x='positive')}) AS explanation FROM ascore",
+    "pair_explanations": f"WITH {SCORES} SELECT run_id, pair_key, hn AND weak_only AS hn_requires_strong, concat_ws(' ', 'Account pair ' || pair_key || ' scored ' || printf('%.2f', confidence::double) || '.', {LISTED.format(none='No positive account-pair evidence was applied.')}, CASE WHEN penalty < 0 THEN 'Conflict penalties reduced the score by ' || printf('%.2f', abs(penalty)::double) || '.' END, CASE WHEN len(strong_groups) > 0 THEN 'Strong connection groups present: ' || array_to_string(strong_groups, ', ') || '.' END, CASE WHEN weak_only THEN 'Only weak pair signals were applied; classifier should avoid auto-match from this alone.' END, CASE WHEN hn THEN 'Pair involves Hacker News or HN-derived evidence; classifier should require stronger corroboration.' END, {CAPPED.format(x='positive + penalty')}) AS explanation FROM ps",
+    "evidence_of_links": f"WITH {DECIDED} SELECT e.run_id, e.account_key, e.other_key, l.relationship, e.signal, e.signal_group AS field_name, cast(e.weight AS double) AS weight, l.source AS source_a, split_part(e.other_key, ':', 1) AS source_b FROM ev e JOIN links l USING (run_id, account_key)",
+    "conflict_sides": f"WITH {EVIDENCE}, s AS (SELECT *, 'source' AS side, lk AS account_key FROM cf UNION ALL SELECT *, 'target', rk FROM cf) SELECT run_id, conflict, basis, side, source, account_key, CASE basis WHEN 'name_conflict' THEN n_name WHEN 'website_conflict' THEN n_domain WHEN 'location_conflict' THEN n_location WHEN 'email_hash' THEN email_hash WHEN 'email_domain' THEN email_domain ELSE array_to_string(list_sort(n_topics), ',') END AS value FROM s JOIN norm USING (run_id, account_key)",
+    "review_final_links": f"WITH {DECIDED}, n AS (SELECT *, cast(split_part(account_key, ':', 2) AS bigint) AS n, decision = 'needs_review' AND n % 7 <> 0 AND n % 5 < 4 AS told FROM links), s AS (SELECT *, CASE WHEN told AND n % 3 > 0 AND evidence_confidence <> 0 THEN evidence_confidence ELSE decision_confidence END AS sure, CASE WHEN told THEN CASE WHEN n % 5 < 2 THEN 'auto_match' ELSE 'reject' END ELSE decision END AS new FROM n) SELECT run_id, account_key, new AS decision, CASE WHEN told THEN CASE new WHEN 'reject' THEN 'rejected' ELSE 'secondary' END ELSE relationship END AS relationship, CASE WHEN told THEN CASE new WHEN 'reject' THEN 'rejected' ELSE 'likely_same_person' END ELSE verification END AS verification, cast(CASE WHEN new = 'auto_match' THEN greatest(sure, 0.85) ELSE sure END AS double) AS confidence FROM s",
+    "review_counters": f"WITH e AS ({ORACLES['review_eligibility']}), n AS (SELECT *, cast(split_part(account_key, ':', 2) AS bigint) AS n, skip_reason IS NULL AS fine FROM e), by_reason AS (SELECT run_id, string_agg(x, ',' ORDER BY x) AS skipped FROM (SELECT run_id, skip_reason || ':' || count(*) AS x FROM n WHERE NOT fine GROUP BY run_id, skip_reason) GROUP BY run_id) SELECT run_id, count_if(fine)::bigint AS eligible, count_if(NOT fine)::bigint AS not_eligible, count_if(fine)::bigint AS attempted, count_if(fine AND n % 5 <> 0)::bigint AS succeeded, count_if(fine AND n % 5 = 0)::bigint AS failed, count_if(fine AND n % 5 <> 0 AND n % 3 = 0)::bigint AS promoted, count_if(fine AND n % 5 <> 0 AND n % 3 = 1)::bigint AS rejected, count_if(fine AND (n % 5 = 0 OR n % 3 = 2))::bigint AS kept, coalesce(any_value(skipped), '') AS skipped FROM n LEFT JOIN by_reason USING (run_id) GROUP BY run_id",
+    "model_failure_kinds": f"WITH {CALLS} SELECT event_id, CASE WHEN coalesce(status_code, 0) IN (400, 401, 403, 404) OR (event_id % 11 <> 0 AND event_id % 7 = 0) THEN 'non_retryable' WHEN coalesce(status_code, 0) IN (429, 500, 502, 503, 504) OR event_id % 11 = 0 OR event_id % 5 = 0 OR event_id % 13 = 0 THEN 'retryable' ELSE 'failed' END AS kind FROM calls",
+    "safe_messages": f"SELECT conv_id, turn, sha256(coalesce(CASE WHEN regexp_matches(text, '{policy.SENSITIVE_MESSAGE}', 'i') THEN 'Exception message omitted because it may contain sensitive data.' ELSE left(trim(text), 300) END, '')) AS message_hash FROM conversations",
+    "headlines": f"WITH g AS (SELECT p_partkey, {SPACED.format(x="CASE p_partkey % 7 WHEN 0 THEN 'Welcome to ' || p_name WHEN 1 THEN 'Hello, programmer!' WHEN 2 THEN p_name || '. ' || p_type WHEN 3 THEN repeat(p_name || ' ', 12) WHEN 4 THEN 'Software Developer.' ELSE p_name END")} AS c FROM part), f AS (SELECT *, trim(split_part(c, '.', 1)) AS s, rtrim(left(c, 117)) || '...' AS cut FROM g) SELECT p_partkey, CASE WHEN {_weak('s')} THEN NULL WHEN length(s) BETWEEN 12 AND 120 THEN s WHEN length(c) <= 120 AND NOT {_weak('c')} THEN c WHEN NOT {_weak('cut')} THEN cut END AS headline FROM f",
+    "raw_record_warnings": f"""WITH {ACCOUNTS}, a AS (SELECT id, CASE WHEN id % 9 = 0 THEN 'elsewhere' ELSE source END AS source, source AS own, CASE WHEN id % 10 = 0 THEN 'raw:' || id ELSE 'id:' || id END AS grp, id % 6 = 0 AS bad, CASE k WHEN 0 THEN 'profile' ELSE 'user' END AS kind FROM linked)
+  SELECT source, 'raw:' || id AS account_group, kind AS record_type, 'Raw record has unsupported source and was skipped.' AS message FROM a WHERE source = 'elsewhere'
+  UNION ALL SELECT source, grp, kind, 'Raw record had no source_user_id or handle; grouped by raw record ID only.' FROM a WHERE source <> 'elsewhere' AND id % 10 = 0
+  UNION ALL SELECT source, grp, NULL, 'Raw record group could not be normalized because the primary profile/user record was missing or invalid.' FROM a WHERE source <> 'elsewhere' AND bad
+  UNION ALL SELECT source, grp, t, 'Account normalized without ' || t || ' raw record.' FROM (SELECT *, unnest(CASE own WHEN 'github' THEN ['repos'] WHEN 'stackoverflow' THEN ['answers', 'questions'] WHEN 'devto' THEN ['articles'] ELSE ['activity'] END) AS t FROM a WHERE source <> 'elsewhere' AND NOT bad) WHERE NOT (id % 5 = 1 AND t <> 'questions')""",
+}

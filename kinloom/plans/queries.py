@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text
-from ..operators import discovery, golden, health, resolve
+from ..operators import discovery, golden, health, resolve, review
 from ..sources import accounts as sources
 from ..sources import store
 from ..streaming import metrics
@@ -143,7 +143,9 @@ def session_activity(spark, d):
 
 @query
 def retry_policy(spark, d):
-    return health.retry_plan(derive.calls(spark, d))
+    n = F.col("event_id")
+    c = derive.calls(spark, d).withColumns({"rate_limit_remaining": F.col("rate_limit_remaining") % 3, "rate_limit_reset": F.when(n % 2 == 0, n), "retry_after_s": F.when(n % 5 < 3, n % 8)})
+    return health.retry_plan(c)
 
 
 @query
@@ -209,7 +211,7 @@ def profile_fingerprint(spark, d):
 
 @query
 def html_to_text(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.sha2(F.coalesce(text.strip_tags(F.col("html")), F.lit("")).cast("binary"), 256).alias("text_hash"))
+    return _t(spark, d, "pages").select("page_id", F.sha2(F.coalesce(fuzzy.html_to_text(F.col("html")), F.lit("")).cast("binary"), 256).alias("text_hash"))
 
 
 @query
@@ -502,3 +504,83 @@ def stored_row_violations(spark, d):
     a = golden.violations(derive.calls(spark, d), store.CALL_RULES, "source").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
     b = golden.violations(derive.runs(spark, d), store.RUN_RULES, "status").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
     return a.withColumn("tab", F.lit("calls")).unionByName(b.withColumn("tab", F.lit("runs")))
+
+
+@query
+def account_explanations(spark, d):
+    r = resolution(spark, d)
+    e = resolve.account_explanations(r.accounts, r.account_scores)
+    return e.withColumn("explanation", F.array_join("explanation", " "))
+
+
+@query
+def pair_explanations(spark, d):
+    e = resolve.pair_explanations(resolution(spark, d).pair_scores)
+    return e.withColumn("explanation", F.array_join("explanation", " "))
+
+
+@query
+def evidence_of_links(spark, d):
+    r = resolution(spark, d)
+    return _num(golden.evidence_of_links(r.links, r.evidence).drop("value_a"))
+
+
+@query
+def conflict_sides(spark, d):
+    r = resolution(spark, d)
+    sides = golden.conflict_sides(r.conflicts, r.accounts)
+    return sides.select("run_id", "conflict", "basis", F.inline("sides"))
+
+
+def _number(key: str = "account_key"):
+    return F.element_at(F.split(key, ":"), 2).cast("long")
+
+
+@query
+def review_final_links(spark, d):
+    r, n = resolution(spark, d), _number()
+    action = F.when(n % 5 < 2, "promoted_to_auto_match").when(n % 5 < 4, "rejected_after_review").otherwise("kept_needs_review")
+    outcomes = r.decided.filter((F.col("decision") == "needs_review") & (n % 7 != 0)).select("run_id", "account_key", action.alias("action"), F.when(n % 3 > 0, F.col("evidence_confidence")).otherwise(resolve.dec(0)).alias("score"))
+    return _num(review.final_links(r.links, outcomes))
+
+
+@query
+def review_counters(spark, d):
+    n, fine = _number(), F.col("skip_reason").isNull()
+    error = F.when(fine & (n % 5 == 0), "timed out")
+    action = F.when(~fine, None).when(n % 5 == 0, "review_failed_keep_needs_review").when(n % 3 == 0, "promoted_to_auto_match").when(n % 3 == 1, "rejected_after_review").otherwise("kept_needs_review")
+    e = golden.review_eligibility(resolution(spark, d).decided)
+    return review.counters(e.select("run_id", "skip_reason", fine.alias("reviewed"), error.alias("error"), action.alias("action")))
+
+
+@query
+def model_failure_kinds(spark, d):
+    n = F.col("event_id")
+    message = F.when(n % 11 == 0, "Quota was used up").when(n % 7 == 0, "Blocked for Safety").when(n % 5 == 0, "the request Timed Out")
+    name = F.when(n % 13 == 0, "ReadTimeout").otherwise("Error")
+    return derive.calls(spark, d).select("event_id", review.failure_kind(F.col("status_code"), message, name).alias("kind"))
+
+
+@query
+def safe_messages(spark, d):
+    t = _t(spark, d, "conversations")
+    return t.select("conv_id", "turn", F.sha2(F.coalesce(text.safe_message(F.col("text")), F.lit("")).cast("binary"), 256).alias("message_hash"))
+
+
+@query
+def headlines(spark, d):
+    t = _t(spark, d, "part")
+    n = F.col("p_partkey")
+    given = F.when(n % 7 == 0, F.concat(F.lit("Welcome to "), "p_name")).when(n % 7 == 1, "Hello, programmer!").when(n % 7 == 2, F.concat("p_name", F.lit(". "), "p_type")).when(n % 7 == 3, F.repeat(F.concat("p_name", F.lit(" ")), 12)).when(n % 7 == 4, "Software Developer.").otherwise(F.col("p_name"))
+    return t.select("p_partkey", golden.headline(text.clean(given)).alias("headline"))
+
+
+@query
+def raw_record_warnings(spark, d):
+    n = F.col("id")
+    a = derive.accounts(spark, d).withColumn("id", F.col("user_id").cast("long"))
+    kind = F.when(F.col("source") == "github", "profile").otherwise("user")
+    user = F.when(n % 6 == 0, "no JSON").when(F.col("source") == "stackoverflow", '{"items": [{"user_id": 1}]}').otherwise('{"id": 1}')
+    first = a.select("id", F.when(n % 9 == 0, "elsewhere").otherwise(F.col("source")).alias("source"), kind.alias("record_type"), F.when(n % 10 != 0, F.col("user_id")).alias("user_id"), F.lit(None).cast("string").alias("handle"), user.alias("payload"), n.alias("fetched_at"))
+    more = a.filter((n % 5 == 1) & (n % 9 != 0)).select(n, "source", F.when(F.col("source") == "github", "repos").when(F.col("source") == "stackoverflow", "answers").when(F.col("source") == "devto", "articles").otherwise("activity").alias("record_type"), "user_id", F.lit(None).cast("string").alias("handle"), F.lit("[]").alias("payload"), n.alias("fetched_at"))
+    return sources.warnings(first.unionByName(more))

@@ -93,6 +93,17 @@ BIO_ALIASES = {
 TRACKING_PARAMS = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src")
 SECRET_PARAMS = ("key", "token", "access_token", "client_secret", "api_key")
 RETRY_STATUSES = (408, 429, 500, 502, 503, 504)
+# Failures of model calls, accepted links, words of messages that aren't shown, weak texts: fixed values.
+FATAL_STATUSES = (400, 401, 403, 404)
+TRANSIENT_STATUSES = (429, 500, 502, 503, 504)
+FATAL_MARKERS = ("api key not valid", "invalid api key", "permission denied", "unauthenticated", "invalid argument", "bad request", "forbidden", "safety", "blocked")
+TRANSIENT_MARKERS = ("resource_exhausted", "rate limit", "quota", "too many requests", "temporarily unavailable", "unavailable", "deadline exceeded", "timeout", "timed out", "internal", "server error")
+ACCEPTED_RELATIONSHIPS = ("primary", "alias", "secondary")
+ACCEPTED_VERIFICATIONS = ("claimed_by_input", "evidence_matched", "reciprocal_link_verified")
+SENSITIVE_MESSAGE = "raw_payload|access[_-]?token|api[_-]?key|authorization|secret|password|email"
+GENERIC_BIOS = ("developer", "software developer", "software engineer", "programmer", "coder", "student", "engineer")
+WEAK_HEADLINES = ("hello", "hi", "welcome", "welcome to my profile", "developer", "software developer", "software engineer", "programmer", "coder")
+SECONDARY_RECORDS = {"github": ("repos",), "stackoverflow": ("answers", "questions"), "devto": ("articles",), "hackernews": ("activity",)}
 RESERVED_PATHS = {
     "github": (
         "about", "apps", "collections", "customer-stories", "events", "explore", "features", "issues", "login", "marketplace", "new", "notifications", "orgs",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import policy
 from ..functions import fuzzy, text
 
 GITHUB = "struct<id:bigint,login:string,name:string,bio:string,location:string,company:string,blog:string,html_url:string,avatar_url:string>"
@@ -94,6 +95,29 @@ def normalize(raw: DataFrame) -> DataFrame:
     return out.withColumn("account_key", text.account_key(F.col("source"), F.col("user_id"), F.col("handle")))
 
 
+#: The record that an account of a platform can't do without, and the form of its payload.
+PRIMARY = {"github": ("profile", GITHUB), "stackoverflow": ("user", STACK), "devto": ("user", DEVTO), "hackernews": ("user", HN)}
+
+
+def warnings(raw: DataFrame) -> DataFrame:
+    """(source, account_group, record_type, message): what normalize() leaves out or has to do without. Records of unknown sources are skipped;
+    a group's primary record may be missing or no JSON object; if it is fine, the records that go with it may be missing."""
+    known = F.col("source").isin(*PRIMARY)
+    none = F.lit(None).cast("string")
+    skipped = raw.filter(~F.coalesce(known, F.lit(False))).select("source", F.concat(F.lit("raw:"), F.col("id").cast("string")).alias("account_group"), "record_type", F.lit("Raw record has unsupported source and was skipped.").alias("message"))
+    told = raw.filter(known)
+    alone = grouped(told).filter(F.col("account_group").startswith("raw:")).select("source", "account_group", "record_type", F.lit("Raw record had no source_user_id or handle; grouped by raw record ID only.").alias("message"))
+    last = latest(told)
+    valid = lambda s: F.get_json_object(F.col("payloads")[PRIMARY[s][0]], "$.items[0]" if s == "stackoverflow" else "$").startswith("{")
+    fine = F.coalesce(*[F.when(F.col("source") == s, F.coalesce(valid(s), F.lit(False))) for s in PRIMARY])
+    g = last.withColumn("fine", fine)
+    broken = g.filter("NOT fine").select("source", "account_group", none.alias("record_type"), F.lit("Raw record group could not be normalized because the primary profile/user record was missing or invalid.").alias("message"))
+    needs = F.coalesce(*[F.when(F.col("source") == s, F.array(*map(F.lit, kinds))) for s, kinds in policy.SECONDARY_RECORDS.items()])
+    lacks = g.filter("fine").select("source", "account_group", F.explode(F.array_except(needs, F.map_keys("payloads"))).alias("record_type"))
+    lacks = lacks.withColumn("message", F.concat(F.lit("Account normalized without "), "record_type", F.lit(" raw record.")))
+    return skipped.unionByName(alone).unionByName(broken).unionByName(lacks)
+
+
 def keep_latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Upsert as a rewrite: the last row of each key."""
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]))

@@ -20,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["health_api_calls", "rolling_rate_window", "session_activity", "stream_watermark_counts", "url_normalize", "html_to_text", "keyword_topics_topk", "candidate_caps", "pair_scores", "classify_decisions", "canonical_profile", "review_eligibility"])
+@pytest.mark.parametrize("name", ["health_api_calls", "rolling_rate_window", "session_activity", "stream_watermark_counts", "url_normalize", "html_to_text", "keyword_topics_topk", "candidate_caps", "pair_scores", "classify_decisions", "canonical_profile", "review_eligibility", "retry_policy", "headlines", "review_final_links", "raw_record_warnings", "conflict_sides"])
 def test_query_matches_sql(spark, duck, name):
     df, sql = QUERIES[name](spark, DATA), duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(sql.columns)
