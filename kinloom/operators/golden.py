@@ -52,9 +52,27 @@ def violations(df: DataFrame, rules: dict[str, str], *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(found).alias("rule"))
 
 
+def _listed(c: Column) -> Column:
+    return F.filter(F.transform(F.split(c, "[,;]"), F.trim), lambda t: t != "")
+
+
+def skill_terms(accounts: DataFrame) -> Column:
+    """Raw skill terms of an account: its fields of skills, which may be lists, maps (their keys) or texts listing them, and those keys of its activity_payload (JSON)."""
+    types, parts = dict(accounts.dtypes), []
+    for name in (n for n in policy.SKILL_FIELDS if n in types):
+        c = F.col(name)
+        parts.append(_listed(c) if types[name] == "string" else F.map_keys(c) if types[name].startswith("map") else c)
+    if "activity_payload" in types:
+        for key in policy.SKILL_KEYS:
+            v = F.get_json_object("activity_payload", f"$.{key}")
+            parts.append(text.let(v, lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).when(x.startswith("{"), F.json_object_keys(x)).otherwise(_listed(x))))
+    none = F.array().cast("array<string>")
+    return F.concat(none, *[F.filter(F.coalesce(p, none), lambda t: t != "") for p in parts])
+
+
 def bundles(linked: DataFrame, accounts: DataFrame) -> DataFrame:
     """Accepted links with their accounts, the confidence of fields, and the rank that settles all ties."""
-    own = accounts.select("run_id", "account_key", "handle", "display_name", "location", "website_url", "bio", "topics", "profile_url")
+    own = accounts.select("run_id", "account_key", "handle", "display_name", "location", "website_url", "bio", "topics", "profile_url", skill_terms(accounts).alias("terms"))
     b = linked.filter("decision = 'auto_match'").join(own, ["run_id", "account_key"])
     b = b.withColumns({"field_confidence": F.when(F.col("evidence_confidence") > 0, F.col("evidence_confidence")).otherwise(F.col("confidence")).cast(SCORE), "relation_rank": rank_of(F.col("relationship"), policy.RELATIONSHIP_PRIORITY), "source_rank": rank_of(F.col("source"), policy.SOURCE_PRIORITY)})
     order = Window.partitionBy("run_id").orderBy(F.desc("field_confidence"), F.desc("source_rank"), "account_key")
@@ -74,6 +92,11 @@ def _first(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("first_n", F.row_number().over(Window.partitionBy("run_id").orderBy(*order, F.asc("bundle_rank")))).filter("first_n = 1").drop("first_n")
 
 
+def _sure(name: str) -> Column:
+    """The selected row's confidence, as that of the field."""
+    return F.least(dec("0.97"), "field_confidence").cast(SCORE).alias(f"{name}_confidence")
+
+
 def _best_group(df: DataFrame, key: str, *order) -> DataFrame:
     """Rows of each run's best group: order takes the group's aggregates as columns n, conf, rel, prio and len."""
     g = df.groupBy("run_id", key).agg(F.count(F.lit(1)).alias("n"), F.max("field_confidence").alias("conf"), F.max("relation_rank").alias("rel"), F.max("prio").alias("prio_g"), F.max(F.length("value")).alias("len"), F.min("bundle_rank").alias("first_rank"))
@@ -99,7 +122,7 @@ def location(b: DataFrame) -> DataFrame:
     key = F.regexp_replace(F.trim(F.regexp_replace(F.replace(F.lower("value"), F.lit("."), F.lit("")), ",", " ")), r"\s+", " ")
     placed = b.withColumns({"value": text.clean(F.col("location")), "prio": F.col("source_rank")}).filter("value IS NOT NULL").withColumn("place_key", key)
     best = _best_group(placed, "place_key", F.desc("n"), F.desc("conf"), F.desc("rel"), F.desc("prio_g"))
-    return _first(best, F.desc("prio"), F.desc("relation_rank"), F.desc("field_confidence")).select("run_id", F.col("value").alias("location"))
+    return _first(best, F.desc("prio"), F.desc("relation_rank"), F.desc("field_confidence")).select("run_id", F.col("value").alias("location"), _sure("location"))
 
 
 def website(b: DataFrame) -> DataFrame:
@@ -112,13 +135,13 @@ def website(b: DataFrame) -> DataFrame:
     fine = F.min("generic").over(Window.partitionBy("run_id"))
     v = v.withColumn("any_fine", fine).filter("generic = any_fine")
     best = _best_group(v, "domain", F.desc("n"), F.desc("conf"), F.desc("rel"), F.desc("prio_g"))
-    return _first(best, F.desc("prio"), F.desc("relation_rank"), F.desc("field_confidence")).select("run_id", F.col("value").alias("website"))
+    return _first(best, F.desc("prio"), F.desc("relation_rank"), F.desc("field_confidence")).select("run_id", F.col("value").alias("website"), _sure("website"))
 
 
 def avatar(b: DataFrame, accounts: DataFrame) -> DataFrame:
     """The picture of the best source."""
     v = b.join(accounts.select("run_id", "account_key", "avatar_url"), ["run_id", "account_key"]).filter("avatar_url IS NOT NULL").withColumn("prio", rank_of(F.col("source"), policy.AVATAR_PRIORITY))
-    return _first(v, F.desc("prio"), F.desc("relation_rank"), F.desc("field_confidence")).select("run_id", "avatar_url")
+    return _first(v, F.desc("prio"), F.desc("relation_rank"), F.desc("field_confidence")).select("run_id", "avatar_url", _sure("avatar"))
 
 
 def facts(b: DataFrame) -> DataFrame:
@@ -138,7 +161,7 @@ def bio_quality(c: Column) -> Column:
 def bio(b: DataFrame) -> DataFrame:
     v = b.withColumns({"value": text.clean(F.col("bio")), "prio": rank_of(F.col("source"), policy.BIO_PRIORITY)})
     v = v.filter((F.length("value") >= 18) & ~F.lower("value").isin(*policy.GENERIC_BIOS) & (F.size(F.array_distinct(F.split(F.lower("value"), " "))) > 2)).withColumn("quality", bio_quality(F.col("value")))
-    return _first(v, F.desc("quality"), F.desc("relation_rank"), F.desc("prio"), F.desc("field_confidence"), F.desc(F.length("value"))).select("run_id", F.col("value").alias("bio"))
+    return _first(v, F.desc("quality"), F.desc("relation_rank"), F.desc("prio"), F.desc("field_confidence"), F.desc(F.length("value"))).select("run_id", F.col("value").alias("bio"), _sure("bio"))
 
 
 def weak_headline(c: Column) -> Column:
@@ -168,7 +191,7 @@ def skill_label(c: Column) -> Column:
 
 def skills(b: DataFrame, limit: int = 30) -> DataFrame:
     """(run_id, skill, weight, n_sources, skill_rank): terms by the sum of 1 + priority / 100 over accounts."""
-    each = b.select("run_id", "account_key", "source_rank", F.explode("topics").alias("t")).withColumn("term", skill_key(F.col("t"))).filter("term IS NOT NULL")
+    each = b.select("run_id", "account_key", "source_rank", F.explode("terms").alias("t")).withColumn("term", skill_key(F.col("t"))).filter(~F.col("term").isin(*policy.GENERIC_SKILLS))
     g = each.groupBy("run_id", "term").agg(F.sum((F.lit(100) + F.col("source_rank")).cast("long")).alias("points"), F.count_distinct("account_key").alias("n_sources"))
     order = Window.partitionBy("run_id").orderBy(F.desc("points"), F.desc("n_sources"), "term")
     return g.withColumn("skill_rank", F.row_number().over(order)).filter(F.col("skill_rank") <= limit).select("run_id", skill_label(F.col("term")).alias("skill"), (F.col("points") / 100).alias("weight"), "n_sources", "skill_rank")
@@ -180,9 +203,13 @@ def profiles(linked: DataFrame, accounts: DataFrame) -> DataFrame:
     top = skills(b).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("skill_rank", "skill"))), lambda s: s["skill"]), ", ").alias("skills"))
     per_run = b.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_accounts"), F.max("confidence").alias("top_link"), F.max("evidence_confidence").alias("top_evidence"), F.max("field_confidence").alias("top_field"))
     out = linked.select("run_id").distinct().join(per_run, "run_id", "left")
-    for part in (display_name(b), location(b), website(b), bio(b), top):
+    for part in (display_name(b), location(b), website(b), bio(b), top, *([avatar(b, accounts)] if "avatar_url" in accounts.columns else [])):
         out = out.join(part, "run_id", "left")
-    fields = sum((F.when(F.col(c).isNotNull() & (F.col("top_field") >= dec("0.75")), 1).otherwise(0) for c in ("location", "website", "bio", "skills")), F.when(F.col("name_confidence") >= dec("0.75"), 1).otherwise(0))
+    from_bio = headline(F.col("bio"))
+    out = out.withColumn("skills_confidence", F.when(F.col("skills").isNotNull(), F.least(dec("0.97"), "top_field")))
+    out = out.withColumn("headline_confidence", F.when(from_bio.isNotNull(), F.col("bio_confidence")).otherwise(F.col("skills_confidence")))
+    told = [c for c in out.columns if c.endswith("_confidence")]
+    fields = reduce(lambda x, y: x + y, (F.when(F.col(c) >= dec("0.75"), 1).otherwise(0) for c in told))
     high = (F.col("n_accounts") >= 2) & (F.col("top_link") >= dec("0.85")) & (F.col("top_evidence") >= dec("0.60")) & (fields >= 2)
     level = F.when(F.col("n_accounts").isNull(), "uncertain").when(high, "high").otherwise("medium")
     focus = F.concat(F.lit("Developer focused on "), F.array_join(F.slice(F.split("skills", ", "), 1, 3), ", "))

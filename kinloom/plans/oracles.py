@@ -136,21 +136,21 @@ hd AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY run_id, lower(handle
 c_name AS (SELECT r.run_id, coalesce(n.value, h.handle) AS display_name, CASE WHEN n.value IS NULL THEN 'fallback_best_handle' WHEN n.n > 1 THEN 'repeated_real_name' ELSE 'best_real_name_by_source_priority' END AS name_strategy, cast(CASE WHEN n.value IS NOT NULL THEN least(0.97, n.conf) WHEN h.fc IS NOT NULL THEN least(0.50, h.fc) ELSE 0 END AS {DEC}) AS name_confidence FROM (SELECT DISTINCT run_id FROM b) r LEFT JOIN nm4 n USING (run_id) LEFT JOIN hd h USING (run_id)),
 lo1 AS (SELECT *, trim(regexp_replace(replace(replace(lower(location), '.', ''), ',', ' '), ' +', ' ', 'g')) AS lkey FROM b WHERE location IS NOT NULL),
 lo2 AS (SELECT run_id, lkey, count(*) AS n, max(fc) AS conf, max(rel) AS relg, max(sp) AS priog, min(br) AS f FROM lo1 GROUP BY run_id, lkey QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC, conf DESC, relg DESC, priog DESC, f) = 1),
-c_location AS (SELECT run_id, location FROM lo1 JOIN lo2 USING (run_id, lkey) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY sp DESC, rel DESC, fc DESC, br) = 1),
+c_location AS (SELECT run_id, location, cast(least(0.97, fc) AS double) AS location_confidence FROM lo1 JOIN lo2 USING (run_id, lkey) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY sp DESC, rel DESC, fc DESC, br) = 1),
 we0 AS (SELECT *, CASE WHEN website_url LIKE 'http%' THEN website_url ELSE 'https://' || website_url END AS u FROM b WHERE website_url IS NOT NULL),
 we1 AS (SELECT *, {HOST} AS dom FROM we0),
 we2 AS (SELECT *, 'https://' || dom || rtrim(regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1), '/') AS value, regexp_matches(dom, '{SHARED}') AS generic FROM we1 WHERE NOT regexp_matches(dom, '(^|[.])(github[.]com|dev[.]to|stackoverflow[.]com)$')),
 we3 AS (SELECT * FROM we2 QUALIFY generic = bool_and(generic) OVER (PARTITION BY run_id)),
 we4 AS (SELECT run_id, dom, count(*) AS n, max(fc) AS conf, max(rel) AS relg, max(sp) AS priog, min(br) AS f FROM we3 GROUP BY run_id, dom QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC, conf DESC, relg DESC, priog DESC, f) = 1),
-c_website AS (SELECT run_id, value AS website FROM we3 JOIN we4 USING (run_id, dom) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY sp DESC, rel DESC, fc DESC, br) = 1),
+c_website AS (SELECT run_id, value AS website, cast(least(0.97, fc) AS double) AS website_confidence FROM we3 JOIN we4 USING (run_id, dom) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY sp DESC, rel DESC, fc DESC, br) = 1),
 bi AS (SELECT *, CASE WHEN length(bio) BETWEEN 30 AND 220 THEN 30 WHEN length(bio) > 220 THEN 20 ELSE 10 END + CASE WHEN regexp_matches(lower(bio), 'python|fastapi|ai|backend|data|open source') THEN 20 ELSE 0 END AS q, {_rank(policy.BIO_PRIORITY)} AS prio FROM b WHERE length(bio) >= 18),
-c_bio AS (SELECT run_id, bio FROM bi QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY q DESC, rel DESC, prio DESC, fc DESC, length(bio) DESC, br) = 1),
+c_bio AS (SELECT run_id, bio, cast(least(0.97, fc) AS double) AS bio_confidence FROM bi QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY q DESC, rel DESC, prio DESC, fc DESC, length(bio) DESC, br) = 1),
 sk AS (SELECT run_id, term, sum(100 + sp) AS points, count(DISTINCT account_key) AS n_sources FROM (SELECT run_id, account_key, sp, unnest(string_split(topics_text, '|')) AS term FROM b) WHERE length(term) >= 2 GROUP BY ALL),
 c_skills AS (SELECT run_id, upper(term[1]) || term[2:] AS skill, points / 100 AS weight, n_sources, row_number() OVER (PARTITION BY run_id ORDER BY points DESC, n_sources DESC, term) AS skill_rank FROM sk QUALIFY skill_rank <= 30),
 top_skills AS (SELECT run_id, string_agg(skill, ', ' ORDER BY skill_rank) AS skills FROM c_skills GROUP BY ALL),
 per AS (SELECT run_id, count(*) AS n_accounts, max(confidence) AS top_link, max(evidence_confidence) AS top_ev, max(fc) AS top_fc FROM b GROUP BY ALL),
 c_profile AS (SELECT r.run_id, display_name, name_strategy, location, website, bio, coalesce(bio, 'Developer focused on ' || array_to_string(string_split(skills, ', ')[1:3], ', ')) AS headline, skills, coalesce(n_accounts, 0) AS n_accounts, CASE WHEN n_accounts IS NULL THEN 'uncertain'
-  WHEN n_accounts >= 2 AND top_link >= 0.85 AND top_ev >= 0.60 AND (CASE WHEN name_confidence >= 0.75 THEN 1 ELSE 0 END + CASE WHEN top_fc >= 0.75 THEN (location IS NOT NULL)::int + (website IS NOT NULL)::int + (bio IS NOT NULL)::int + (skills IS NOT NULL)::int ELSE 0 END) >= 2 THEN 'high' ELSE 'medium' END AS level
+  WHEN n_accounts >= 2 AND top_link >= 0.85 AND top_ev >= 0.60 AND (coalesce(name_confidence >= 0.75, false)::int + coalesce(location_confidence >= 0.75, false)::int + coalesce(website_confidence >= 0.75, false)::int + coalesce(bio_confidence >= 0.75, false)::int + coalesce(skills IS NOT NULL AND top_fc >= 0.75, false)::int + coalesce(CASE WHEN bio IS NOT NULL THEN bio_confidence >= 0.75 ELSE skills IS NOT NULL AND top_fc >= 0.75 END, false)::int) >= 2 THEN 'high' ELSE 'medium' END AS level
   FROM (SELECT DISTINCT run_id FROM links) r LEFT JOIN per USING (run_id) LEFT JOIN c_name USING (run_id) LEFT JOIN c_location USING (run_id) LEFT JOIN c_website USING (run_id) LEFT JOIN c_bio USING (run_id) LEFT JOIN top_skills USING (run_id))"""
 
 FAILED = "(status_code IS NULL OR status_code >= 400 OR error_message IS NOT NULL)"
@@ -218,7 +218,7 @@ ORACLES = {
     "canonical_location": f"WITH {BUNDLES} SELECT * FROM c_location",
     "canonical_website": f"WITH {BUNDLES} SELECT * FROM c_website",
     "canonical_bio": f"WITH {BUNDLES} SELECT * FROM c_bio",
-    "canonical_skills": f"WITH {BUNDLES} SELECT run_id, skill, cast(weight AS double) AS weight, n_sources, cast(skill_rank AS int) AS skill_rank FROM c_skills",
+    "canonical_skills": f"WITH {BUNDLES}, t AS (SELECT run_id, account_key, sp, unnest(list_concat(list_filter(string_split(topics_text, '|'), lambda x: length(x) >= 2 AND x NOT IN {_list(policy.GENERIC_SKILLS)}), CASE WHEN run_id % 3 = 0 THEN ['c++'] ELSE [] END, CASE WHEN run_id % 2 = 0 THEN ['rust', 'rust', 'go-on', 'zig'] ELSE [] END)) AS term FROM b), g AS (SELECT run_id, term, sum(100 + sp) AS points, count(DISTINCT account_key) AS n_sources FROM t GROUP BY ALL) SELECT run_id, CASE term WHEN 'go-on' THEN 'Go On' ELSE upper(term[1]) || term[2:] END AS skill, cast(points / 100 AS double) AS weight, n_sources, cast(row_number() OVER (PARTITION BY run_id ORDER BY points DESC, n_sources DESC, term) AS int) AS skill_rank FROM g QUALIFY skill_rank <= 30",
     "canonical_profile": f"WITH {BUNDLES} SELECT * FROM c_profile",
     "fallback_summary": f"WITH {BUNDLES} SELECT run_id, CASE WHEN n_accounts = 0 THEN 'No account could be accepted.' ELSE coalesce(display_name, 'This profile') || ' has ' || n_accounts || ' accepted public accounts' || CASE WHEN skills IS NOT NULL THEN ' with ' || array_to_string(string_split(skills, ', ')[1:3], ', ') ELSE '' END || '.' END AS summary FROM c_profile",
     "profile_read_model": f"WITH {DECIDED}, a AS (SELECT run_id, string_agg(account_key || ':' || decision, ',' ORDER BY decision_confidence DESC, account_key) AS links FROM links GROUP BY 1), e AS (SELECT run_id, count(*) AS n_evidence, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM ev GROUP BY 1), c AS (SELECT run_id, count(*) AS n_conflicts FROM cf GROUP BY 1) SELECT run_id, links, coalesce(n_evidence, 0) AS n_evidence, coalesce(signals, '') AS signals, coalesce(n_conflicts, 0) AS n_conflicts FROM a LEFT JOIN e USING (run_id) LEFT JOIN c USING (run_id)",
@@ -229,7 +229,7 @@ ORACLES = {
     "evaluation_metrics": f"WITH {DECIDED}, j AS (SELECT d.decision, coalesce(n.display_name, '') <> 'Zzyzx Qwvkj' AS same FROM decided d JOIN norm n USING (run_id, account_key)) SELECT count(*) AS n, count(*) FILTER (decision = 'auto_match' AND NOT same) AS false_merges, count(*) FILTER (decision = 'reject' AND same) AS missed_merges, count(*) FILTER (decision = 'needs_review') AS reviews, round(count(*) FILTER (decision = 'needs_review') / count(*), 6) AS review_rate FROM j",
     "identifier_from_url": f"WITH {ACCOUNTS} SELECT account_key, run_id, CASE run_id % 4 WHEN 0 THEN CASE k WHEN 0 THEN 'gh' || run_id WHEN 1 THEN cast(id AS string) WHEN 2 THEN 'dt' || run_id ELSE 'hn' || run_id END WHEN 1 THEN user_id WHEN 2 THEN NULL ELSE CASE WHEN k = 1 THEN user_id ELSE '00' || user_id END END AS identifier FROM linked",
     "canonical_facts": f"WITH {BUNDLES}, f AS (SELECT run_id, account_key, fc, 'display_name' AS fact, display_name AS value FROM b UNION ALL SELECT run_id, account_key, fc, 'location', location FROM b UNION ALL SELECT run_id, account_key, fc, 'website_url', website_url FROM b UNION ALL SELECT run_id, account_key, fc, 'bio', bio FROM b UNION ALL SELECT run_id, account_key, fc, 'topic', unnest(string_split(topics_text, '|')) FROM b) SELECT run_id, account_key, fact, value, cast(max(fc) AS double) AS confidence FROM f WHERE value IS NOT NULL GROUP BY ALL",
-    "canonical_avatar": f"WITH {BUNDLES}, v AS (SELECT *, 'https://img.dev/' || account_key AS avatar_url, {_rank(policy.AVATAR_PRIORITY)} AS prio FROM b WHERE right(account_key, 1) <> '8') SELECT run_id, avatar_url FROM v QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY prio DESC, rel DESC, fc DESC, br) = 1",
+    "canonical_avatar": f"WITH {BUNDLES}, v AS (SELECT *, 'https://img.dev/' || account_key AS avatar_url, {_rank(policy.AVATAR_PRIORITY)} AS prio FROM b WHERE right(account_key, 1) <> '8') SELECT run_id, avatar_url, cast(least(0.97, fc) AS double) AS avatar_confidence FROM v QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY prio DESC, rel DESC, fc DESC, br) = 1",
     "purge_finished_runs": "WITH r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'P' THEN 'partial' ELSE 'running' END AS status, o_orderdate FROM orders) SELECT status, count(*) AS n, min(o_orderkey) AS first_key FROM r WHERE status = 'running' OR o_orderdate >= '1996-01-01' GROUP BY 1",
     "json_merge_patch": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'priority=' || o_orderpriority || ',status=X' ELSE 'note=n,priority=' || o_orderpriority || ',status=' || o_orderstatus END AS merged FROM orders",
     "schema_drift_union": "SELECT s_suppkey AS k, s_name AS name, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer",

@@ -351,25 +351,27 @@ def canonical_display_name(spark, d):
 @query
 def canonical_location(spark, d):
     r = resolution(spark, d)
-    return golden.location(golden.bundles(r.links, r.accounts))
+    return _num(golden.location(golden.bundles(r.links, r.accounts)))
 
 
 @query
 def canonical_website(spark, d):
     r = resolution(spark, d)
-    return golden.website(golden.bundles(r.links, r.accounts))
+    return _num(golden.website(golden.bundles(r.links, r.accounts)))
 
 
 @query
 def canonical_bio(spark, d):
     r = resolution(spark, d)
-    return golden.bio(golden.bundles(r.links, r.accounts))
+    return _num(golden.bio(golden.bundles(r.links, r.accounts)))
 
 
 @query
 def canonical_skills(spark, d):
     r = resolution(spark, d)
-    return golden.skills(golden.bundles(r.links, r.accounts))
+    payload = F.when(F.col("run_id") % 2 == 0, F.lit('{"top_languages": {"Rust": 1}, "tags": ["code", "Web", "Rust"], "skills": "Go on;, Zig"}'))
+    told = r.accounts.withColumns({"languages": F.when(F.col("run_id") % 3 == 0, "C++; code,"), "activity_payload": payload})
+    return golden.skills(golden.bundles(r.links, told))
 
 
 @query
@@ -453,7 +455,7 @@ def canonical_facts(spark, d):
 def canonical_avatar(spark, d):
     r = resolution(spark, d)
     pictures = r.accounts.withColumn("avatar_url", F.when(F.substring("account_key", -1, 1) != "8", F.concat(F.lit("https://img.dev/"), F.col("account_key"))))
-    return golden.avatar(golden.bundles(r.links, r.accounts), pictures)
+    return _num(golden.avatar(golden.bundles(r.links, r.accounts), pictures))
 
 
 @query

@@ -102,6 +102,9 @@ ACCEPTED_RELATIONSHIPS = ("primary", "alias", "secondary")
 ACCEPTED_VERIFICATIONS = ("claimed_by_input", "evidence_matched", "reciprocal_link_verified")
 SENSITIVE_MESSAGE = "raw_payload|access[_-]?token|api[_-]?key|authorization|secret|password|email"
 GENERIC_BIOS = ("developer", "software developer", "software engineer", "programmer", "coder", "student", "engineer")
+GENERIC_SKILLS = ("software", "developer", "development", "programming", "code", "coding", "technology", "tech", "web", "app", "apps", "project", "projects", "personal", "portfolio")
+SKILL_FIELDS = ("topics", "skills", "tags", "languages")
+SKILL_KEYS = ("topics", "skills", "tags", "languages", "top_languages", "repo_topics", "article_tags")
 WEAK_HEADLINES = ("hello", "hi", "welcome", "welcome to my profile", "developer", "software developer", "software engineer", "programmer", "coder")
 SECONDARY_RECORDS = {"github": ("repos",), "stackoverflow": ("answers", "questions"), "devto": ("articles",), "hackernews": ("activity",)}
 RESERVED_PATHS = {

@@ -66,3 +66,8 @@ def test_warnings(spark):
     raw = spark.createDataFrame([(1, "github", "profile", "7", None, '{"id": 7}', 1), (2, "github", "repos", "8", None, "[]", 1), (3, "myspace", "profile", "9", None, "{}", 1), (4, "stackoverflow", "user", None, None, '{"items": []}', 1), (5, None, "user", "1", None, "{}", 1)], "id long, source string, record_type string, user_id string, handle string, payload string, fetched_at long")
     out = [(s, g, t, m.split(" ")[2]) for s, g, t, m in rows(accounts.warnings(raw), "source", "account_group", "record_type")]
     assert out == [(None, "raw:5", "user", "has"), ("github", "id:7", "repos", "without"), ("github", "id:8", None, "group"), ("myspace", "raw:3", "profile", "has"), ("stackoverflow", "raw:4", None, "group"), ("stackoverflow", "raw:4", "user", "had")]
+
+
+def test_skill_terms(spark):
+    df = spark.createDataFrame([(["a"], "x; y,,z", '{"tags": ["t", "t"], "top_languages": {"Go": 2}, "repo_topics": "p,q", "skills": null}'), (None, None, "no JSON"), (None, None, None)], "topics array<string>, languages string, activity_payload string")
+    assert [r[0] for r in df.select(golden.skill_terms(df)).collect()] == [["a", "x", "y", "z", "t", "t", "Go", "p", "q"], [], []]
