@@ -53,7 +53,7 @@ def violations(df: DataFrame, rules: dict[str, str], *keys: str) -> DataFrame:
 
 
 def _listed(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "[,;]"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(c, "[,;]"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def skill_terms(accounts: DataFrame) -> Column:
