@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, shared_folder, table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +83,27 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.index(vectors), vectors.filter("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_byte_bpe, op3_packing, op4_quality_rules, op5_toxicity, op6_minhash, op7_language_id, op8_hnsw, op9_compact_windows, op10_secret_scans)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import trie
+
+    return trie.nodes(trie.spliced(trie.conversations(table(spark, sf_dir, "conversations"))))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.pages_of(warc.assemble(warc.read(spark, folder, blocks=("metadata",))))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periods
+
+    return periods.digests(periods.find(table(spark, sf_dir, "documents"), periods.repeat_tail))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_suffix_tree, op2_byte_bpe, op3_packing, op4_quality_rules, op5_toxicity, op6_minhash, op7_language_id, op8_hnsw, op9_compact_windows, op10_secret_scans, op11_prefix_trie, op12_warc, op13_periodic_runs)
+}
