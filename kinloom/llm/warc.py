@@ -3,7 +3,8 @@
 write() makes three records of each page, a request, a response (or a revisit of an equal payload) and a metadata record, the first and last
 with WARC-Concurrent-To, as expressions on the JVM; a file is WARC/1.1, compressed as a whole. Equal payloads are found by SHA-256: the first page of
 each is a small minimum that is combined before the shuffle; only pages of repeated payloads meet others, by their names, and of their payloads only the first one's moves.
-read() parses archives as streams, compressed by record, as a whole or not at all, a record in memory at a time. assemble() joins requests and
+read() parses archives as streams, compressed by record, as a whole or not at all, a record in memory at a time. assemble() writes what is
+read of them once and joins requests and
 metadata to their responses by WARC-Concurrent-To in either direction, also over other requests and metadata, and gives one nested row a capture.
 
 Null payloads are empty; equal ones of at least dedup_from bytes are kept once. The response is the one with the smallest page_id (null last), then the smallest
@@ -219,7 +220,7 @@ def read(spark: SparkSession, folder: str, blocks: tuple[str, ...] = (*MAIN, *SI
 def assemble(records: DataFrame) -> DataFrame:
     """A row for each capture: capture_id, record_type, target_uri, date, refers_to, payload_digest, payload_bytes, verified, block, requests and metadata
     (arrays of record_id and block, by record_id)."""
-    good = records.filter("problem IS NULL AND record_id IS NOT NULL")
+    good = checkpoint(records).filter("problem IS NULL AND record_id IS NOT NULL")
     main = good.filter(F.col("record_type").isin(*MAIN)).dropDuplicates(["record_id"])
     side = good.filter(F.col("record_type").isin(*SIDE)).dropDuplicates(["record_id"]).select("record_id", "record_type", "concurrent_to", "block")
     names = main.select(F.col("record_id").alias("other"), F.col("record_id").alias("capture_id"))
