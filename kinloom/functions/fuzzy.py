@@ -6,7 +6,7 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
@@ -96,6 +96,48 @@ def name_compatibility(a: Column, b: Column) -> Column:
     return _per_pair(compatibility, "string")(a, b)
 
 
+def by_distinct_pair(df: DataFrame, a: str, b: str, of, name: str) -> DataFrame:
+    """df with a column name: of(a, b), worked out once for each distinct unordered pair of values and joined back (null with null, too)."""
+    low, high = F.least(a, b), F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.greatest(a, b))
+    keyed = df.withColumns({"pair_low": low, "pair_high": high})
+    told = keyed.select(F.col("pair_low").alias("low"), F.col("pair_high").alias("high")).distinct().withColumn(name, of(F.col("low"), F.col("high")))
+    return keyed.join(told, F.col("pair_low").eqNullSafe(F.col("low")) & F.col("pair_high").eqNullSafe(F.col("high")), "left").select(*df.columns, name)
+
+
+def most_edits(length: Column, percent: int) -> Column:
+    """Insertions and deletions at most between a text and one that is not shorter, at a ratio of percent or more."""
+    longest = F.floor(length * (200 - percent) / percent)
+    return F.floor((100 - percent) * (length + longest) / 100).cast("int")
+
+
+def segments(value: Column, length: Column, parts: Column) -> Column:
+    """A text cut into so many parts of about equal length: (place, start, part)."""
+    at = lambda k: F.floor(length * k / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(k.alias("k"), at(k).alias("start"), F.substring(value, at(k) + 1, at(k + 1) - at(k)).alias("part")))
+
+
+def similar_pairs(values: DataFrame, percent: int = 90, least: int = 3) -> DataFrame:
+    """(a, b, ratio) of the distinct values (column value, at least so long) with an Indel ratio of percent or more, a before b by length, then order.
+
+    With at most d insertions and deletions one of d + 1 parts of the shorter value is left whole in the longer one, not more than d places off: so parts
+    are joined with substrings of equal length and content, by length of the shorter value and place of the part. Each candidate pair is verified once. Values
+    that are not equal differ by an edit at least, so short ones have no partner.
+    """
+    v = values.select("value").filter(F.length("value") >= least).distinct().withColumn("n", F.length("value"))
+    n = F.col("n")
+    cut = v.withColumn("d", most_edits(n, percent)).filter("d > 0")
+    parts = cut.select(F.col("value").alias("a"), "n", F.inline(segments(F.col("value"), n, F.col("d") + 1))).select("a", F.col("n").alias("of"), "k", "part")
+    # for each shorter length a value may be the longer one of, the substrings near each part's place
+    other = v.select("value", n, F.explode(F.sequence(F.ceil(n * percent / (200 - percent)).cast("int"), n)).alias("of")).withColumn("d", most_edits(F.col("of"), percent)).filter("d > 0 AND n - of <= d")
+    of, d, k, start = (F.col(x) for x in ("of", "d", "k", "start"))
+    other = other.select("value", "n", "of", "d", F.explode(F.sequence(F.lit(0), d)).alias("k"))
+    begins = lambda x: F.floor(of * x / (d + 1)).cast("int")
+    other = other.withColumns({"size": begins(k + 1) - begins(k), "start": F.explode(F.sequence(F.greatest(begins(k) - d, F.lit(0)), begins(k) + d))}).filter("start + size <= n")
+    near = other.select(F.col("value").alias("b"), "of", "k", F.substring("value", start + 1, F.col("size")).alias("part")).distinct()
+    found = parts.join(near, ["of", "k", "part"]).filter((F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    return found.withColumn("ratio", indel_ratio(F.col("a"), F.col("b"))).filter(F.col("ratio") >= percent)
+
+
 def _fold(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
 

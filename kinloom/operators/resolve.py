@@ -87,10 +87,33 @@ def _points(a: str, b: str) -> Column:
     return F.exists(F.coalesce(F.col(f"{a}.n_links"), F.array()), lambda x: F.coalesce(x == F.col(f"{b}.n_print"), F.lit(False)))
 
 
+def link_edges(accounts: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within, src, dst, n, reciprocal): which profiles (by fingerprint) link to which known ones, in how many accounts, and whether back as well.
+    Edges are exploded links, one row for each pair of profiles after a combined count; no pair is made that no link names. Links of a profile to itself don't count."""
+    at = list(within)
+    out = accounts.select(*at, F.col("n_print").alias("src"), F.explode("n_links").alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
+    edges = out.groupBy(*at, "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    known = accounts.select(*at, F.col("n_print").alias("dst")).filter("dst IS NOT NULL").distinct()
+    edges = edges.join(known, [*at, "dst"], "left_semi").select(*at, "src", "dst", "n")
+    back = edges.select(*at, F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(True).alias("back"))
+    return edges.join(back, [*at, "src", "dst"], "left").select(*at, "src", "dst", "n", F.coalesce("back", F.lit(False)).alias("reciprocal"))
+
+
+def link_evidence(accounts: DataFrame) -> DataFrame:
+    """Signals of accounts that link to each other's profiles, from the edges within a run."""
+    slim = accounts.select("run_id", "account_key", "n_print", "n_links")
+    ends = slim.filter("n_print IS NOT NULL").select("run_id", "account_key", "n_print")
+    named = slim.select("run_id", "account_key", F.explode(F.array_distinct("n_links")).alias("n_print")).filter("n_print IS NOT NULL")
+    direct = named.join(ends.withColumnRenamed("account_key", "other_key"), ["run_id", "n_print"]).filter("account_key <> other_key")
+    back = direct.select("run_id", F.col("account_key").alias("other_key"), F.col("other_key").alias("account_key"), F.lit(True).alias("back")).distinct()
+    both = direct.join(back, ["run_id", "account_key", "other_key"], "left")
+    a, b = F.col("account_key"), F.col("other_key")
+    return _unpivot(both, _signal("direct_profile_link", F.lit(True), a, b, F.col("n_print")), _signal("reciprocal_profile_link", F.col("back") & (a < b), a, b, F.lit("reciprocal")))
+
+
 def pair_evidence(paired: DataFrame) -> DataFrame:
-    """Signals between two accounts."""
+    """Signals between two accounts but those of links."""
     lk, rk = F.col("lk"), F.col("rk")
-    to_r, to_l = _points("l", "r"), _points("r", "l")
     same_place = F.col("l.n_location") == F.col("r.n_location")
     places = F.array_intersect("l.n_places", "r.n_places")
     words, topics = text.overlap(F.col("l.n_words"), F.col("r.n_words")), text.overlap(F.col("l.n_topics"), F.col("r.n_topics"))
@@ -98,9 +121,6 @@ def pair_evidence(paired: DataFrame) -> DataFrame:
     return _unpivot(
         paired,
         _signal("same_website", F.col("l.n_domain") == F.col("r.n_domain"), lk, rk, F.col("l.n_domain")),
-        _signal("direct_profile_link", to_r, lk, rk, F.col("r.n_print")),
-        _signal("direct_profile_link", to_l, rk, lk, F.col("l.n_print")),
-        _signal("reciprocal_profile_link", to_r & to_l, lk, rk, F.lit("reciprocal")),
         _signal("similar_handle", ~spaced & fuzzy.handles_similar(F.col("l.n_handle"), F.col("r.n_handle")), lk, rk, F.col("l.n_handle")),
         _signal("same_location", same_place, lk, rk, F.col("l.n_location")),
         _signal("location_overlap", ~same_place & (F.size(places) > 0), lk, rk, F.array_join(F.array_sort(places), ",")),
@@ -111,7 +131,7 @@ def pair_evidence(paired: DataFrame) -> DataFrame:
 
 def evidence(accounts: DataFrame, requests: DataFrame, paired: DataFrame | None = None) -> DataFrame:
     """(run_id, signal, signal_group, weight, account_key, other_key, value, weak): of equal signals the heaviest."""
-    all_ = request_evidence(accounts, requests).unionByName(pair_evidence(pairs(accounts) if paired is None else paired))
+    all_ = request_evidence(accounts, requests).unionByName(pair_evidence(pairs(accounts) if paired is None else paired)).unionByName(link_evidence(accounts))
     best = F.row_number().over(Window.partitionBy("run_id", "signal", "account_key", "other_key").orderBy(F.desc("weight"), F.asc("value")))
     return all_.withColumn("n", best).filter("n = 1").drop("n").withColumn("weak", F.col("signal").isin(*policy.WEAK_SIGNALS))
 

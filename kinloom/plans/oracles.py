@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import policy
+from ..operators.detail import WARNINGS
 from .derive import ACCOUNTS, CALLS, RUNS
 
 
@@ -256,3 +257,48 @@ ORACLES |= {
   UNION ALL SELECT source, grp, NULL, 'Raw record group could not be normalized because the primary profile/user record was missing or invalid.' FROM a WHERE source <> 'elsewhere' AND bad
   UNION ALL SELECT source, grp, t, 'Account normalized without ' || t || ' raw record.' FROM (SELECT *, unnest(CASE own WHEN 'github' THEN ['repos'] WHEN 'stackoverflow' THEN ['answers', 'questions'] WHEN 'devto' THEN ['articles'] ELSE ['activity'] END) AS t FROM a WHERE source <> 'elsewhere' AND NOT bad) WHERE NOT (id % 5 = 1 AND t <> 'questions')""",
 }
+
+
+def _ratios(pairs: str) -> str:
+    """CTEs: with(a, b) of distinct pairs, then ratios(a, b, ratio): 200 * LCS / (|a| + |b|), a row of the table of common subsequences at a time."""
+    row = "list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(cells[k], (CASE WHEN k > 1 THEN cells[k - 1] ELSE 0 END) + CASE WHEN substr(a, CAST(i + 1 AS BIGINT), 1) = substr(b, k, 1) THEN 1 ELSE 0 END))))"
+    return f"""dp AS ({pairs}), lcs(a, b, i, cells) AS (SELECT a, b, 0, list_transform(range(len(b)), lambda x: 0) FROM dp UNION ALL SELECT a, b, i + 1, {row} FROM lcs WHERE i < length(a)),
+  ratios AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 100.0 WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE 200.0 * cells[-1] / (length(a) + length(b)) END AS ratio FROM lcs WHERE i = length(a))"""
+
+
+_rec = lambda ctes: f"WITH RECURSIVE {ctes}"
+#: Tokens of a name as a sorted set; the derived names have no initials, so names align just where their tokens are the same.
+_set = lambda c: f"list_sort(list_distinct(string_split({c}, ' ')))"
+_long = lambda c: f"len(list_filter(string_split({c}, ' '), lambda t: length(t) > 1))"
+_json = lambda c: f"CAST(to_json({c}) AS VARCHAR)"
+FACTS = "f AS (SELECT run_id, account_key, fact, value, max(fc) AS confidence FROM (SELECT run_id, account_key, fc, 'display_name' AS fact, display_name AS value FROM b UNION ALL SELECT run_id, account_key, fc, 'location', location FROM b UNION ALL SELECT run_id, account_key, fc, 'website_url', website_url FROM b UNION ALL SELECT run_id, account_key, fc, 'bio', bio FROM b UNION ALL SELECT run_id, account_key, fc, 'topic', unnest(string_split(topics_text, '|')) FROM b) WHERE value IS NOT NULL GROUP BY ALL)"
+_warning = lambda code, details: "{'code': '%s', 'message': '%s', 'details': %s}" % (code, WARNINGS[code][1].replace("'", "''"), details)
+_summary = ORACLES["fallback_summary"].split(" SELECT run_id, CASE WHEN n_accounts = 0")[1]
+ORACLES |= {
+    "handle_indel_similarity": f"{_rec(NORM)}, h AS (SELECT p.run_id, lk, rk, l.n_handle AS x, r.n_handle AS y FROM pairs p JOIN norm l ON l.run_id = p.run_id AND l.account_key = lk JOIN norm r ON r.run_id = p.run_id AND r.account_key = rk), {_ratios('SELECT DISTINCT x AS a, y AS b FROM h WHERE x IS NOT NULL AND y IS NOT NULL')} SELECT run_id, lk, rk, ratio::double AS ratio FROM h LEFT JOIN ratios ON a = x AND b = y",
+    "name_compatibility": f"""{_rec(NORM)}, n AS (SELECT DISTINCT l_name AS x, r_name AS y, array_to_string({_set('l_name')}, ' ') AS sx, array_to_string({_set('r_name')}, ' ') AS sy FROM pairs WHERE l_name IS NOT NULL AND r_name IS NOT NULL),
+  {_ratios("SELECT DISTINCT sx AS a, sy AS b FROM n")}, told AS (SELECT x, y, CASE WHEN x = y THEN 'exact' WHEN NOT contains(x, ' ') OR NOT contains(y, ' ') THEN 'inconclusive' WHEN sx = sy THEN 'compatible' WHEN len(list_intersect(string_split(x, ' '), string_split(y, ' '))) > 0 THEN 'inconclusive'
+    WHEN ratio >= 82 THEN 'weakly_compatible' WHEN {_long('x')} >= 2 AND {_long('y')} >= 2 AND ratio < 72 THEN 'conflicting' ELSE 'inconclusive' END AS compat FROM n JOIN ratios ON a = sx AND b = sy)
+  SELECT run_id, lk, rk, coalesce(compat, 'not_comparable') AS compat FROM pairs LEFT JOIN told ON x = l_name AND y = r_name""",
+    "similar_handles": f"""{_rec(NORM)}, v AS (SELECT DISTINCT CASE WHEN run_id % 2 = 0 THEN n_handle || '_dev' END AS value FROM norm),
+  {_ratios("SELECT l.value AS a, r.value AS b FROM v l JOIN v r ON (length(l.value) < length(r.value) OR (length(l.value) = length(r.value) AND l.value < r.value)) AND length(l.value) >= 3 AND length(l.value) + length(r.value) >= 10 * CASE WHEN length(l.value) = length(r.value) THEN 2 ELSE length(r.value) - length(l.value) END")} SELECT a, b, ratio::double AS ratio FROM ratios WHERE ratio >= 90""",
+    "profile_link_graph": f"WITH {NORM}, e AS (SELECT n_print AS src, n_link AS dst, count(*) AS n FROM norm WHERE n_link IS NOT NULL AND n_link <> n_print AND n_link IN (SELECT n_print FROM norm) GROUP BY ALL) SELECT src, dst, n, EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src) AS reciprocal FROM e",
+    "profile_full_read": f"""WITH {BUNDLES}, {FACTS},
+  ea AS (SELECT run_id, account_key, list({{'signal': signal, 'signal_group': signal_group, 'weight': weight::double, 'other_key': other_key}} ORDER BY signal, other_key) AS evidence FROM ev GROUP BY ALL),
+  la AS (SELECT l.run_id, list({{'account_key': l.account_key, 'source': l.source, 'decision': decision, 'relationship': relationship, 'verification': verification, 'confidence': decision_confidence::double, 'account': {{'handle': handle, 'display_name': display_name, 'location': location, 'website_url': website_url, 'profile_url': profile_url}}, 'evidence': coalesce(evidence, [])}} ORDER BY decision_confidence DESC, l.account_key) AS links
+    FROM links l JOIN norm n USING (run_id, account_key) LEFT JOIN ea USING (run_id, account_key) GROUP BY ALL),
+  ca AS (SELECT run_id, list({{'conflict': conflict, 'basis': basis, 'severity': severity, 'penalty': penalty::double, 'lk': lk, 'rk': rk}} ORDER BY conflict, basis, severity, penalty, lk, rk) AS conflicts FROM cf GROUP BY ALL),
+  fa AS (SELECT run_id, list({{'account_key': account_key, 'fact': fact, 'value': value, 'confidence': confidence::double}} ORDER BY account_key, fact, value) AS facts FROM f GROUP BY ALL), su AS (SELECT run_id, CASE WHEN n_accounts = 0{_summary})
+  SELECT run_id, {_json('coalesce(links, [])')} AS links, {_json('coalesce(conflicts, [])')} AS conflicts, {_json('coalesce(facts, [])')} AS facts, summary FROM requests LEFT JOIN la USING (run_id) LEFT JOIN ca USING (run_id) LEFT JOIN fa USING (run_id) LEFT JOIN su USING (run_id)""",
+    "profile_detail": f"""WITH {BUNDLES}, {FACTS}, x AS ({ORACLES["account_explanations"].replace(f"WITH {SCORES} ", "").replace("concat_ws(' ',", "list_filter([").replace(" AS explanation", "], lambda t: t IS NOT NULL) AS said").replace(") ], lambda", "], lambda").replace(")], lambda", "], lambda")}),
+  s AS (SELECT l.run_id, l.decision, l.decision_confidence, l.evidence_confidence, l.account_key, {{'account_key': l.account_key, 'source': l.source, 'relationship': relationship, 'verification': verification, 'confidence': decision_confidence::double, 'evidence_confidence': l.evidence_confidence::double, 'basis': basis, 'risk': risk, 'is_anchor': is_anchor, 'hn_conservative': l.source = 'hackernews',
+    'reason': CASE WHEN is_anchor AND l.source = 'hackernews' THEN 'Named in the request and taken as a claim; sparse profiles of this platform need more support.' WHEN is_anchor THEN 'Named in the request and taken as a claim; ownership isn''t verified.' ELSE array_to_string(said[1:2], ' ') END}} AS told FROM links l JOIN x USING (run_id, account_key)),
+  g AS (SELECT run_id, coalesce(list(told ORDER BY decision_confidence DESC, account_key) FILTER (decision = 'auto_match'), []) AS sources, coalesce(list(told ORDER BY decision_confidence DESC, account_key) FILTER (decision = 'needs_review'), []) AS review_candidates, coalesce(list(told ORDER BY decision_confidence DESC, account_key) FILTER (decision = 'reject'), []) AS rejected_candidates,
+    count(*) FILTER (decision = 'auto_match') AS n_auto, count(*) FILTER (decision = 'needs_review') AS n_review, count(*) FILTER (decision = 'reject') AS n_reject, count(*) AS n_accounts, max(evidence_confidence)::double AS max_evidence_confidence, max(decision_confidence)::double AS max_decision_confidence FROM s GROUP BY run_id),
+  v AS (SELECT run_id, 'display_name' AS fact, display_name AS value FROM c_profile UNION ALL SELECT run_id, 'location', location FROM c_profile UNION ALL SELECT run_id, 'bio', bio FROM c_profile),
+  w AS (SELECT run_id, fact, list_sort(list(DISTINCT account_key)) AS accounts FROM f JOIN v USING (run_id, fact, value) GROUP BY ALL), fs AS (SELECT run_id, list({{'fact': fact, 'accounts': accounts}} ORDER BY fact) AS field_sources FROM w GROUP BY ALL)
+  SELECT run_id, display_name, headline, location, bio, website, skills, level, {_json('sources')} AS sources, {_json('review_candidates')} AS review_candidates, {_json('rejected_candidates')} AS rejected_candidates, {_json('coalesce(field_sources, [])')} AS field_sources, max_evidence_confidence, max_decision_confidence, n_auto, n_review, n_reject, g.n_accounts,
+    CASE WHEN n_auto > 0 THEN 'resolved' WHEN n_review > 0 THEN 'ambiguous_candidates' ELSE 'no_confident_match' END AS outcome, CASE WHEN n_auto > 0 THEN 'deterministic_built' ELSE 'canonical_build_blocked' END AS stage,
+    CASE WHEN n_auto = 0 THEN {_json('[' + _warning('profile_needs_review', "{'reason': 'no_auto_match_accounts', 'review_candidates': CAST(n_review AS VARCHAR)}") + ']')} WHEN n_review > 0 THEN {_json('[' + _warning('ambiguous_candidates_present', "{'review_candidates': CAST(n_review AS VARCHAR)}") + ']')} ELSE '[]' END AS warnings
+  FROM g JOIN c_profile USING (run_id) LEFT JOIN fs USING (run_id)""",
+}

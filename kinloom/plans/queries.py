@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text
-from ..operators import discovery, golden, health, resolve, review
+from ..operators import detail, discovery, golden, health, resolve, review
 from ..sources import accounts as sources
 from ..sources import store
 from ..streaming import metrics
@@ -392,6 +393,36 @@ def profile_read_model(spark, d):
     return golden.read_model(r.links, r.evidence, r.conflicts)
 
 
+def _nested(df: DataFrame) -> DataFrame:
+    """Nested columns as JSON with all fields, decimals in them as doubles: what the comparison with SQL expects."""
+    out = []
+    for c, t in df.dtypes:
+        plain = re.sub(r"decimal[(][0-9]+,[0-9]+[)]", "double", t)
+        out.append(F.to_json(F.col(c).cast(plain), {"ignoreNullFields": "false"}).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c).cast(plain).alias(c))
+    return df.select(out)
+
+
+@query
+def profile_full_read(spark, d):
+    r = resolution(spark, d)
+    made = golden.fallback_summary(golden.profiles(r.links, r.accounts)).select("run_id", "summary", F.lit(2).alias("created_at"))
+    summaries = made.unionByName(made.select("run_id", F.lit("of an earlier day").alias("summary"), F.lit(1).alias("created_at")))
+    return _nested(detail.full_read(r.requests, r.links, r.accounts, r.evidence, r.conflicts, golden.facts(golden.bundles(r.links, r.accounts)), summaries))
+
+
+@query
+def profile_detail(spark, d):
+    r = resolution(spark, d)
+    facts = golden.facts(golden.bundles(r.links, r.accounts))
+    shown = detail.detail(r.requests, r.decided, r.links, golden.profiles(r.links, r.accounts), facts, resolve.account_explanations(r.accounts, r.account_scores))
+    return _nested(shown.drop("fields_pending"))
+
+
+@query
+def profile_link_graph(spark, d):
+    return resolve.link_edges(resolve.normalized(derive.accounts(spark, d)))
+
+
 @query
 def review_eligibility(spark, d):
     return golden.review_eligibility(resolution(spark, d).decided)
@@ -428,14 +459,19 @@ def evaluation_metrics(spark, d):
 
 @query
 def handle_indel_similarity(spark, d):
-    r = resolution(spark, d)
-    return r.pairs.select("run_id", "lk", "rk", fuzzy.indel_ratio(F.col("l.n_handle"), F.col("r.n_handle")).alias("ratio"))
+    p = resolution(spark, d).pairs.select("run_id", "lk", "rk", F.col("l.n_handle").alias("a"), F.col("r.n_handle").alias("b"))
+    return fuzzy.by_distinct_pair(p, "a", "b", fuzzy.indel_ratio, "ratio").drop("a", "b")
 
 
 @query
 def name_compatibility(spark, d):
-    r = resolution(spark, d)
-    return r.pairs.select("run_id", "lk", "rk", fuzzy.name_compatibility(F.col("l.n_name"), F.col("r.n_name")).alias("compat"))
+    p = resolution(spark, d).pairs.select("run_id", "lk", "rk", F.col("l.n_name").alias("a"), F.col("r.n_name").alias("b"))
+    return fuzzy.by_distinct_pair(p, "a", "b", fuzzy.name_compatibility, "compat").drop("a", "b")
+
+
+@query
+def similar_handles(spark, d):
+    return fuzzy.similar_pairs(resolve.normalized(derive.accounts(spark, d)).select(F.when(F.col("run_id") % 2 == 0, F.concat("n_handle", F.lit("_dev"))).alias("value")).filter("value IS NOT NULL"))
 
 
 @query
