@@ -43,6 +43,13 @@ def first_seen(a: Column) -> Column:
     return let(a, lambda y: let(F.transform(y, F.lower), lambda low: F.filter(y, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
 
 
+def top_values(a: Column, limit: int = 10) -> Column:
+    """The most frequent values of an array in lower case, ties by first place; blanks don't count."""
+    w = F.filter(F.transform(a, lambda x: F.lower(clean(x))), lambda x: x.isNotNull())
+    ranked = lambda w: F.array_sort(F.transform(F.array_distinct(w), lambda t: F.struct((-F.size(F.filter(w, lambda y: y == t))).alias("n"), F.array_position(w, t).alias("at"), t.alias("t"))))
+    return let(w, lambda w: F.slice(F.transform(ranked(w), lambda s: s["t"]), 1, limit))
+
+
 def account_key(source: Column, user_id: Column, handle: Column) -> Column:
     return F.lower(F.concat(source, F.lit(":"), F.coalesce(user_id, handle)))
 

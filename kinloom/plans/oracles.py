@@ -302,3 +302,44 @@ ORACLES |= {
     CASE WHEN n_auto = 0 THEN {_json('[' + _warning('profile_needs_review', "{'reason': 'no_auto_match_accounts', 'review_candidates': CAST(n_review AS VARCHAR)}") + ']')} WHEN n_review > 0 THEN {_json('[' + _warning('ambiguous_candidates_present', "{'review_candidates': CAST(n_review AS VARCHAR)}") + ']')} ELSE '[]' END AS warnings
   FROM g JOIN c_profile USING (run_id) LEFT JOIN fs USING (run_id)""",
 }
+
+_top = lambda x: f"list_transform(list_sort(list_transform(list_distinct({x}), lambda z: {{'n': -len(list_filter({x}, lambda y: y = z)), 'p': list_position({x}, z), 'z': z}})), lambda s: s.z)"
+_less = lambda x: f"regexp_replace(regexp_replace({x}, '\"[a-z_]+\":null,?', '', 'g'), ',}}', '}}', 'g')"  # noqa: E731  nulls aren't written
+#: The bundles' parts with their fields in alphabetical order, as a VARIANT has them.
+_parts = {
+    "profile": "{'bio': bio, 'blog': website_url, 'followers': id % 1000, 'following': id % 7, 'html_url': profile_url, 'id': id, 'location': location, 'login': handle, 'name': display_name, 'public_repos': id % 50}",
+    "repos": "list_transform(range(len(t)), lambda i: {'language': t[i + 1], 'name': t[i + 1], 'stargazers_count': id * (i + 3) % 17, 'topics': [t[i + 1]]})",
+    "s_user": "{'items': [{'badge_counts': {'bronze': id % 5}, 'display_name': coalesce(display_name, 'n'), 'link': profile_url, 'location': location, 'reputation': id % 3000, 'user_id': id, 'website_url': website_url}]}",
+    "answers": "{'items': [{'tags': t[1:2]}]}",
+    "questions": "{'items': [{'tags': t}, {'tags': t[2:2]}]}",
+    "d_user": "{'github_username': 'gh' || run_id, 'id': id, 'location': location, 'name': display_name, 'summary': bio, 'username': handle, 'website_url': website_url}",
+    "listed": "list_transform(t, lambda x: {'comments_count': id % 4, 'tag_list': [x, 'Web'], 'tags': ['dev', x], 'title': 'On ' || x})",
+    "joined": "list_transform(t, lambda x: {'comments_count': id % 4, 'tag_list': x || ', Web,', 'tags': ['dev', x], 'title': 'On ' || x})",
+    "h_user": "{'about': bio, 'karma': id % 100, 'username': handle}",
+    "activity": "{'hits': list_transform(range(len(t)), lambda i: {'_tags': [CASE WHEN (id + i) % 2 = 0 THEN 'story' ELSE 'comment' END], 'objectID': CAST(i AS VARCHAR), 'points': i, 'title': t[i + 1]})}",
+}
+_raw = lambda k, n, kind, part, url: f"SELECT id * 4 + {n} AS id, run_id, source, '{kind}' AS record_type, {'user_id' if k < 3 else 'handle'} AS user_id, {'coalesce(display_name, $n$n$n$)' if k == 1 else 'handle'} AS handle, {url} AS request_url, profile, sha256({_less(_json(part))}) AS payload, id AS fetched_at FROM a WHERE k = {k}"
+_ACTIVITY = {
+    0: f"{{'public_repos': id % 50, 'followers': id % 1000, 'following': id % 7, 'top_languages': {_top('t')}, 'repo_count_fetched': len(t), 'top_repositories': list_transform(list_sort(list_transform(range(len(t)), lambda i: {{'o': -(id * (i + 3) % 17), 'i': i, 'row': {{'name': t[i + 1], 'language': t[i + 1], 'stars': id * (i + 3) % 17}}}}))[1:10], lambda s: s.row)}}",
+    1: f"{{'reputation': id % 3000, 'badge_counts': {{'bronze': id % 5}}, 'answers_count_fetched': 1, 'questions_count_fetched': 2, 'top_question_tags': {_top('list_concat(t, t[2:2])')}, 'top_answer_tags': {_top('t[1:2]')}}}",
+    2: f"{{'articles_count_fetched': len(t), 'top_tags': {_top('d')}[1:10], 'recent_articles': list_transform(t, lambda x: {{'title': 'On ' || x, 'comments_count': id % 4}}), 'linked_usernames': {{'github': 'gh' || run_id}}}}",
+    3: "{'karma': id % 100, 'activity_count_fetched': len(t), 'comments_count_fetched': len(list_filter(range(len(t)), lambda i: (id + i) % 2 = 1)), 'stories_count_fetched': len(list_filter(range(len(t)), lambda i: (id + i) % 2 = 0)), 'recent_activity': list_transform(range(len(t)), lambda i: {'object_id': CAST(i AS VARCHAR), 'title': t[i + 1], 'points': i, 'type': CASE WHEN (id + i) % 2 = 0 THEN 'story' ELSE 'comment' END}), 'weak_identity_source': true}",
+}
+_api, _stack = "'https://api.github.com/users/' || handle", "'https://api.stackexchange.com/2.3/users/' || id || "
+_PARTS = f"WITH {ACCOUNTS}, a AS (SELECT *, string_split(topics_text, '|') AS t, CASE k WHEN 2 THEN 'https://dev.to/' || handle WHEN 3 THEN 'https://news.ycombinator.com/user?id=' || handle ELSE profile_url END AS profile FROM linked)"
+_distinct = lambda x: f"list_transform(list_sort(list_transform(list_distinct({x}), lambda y: {{'p': list_position({x}, y), 'y': y}})), lambda s: s.y)"
+ORACLES |= {
+    "bundle_raw_records": f"{_PARTS}, r AS (" + " UNION ALL ".join(
+        (
+            _raw(0, 0, "profile", _parts["profile"], _api), _raw(0, 1, "repos", _parts["repos"], _api + " || '/repos?per_page=30&sort=updated&direction=desc'"),
+            _raw(1, 0, "user", _parts["s_user"], _stack + "'?site=stackoverflow'"), _raw(1, 1, "answers", _parts["answers"], _stack + "'/answers?site=stackoverflow&pagesize=20&sort=votes'"), _raw(1, 2, "questions", _parts["questions"], _stack + "'/questions?site=stackoverflow&pagesize=20&sort=votes'"),
+            _raw(2, 0, "user", _parts["d_user"], "'https://dev.to/api/users/by_username?url=' || handle"), _raw(2, 1, "articles", _parts["listed"], "'https://dev.to/api/articles?username=' || handle || '&per_page=30'") + " AND id % 8 = 2", _raw(2, 1, "articles", _parts["joined"], "'https://dev.to/api/articles?username=' || handle || '&per_page=30'") + " AND id % 8 <> 2",
+            _raw(3, 0, "user", _parts["h_user"], "'https://hn.algolia.com/api/v1/users/' || handle"), _raw(3, 1, "activity", _parts["activity"], "'https://hn.algolia.com/api/v1/search_by_date?tags=author_' || handle || '&hitsPerPage=30'"),
+        )
+    ) + ") SELECT * EXCLUDE (profile), profile AS profile_url, 200 AS http_status FROM r",
+    "normalize_raw_accounts": f"""{_PARTS}, b AS (SELECT *, list_concat(flatten(list_transform(t, lambda x: [x, 'web', 'dev', x])), []) AS d FROM a)
+  SELECT lower(source || ':' || CASE WHEN k = 3 THEN handle ELSE user_id END) AS account_key, CASE WHEN k = 1 THEN coalesce(display_name, 'n') ELSE handle END AS handle, CASE k WHEN 3 THEN handle WHEN 1 THEN coalesce(display_name, 'n') ELSE coalesce(display_name, handle) END AS display_name, CASE WHEN k <> 1 THEN bio END AS bio, CASE WHEN k <> 3 THEN location END AS location,
+    array_to_string(CASE k WHEN 2 THEN {_distinct('d')} WHEN 3 THEN {_top('t')} ELSE {_distinct('t')} END, ',') AS topics, CASE k WHEN 2 THEN 'https://dev.to/' || handle WHEN 3 THEN 'https://news.ycombinator.com/user?id=' || handle ELSE profile_url END AS profile_url,
+    CASE k WHEN 0 THEN {_json(_ACTIVITY[0])} WHEN 1 THEN {_json(_ACTIVITY[1])} WHEN 2 THEN {_json(_ACTIVITY[2])} ELSE {_json(_ACTIVITY[3])} END AS activity_payload, array_to_string(list_transform(range(CASE k WHEN 1 THEN 3 ELSE 2 END), lambda i: CAST(id * 4 + i AS VARCHAR)), ',') AS raw_record_ids
+  FROM (SELECT * REPLACE (list_transform(t, lambda x: lower(x)) AS t) FROM b)""",
+}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, text
 from ..operators import detail, discovery, golden, health, resolve, review
 from ..sources import accounts as sources
+from ..sources import bundles as sources_of
 from ..sources import store
 from ..streaming import metrics
 from . import derive
@@ -178,14 +179,36 @@ def raw_record_grouping(spark, d):
     return sources.grouped(raw).groupBy("source", "account_group").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def _bundles(spark, d):
+    """What each platform would have answered for the derived accounts, as one JSON document a candidate."""
+    n, t = F.col("id"), F.col("topics")
+    a = derive.accounts(spark, d).withColumn("id", F.col("user_id").cast("long"))
+    site, bio, place, name = F.col("website_url"), F.col("bio"), F.col("location"), F.col("display_name")
+    repos = F.transform(t, lambda x, i: F.struct(x.alias("name"), x.alias("language"), (n * (i + 3) % 17).alias("stargazers_count"), F.array(x).alias("topics")))
+    github = F.struct(F.struct("id", F.col("handle").alias("login"), name.alias("name"), bio.alias("bio"), place.alias("location"), site.alias("blog"), F.col("profile_url").alias("html_url"), (n % 50).alias("public_repos"), (n % 1000).alias("followers"), (n % 7).alias("following")).alias("profile"), repos.alias("repos"))
+    items = lambda *x: F.struct(F.array(*x).alias("items"))
+    user = F.struct(n.alias("user_id"), F.coalesce(name, F.lit("n")).alias("display_name"), F.col("profile_url").alias("link"), place.alias("location"), site.alias("website_url"), (n % 3000).alias("reputation"), F.struct((n % 5).alias("bronze")).alias("badge_counts"))
+    stack = F.struct(items(user).alias("user"), items(F.struct(F.slice(t, 1, 2).alias("tags"))).alias("answers"), items(F.struct(t.alias("tags")), F.struct(F.slice(t, 2, 1).alias("tags"))).alias("questions"))
+    writer = F.struct("id", F.col("handle").alias("username"), name.alias("name"), bio.alias("summary"), place.alias("location"), site.alias("website_url"), F.concat(F.lit("gh"), F.col("run_id").cast("string")).alias("github_username"))
+    article = lambda x, tags: F.struct(F.concat(F.lit("On "), x).alias("title"), tags.alias("tag_list"), F.array(F.lit("dev"), x).alias("tags"), (n % 4).alias("comments_count"))
+    listed = F.struct(writer.alias("user"), F.transform(t, lambda x: article(x, F.array(x, F.lit("Web")))).alias("articles"))
+    joined = F.struct(writer.alias("user"), F.transform(t, lambda x: article(x, F.concat(x, F.lit(", Web,")))).alias("articles"))
+    hits = F.transform(t, lambda x, i: F.struct(x.alias("title"), i.cast("string").alias("objectID"), F.array(F.when((n + i) % 2 == 0, "story").otherwise("comment")).alias("_tags"), i.alias("points")))
+    reader = F.struct(F.struct(F.col("handle").alias("username"), bio.alias("about"), (n % 100).alias("karma")).alias("user"), F.struct(hits.alias("hits")).alias("activity"))
+    source = F.col("source")
+    bundle = F.when(source == "github", F.to_json(github)).when(source == "stackoverflow", F.to_json(stack)).when((source == "devto") & (n % 8 == 2), F.to_json(listed)).when(source == "devto", F.to_json(joined)).otherwise(F.to_json(reader))
+    return a.select("id", "run_id", "source", F.when(source == "stackoverflow", F.col("user_id")).otherwise(F.col("handle")).alias("identifier"), bundle.alias("bundle"), n.alias("fetched_at"))
+
+
+@query
+def bundle_raw_records(spark, d):
+    return sources_of.raw_records(_bundles(spark, d)).withColumn("payload", F.sha2(F.col("payload").cast("binary"), 256))
+
+
 @query
 def normalize_raw_accounts(spark, d):
-    a = derive.accounts(spark, d).filter("source = 'github'").withColumn("id", F.col("user_id").cast("long"))
-    profile = F.to_json(F.struct("id", F.col("handle").alias("login"), F.col("display_name").alias("name"), "bio", "location", F.col("website_url").alias("blog"), F.col("profile_url").alias("html_url")))
-    repos = F.to_json(F.transform("topics", lambda t: F.struct(t.alias("language"))))
-    common = ["id", "source", "user_id", "handle", F.col("id").alias("fetched_at")]
-    raw = a.select(*common, F.lit("profile").alias("record_type"), profile.alias("payload")).unionByName(a.select(*common, F.lit("repos").alias("record_type"), repos.alias("payload")))
-    return _num(sources.normalize(raw).select("account_key", "display_name", "topics", "profile_url"))
+    made = sources.normalize(cut(sources_of.raw_records(_bundles(spark, d))))
+    return _num(made.withColumn("raw_record_ids", F.col("raw_record_ids").cast("array<string>")).select("account_key", "handle", "display_name", "bio", "location", "topics", "profile_url", "activity_payload", "raw_record_ids"))
 
 
 @query

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from .. import policy
 from ..functions import fuzzy, text
 
-GITHUB = "struct<id:bigint,login:string,name:string,bio:string,location:string,company:string,blog:string,html_url:string,avatar_url:string>"
-REPOS = "array<struct<name:string,homepage:string,language:string,stargazers_count:int,topics:array<string>>>"
-STACK = "struct<items:array<struct<user_id:bigint,display_name:string,link:string,location:string,website_url:string,profile_image:string,tags:array<string>>>>"
-DEVTO = "struct<id:bigint,username:string,name:string,summary:string,location:string,website_url:string,url:string,profile_image:string,github_username:string>"
-ARTICLES = "array<struct<title:string,url:string,tag_list:array<string>>>"
-HN = "struct<username:string,about:string,karma:int>"
-HITS = "struct<hits:array<struct<title:string,story_title:string,url:string,_tags:array<string>>>>"
-COLUMNS = ("source", "user_id", "handle", "display_name", "bio", "location", "website_url", "profile_url", "avatar_url", "topics", "outbound_links")
+GITHUB = "struct<id:bigint,login:string,name:string,bio:string,location:string,company:string,blog:string,html_url:string,avatar_url:string,public_repos:int,followers:int,following:int>"
+REPOS = "array<struct<name:string,full_name:string,html_url:string,homepage:string,language:string,stargazers_count:int,fork:boolean,updated_at:string,topics:array<string>>>"
+STACK = "struct<items:array<struct<user_id:bigint,display_name:string,link:string,location:string,website_url:string,profile_image:string,reputation:int,badge_counts:map<string,int>,tags:array<string>>>>"
+DEVTO = "struct<id:bigint,username:string,name:string,summary:string,location:string,website_url:string,url:string,profile_image:string,profile_image_90:string,github_username:string,twitter_username:string>"
+#: Tags come as a list or as one text with commas.
+ARTICLES = "array<struct<title:string,url:string,canonical_url:string,published_at:string,positive_reactions_count:int,comments_count:int,tag_list:variant,tags:variant>>"
+HN = "struct<username:string,about:string,karma:int,created_at:string>"
+HITS = "struct<hits:array<struct<objectID:string,title:string,story_title:string,url:string,created_at:string,points:int,_tags:array<string>>>>"
+COLUMNS = ("source", "user_id", "handle", "display_name", "bio", "location", "website_url", "profile_url", "avatar_url", "topics", "outbound_links", "activity_payload", "raw_record_ids")
 
 
 def grouped(raw: DataFrame) -> DataFrame:
@@ -29,10 +30,9 @@ def grouped(raw: DataFrame) -> DataFrame:
 
 
 def latest(raw: DataFrame) -> DataFrame:
-    """(source, account_group, payloads): the last payload of each record type."""
-    n = F.row_number().over(Window.partitionBy("source", "account_group", "record_type").orderBy(F.desc("fetched_at"), F.desc("id")))
-    last = grouped(raw).withColumn("n", n).filter("n = 1")
-    return last.groupBy("source", "account_group").agg(F.map_from_entries(F.collect_list(F.struct("record_type", "payload"))).alias("payloads"))
+    """(source, account_group, payloads, raw_record_ids): the last payload of each record type, and the ids of all records."""
+    each = grouped(raw).groupBy("source", "account_group", "record_type").agg(F.max_by("payload", F.struct("fetched_at", "id")).alias("payload"), F.collect_list("id").alias("ids"))
+    return each.groupBy("source", "account_group").agg(F.map_from_entries(F.collect_list(F.struct("record_type", "payload"))).alias("payloads"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("raw_record_ids"))
 
 
 def _part(kind: str, ddl: str):
@@ -48,38 +48,72 @@ def _topics(*lists, limit: int = 30):
     return F.slice(F.array_distinct(F.transform(F.filter(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]), lambda t: t.isNotNull()), F.lower)), 1, limit)
 
 
+NO_TEXTS = "array<string>"
+
+
+def _flat(rows, of):
+    """The lists that of() gives for the rows, one after another."""
+    return F.flatten(F.transform(rows, lambda x: F.coalesce(of(x), F.array().cast(NO_TEXTS))))
+
+
+def _activity(**parts):
+    """What an account does, as JSON without nulls."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in parts.items()])).alias("activity_payload")
+
+
 def github(p: DataFrame) -> DataFrame:
     u, r = F.col("u"), F.col("r")
     p = p.withColumns({"u": _part("profile", GITHUB), "r": F.coalesce(_part("repos", REPOS), F.array().cast(REPOS))}).filter("u IS NOT NULL")
-    links = _links(F.array(text.normalize_url(u["blog"])), F.transform(r["homepage"], text.normalize_url), text.extract_urls(u["bio"]))
-    topics = _topics(F.transform(r, lambda x: x["language"]), F.flatten(F.transform(r, lambda x: F.coalesce(x["topics"], F.array().cast("array<string>")))))
-    return p.select(F.lit("github").alias("source"), u["id"].cast("string").alias("user_id"), u["login"].alias("handle"), text.clean(u["name"]).alias("display_name"), text.clean(u["bio"]).alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["blog"]).alias("website_url"), text.normalize_url(u["html_url"]).alias("profile_url"), u["avatar_url"].alias("avatar_url"), topics.alias("topics"), links.alias("outbound_links"))
+    links = _links(F.array(text.normalize_url(u["blog"])), F.transform(r["homepage"], text.normalize_url), text.extract_urls(u["bio"], 5))
+    languages = F.transform(r, lambda x: x["language"])
+    topics = _topics(languages, _flat(r, lambda x: x["topics"]))
+    repo = lambda x: F.struct(text.clean(x["name"]).alias("name"), text.clean(x["full_name"]).alias("full_name"), x["html_url"].alias("html_url"), text.clean(x["language"]).alias("language"), x["stargazers_count"].alias("stars"), x["fork"].alias("fork"), x["updated_at"].alias("updated_at"))
+    starred = F.transform(F.slice(F.array_sort(F.transform(r, lambda x, i: F.struct((-F.coalesce(x["stargazers_count"], F.lit(0))).alias("o"), i.alias("i"), repo(x).alias("row")))), 1, 10), lambda s: s["row"])
+    done = _activity(public_repos=u["public_repos"], followers=u["followers"], following=u["following"], top_languages=text.top_values(languages), repo_count_fetched=F.size(r), top_repositories=starred)
+    return p.select(F.lit("github").alias("source"), u["id"].cast("string").alias("user_id"), u["login"].alias("handle"), F.coalesce(text.clean(u["name"]), u["login"]).alias("display_name"), text.clean(u["bio"]).alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["blog"]).alias("website_url"), text.normalize_url(F.coalesce(u["html_url"], F.concat(F.lit("https://github.com/"), u["login"]))).alias("profile_url"), u["avatar_url"].alias("avatar_url"), topics.alias("topics"), links.alias("outbound_links"), done, "raw_record_ids")
 
 
 def stackoverflow(p: DataFrame) -> DataFrame:
     items = lambda kind: F.coalesce(_part(kind, STACK)["items"], F.array().cast(STACK[13:-1]))
     p = p.withColumns({"u": F.get(items("user"), 0), "q": items("questions"), "a": items("answers")}).filter("u IS NOT NULL")
     u = F.col("u")
-    tags = lambda c: F.flatten(F.transform(F.col(c), lambda x: F.coalesce(x["tags"], F.array().cast("array<string>"))))
+    asked, answered = (_flat(F.col(c), lambda x: x["tags"]) for c in "qa")
     name = text.clean(fuzzy.html_unescape(u["display_name"]))
-    return p.select(F.lit("stackoverflow").alias("source"), u["user_id"].cast("string").alias("user_id"), name.alias("handle"), name.alias("display_name"), F.lit(None).cast("string").alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["website_url"]).alias("website_url"), text.normalize_url(u["link"]).alias("profile_url"), u["profile_image"].alias("avatar_url"), _topics(tags("q"), tags("a")).alias("topics"), _links(F.array(text.normalize_url(u["website_url"]))).alias("outbound_links"))
+    done = _activity(reputation=u["reputation"], badge_counts=u["badge_counts"], answers_count_fetched=F.size("a"), questions_count_fetched=F.size("q"), top_question_tags=text.top_values(asked), top_answer_tags=text.top_values(answered))
+    return p.select(F.lit("stackoverflow").alias("source"), u["user_id"].cast("string").alias("user_id"), name.alias("handle"), name.alias("display_name"), F.lit(None).cast("string").alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["website_url"]).alias("website_url"), text.normalize_url(F.coalesce(u["link"], F.concat(F.lit("https://stackoverflow.com/users/"), u["user_id"].cast("string")))).alias("profile_url"), u["profile_image"].alias("avatar_url"), _topics(asked, answered).alias("topics"), _links(F.array(text.normalize_url(u["website_url"]))).alias("outbound_links"), done, "raw_record_ids")
+
+
+def tags_of(v):
+    """A VARIANT of tags as an array: a list as it is, a text cut at commas."""
+    listed = F.try_variant_get(v, "$", NO_TEXTS)
+    cut = F.filter(F.transform(F.split(F.try_variant_get(v, "$", "string"), ","), lambda t: F.trim(t)), lambda t: t != "")
+    return F.coalesce(listed, cut, F.array().cast(NO_TEXTS))
 
 
 def devto(p: DataFrame) -> DataFrame:
     p = p.withColumns({"u": _part("user", DEVTO), "r": F.coalesce(_part("articles", ARTICLES), F.array().cast(ARTICLES))}).filter("u IS NOT NULL")
     u, r = F.col("u"), F.col("r")
+    p = p.withColumn("t", _flat(r, lambda x: F.concat(tags_of(x["tag_list"]), tags_of(x["tags"]))))
     own = F.when(u["github_username"] != "", F.concat(F.lit("https://github.com/"), u["github_username"]))
-    links = _links(F.array(text.normalize_url(u["website_url"]), own), text.extract_urls(u["summary"]))
-    return p.select(F.lit("devto").alias("source"), u["id"].cast("string").alias("user_id"), u["username"].alias("handle"), text.clean(u["name"]).alias("display_name"), text.clean(u["summary"]).alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["website_url"]).alias("website_url"), text.normalize_url(F.coalesce(u["url"], F.concat(F.lit("https://dev.to/"), u["username"]))).alias("profile_url"), u["profile_image"].alias("avatar_url"), _topics(F.flatten(F.transform(r, lambda x: F.coalesce(x["tag_list"], F.array().cast("array<string>"))))).alias("topics"), links.alias("outbound_links"))
+    links = _links(F.array(text.normalize_url(u["website_url"]), own), text.extract_urls(u["summary"], 5))
+    article = lambda x: F.struct(text.clean(x["title"]).alias("title"), x["url"].alias("url"), x["canonical_url"].alias("canonical_url"), x["published_at"].alias("published_at"), x["positive_reactions_count"].alias("positive_reactions_count"), x["comments_count"].alias("comments_count"))
+    linked = F.struct(text.clean(u["github_username"]).alias("github"), text.clean(u["twitter_username"]).alias("twitter"))
+    done = _activity(articles_count_fetched=F.size(r), top_tags=text.top_values(F.col("t")), recent_articles=F.slice(F.transform(r, article), 1, 10), linked_usernames=linked)
+    bio = text.clean(text.strip_tags(fuzzy.html_unescape(u["summary"])))
+    return p.select(F.lit("devto").alias("source"), F.coalesce(u["id"].cast("string"), u["username"]).alias("user_id"), u["username"].alias("handle"), F.coalesce(text.clean(u["name"]), u["username"]).alias("display_name"), bio.alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["website_url"]).alias("website_url"), text.normalize_url(F.coalesce(u["url"], F.concat(F.lit("https://dev.to/"), u["username"]))).alias("profile_url"), F.coalesce(u["profile_image"], u["profile_image_90"]).alias("avatar_url"), _topics(F.col("t")).alias("topics"), links.alias("outbound_links"), done, "raw_record_ids")
 
 
 def hackernews(p: DataFrame) -> DataFrame:
     p = p.withColumns({"u": _part("user", HN), "h": F.coalesce(_part("activity", HITS)["hits"], F.array().cast(HITS[12:-1]))}).filter("u IS NOT NULL")
-    u = F.col("u")
+    u, h = F.col("u"), F.col("h")
     about = text.strip_tags(fuzzy.html_unescape(u["about"]))
-    words = F.flatten(F.transform(F.col("h"), lambda x: F.coalesce(text.topic_words(F.coalesce(x["title"], x["story_title"])), F.array().cast("array<string>"))))
-    counted = text.let(words, lambda w: F.slice(F.transform(F.array_sort(F.transform(F.array_distinct(w), lambda t: F.struct((-F.size(F.filter(w, lambda y: y == t))).alias("n"), F.array_position(w, t).alias("at"), t.alias("t")))), lambda s: s["t"]), 1, 20))
-    return p.select(F.lit("hackernews").alias("source"), u["username"].alias("user_id"), u["username"].alias("handle"), u["username"].alias("display_name"), about.alias("bio"), F.lit(None).cast("string").alias("location"), F.get(text.extract_urls(about), 0).alias("website_url"), F.concat(F.lit("https://news.ycombinator.com/user?id="), u["username"]).alias("profile_url"), F.lit(None).cast("string").alias("avatar_url"), counted.alias("topics"), text.extract_urls(about).alias("outbound_links"))
+    title = lambda x: F.coalesce(text.clean(x["title"]), text.clean(x["story_title"]))
+    has = lambda x, tag: F.coalesce(F.array_contains(x["_tags"], tag), F.lit(False))
+    counted = text.top_values(_flat(h, lambda x: text.topic_words(title(x))), 20)
+    hit = lambda x: F.struct(x["objectID"].alias("object_id"), title(x).alias("title"), x["url"].alias("url"), x["created_at"].alias("created_at"), x["points"].alias("points"), F.when(has(x, "comment"), "comment").when(has(x, "story"), "story").alias("type"))
+    n = lambda tag: F.size(F.filter(h, lambda x: has(x, tag)))
+    done = _activity(karma=u["karma"], created_at=u["created_at"], activity_count_fetched=F.size(h), comments_count_fetched=n("comment"), stories_count_fetched=n("story"), recent_activity=F.slice(F.transform(h, hit), 1, 10), weak_identity_source=F.lit(True))
+    return p.select(F.lit("hackernews").alias("source"), u["username"].alias("user_id"), u["username"].alias("handle"), u["username"].alias("display_name"), about.alias("bio"), F.lit(None).cast("string").alias("location"), F.get(text.extract_urls(about, 5), 0).alias("website_url"), F.concat(F.lit("https://news.ycombinator.com/user?id="), u["username"]).alias("profile_url"), F.lit(None).cast("string").alias("avatar_url"), counted.alias("topics"), text.extract_urls(about, 5).alias("outbound_links"), done, "raw_record_ids")
 
 
 #: What makes accounts of a platform's payloads; further platforms are added here.
