@@ -1,9 +1,10 @@
 """Secret scans: three rules, and strings that a primed compressor finds new in a sensitive context.
 
 A candidate is a long run of key-like characters shortly after a word such as "password".
-Its marginal compressed bytes are those of zstandard, primed with a dictionary of identifiers and given the text around
-the candidate (without other copies of it, so one given twice is as new as one given once), with the candidate less those without it. A candidate that costs NOVELTY bytes a character or more is
-reported as kind `novel`. Spans of the rules stay, whatever the novelty.
+Its marginal compressed bytes are those of zstandard, primed with a dictionary of words and identifiers and given the text around
+the candidate (without other copies of it, so one given twice is as new as one given once), with the candidate less those without it. They are held against those of random characters of the
+same number in the same place, so that neither the context nor the length counts. A candidate that costs the share NOVELTY of these or more is
+reported as kind `novel`: random strings do, identifiers made of known words don't. Spans of the rules stay, whatever the novelty.
 
 Null and empty texts have no spans. Every row is scanned as a whole; repeated and null ids are kept, other columns dropped
 (redact() keeps all columns).
@@ -11,8 +12,12 @@ Null and empty texts have no spans. Every row is scanned as a whole; repeated an
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import importlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -30,9 +35,17 @@ SENSITIVE = re.compile(r"(?ai:passw(?:or)?d|pwd|secret|token|api[_-]?key|private
 REACH = 48
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-#: Characters of surrounding text on each side that the compressor sees, and compressed bytes a character that count as new.
-AROUND, NOVELTY = 256, 0.6
-#: Primes the compressor: identifiers and words of code and configuration files.
+#: Characters of surrounding text on each side that the compressor sees, and the share of random characters' bytes that counts as new.
+AROUND, NOVELTY = 256, 0.91
+#: How a text is compressed, and what goes before it: words that the dictionary has, so that no block stays uncompressed, and bytes of all values alike, which keep
+#: literals as they are. So a new character costs a byte in any context, and a known word some three bytes.
+SETTINGS = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=7, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False)
+DIGITS = bytes(b"0123456789abcdefghijklmnopqrstuvwxyz"[k % 36] for k in range(256))
+START, PLAIN = 512, b"".join(hashlib.sha512(bytes([k])).digest() for k in range(16))
+#: Where names come from, and what a name's words are.
+MODULES = ("argparse", "ast", "asyncio", "base64", "collections", "concurrent.futures", "configparser", "csv", "ctypes", "datetime", "email", "email.message", "errno", "hashlib", "hmac", "html", "http", "http.client", "http.cookies", "imaplib", "inspect", "io", "json", "locale", "logging", "logging.handlers", "multiprocessing", "os", "pathlib", "pickle", "platform", "select", "shutil", "signal", "smtplib", "socket", "socketserver", "sqlite3", "ssl", "string", "subprocess", "sys", "tarfile", "threading", "typing", "unittest", "urllib.parse", "urllib.request", "uuid", "warnings", "xml.dom.minidom", "xml.sax", "zipfile")
+LETTERS, CAMEL = re.compile("[a-z]{4,}"), re.compile("(?<=[a-z0-9])([A-Z])")
+#: Primes the compressor, beside words(): identifiers and words of code and configuration files.
 IDENTIFIERS = (
     "import from return class function public private static final void const let var string integer boolean null true false "
     "self this new async await try catch except finally raise throw if else elif for while in range len print def lambda "
@@ -44,19 +57,47 @@ IDENTIFIERS = (
 )
 
 
+#: Bytes of the dictionary.
+DICTIONARY = 64 << 10
+
+
+@functools.cache
+def words() -> str:
+    """Words of code and prose, most frequent last, where the compressor's references are cheapest: those of Python's own language reference, which is part of each
+    installation, and of the names in some modules of its standard library, with IDENTIFIERS at the end."""
+    import pydoc_data.topics as reference
+
+    count = Counter(w for t in reference.topics.values() for w in LETTERS.findall(t.lower()))
+    for module in MODULES:
+        count.update(w for name in dir(importlib.import_module(module)) for w in LETTERS.findall(CAMEL.sub(r"_\1", name).lower()))
+    kept, size = [], 0
+    for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+        size += len(w) + 1
+        if size + len(IDENTIFIERS) > DICTIONARY:
+            break
+        kept.append(w)
+    return " ".join(reversed(kept)) + " " + IDENTIFIERS.lower()
+
+
 class Novelty:
-    def __init__(self, identifiers: str = IDENTIFIERS):
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compress = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False).compress
+    """Case doesn't count: it makes words look new that aren't, and random strings stay as new without it."""
+
+    def __init__(self, identifiers: str | None = None):
+        known = words() if identifiers is None else identifiers
+        primed = zstandard.ZstdCompressionDict(known.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(compression_params=SETTINGS)
+        self.compress = zstandard.ZstdCompressor(compression_params=SETTINGS, dict_data=primed).compress
+        self.start = PLAIN + known[:START].encode()
 
     def of(self, text: str, start: int, end: int) -> float:
-        """Marginal compressed bytes a character."""
+        """Marginal compressed bytes a character, as a share of those of random characters in the same place."""
         own = text[start:end]
         # cut where a copy may reach over the edge, after the copies are out
         before, after = text[max(0, start - AROUND - len(own)) : start].replace(own, ""), text[end : end + AROUND + len(own)].replace(own, "")
-        before, after = before[-AROUND:], after[:AROUND]
-        without = len(self.compress((before + after).encode()))
-        return (len(self.compress((before + after + own).encode())) - without) / (end - start)
+        around = self.start + (before[-AROUND:] + after[:AROUND]).lower().encode()
+        without, random = len(self.compress(around)), hashlib.shake_128(own.encode()).digest(len(own)).translate(DIGITS)
+        marginal = lambda x: len(self.compress(around + x)) - without
+        return marginal(own.lower().encode()) / max(marginal(random), 1)
 
 
 def find(text: str | None, novelty: Novelty) -> list[tuple[str, int, int]]:
