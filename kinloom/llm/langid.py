@@ -7,7 +7,7 @@ were more than SAMPLES in all, but one at least). As the kernel is linear in a t
 presences, the landmarks' coefficients are folded into a weight for each n-gram, and batches of presence rows are multiplied by them.
 
 Null texts and texts without a letter are `und` with score 0, as are all texts where no language was learnt. The score is the
-best language's share after a softmax. Repeated and null ids are kept. Every language of the training rows can be predicted.
+best language's share after a softmax. Repeated and null ids are kept. Every language of the training rows can be predicted, whatever its texts' lengths.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 SIZES = (1, 2, 3)
 SAMPLE, SAMPLES, LANDMARKS, RIDGE, SHARPNESS = 400, 20_000, 300, 1e-2, 6.0
-#: Characters of a landmark or training text; longer ones are not taken into the sample.
+#: Characters of a landmark or training text; a longer one stands for itself by so many characters in a row, from a place that its id's hash gives.
 SAMPLE_CHARS = 20_000
 SPACE = 1 << 24
 LETTER = regex.compile(r"\p{L}")
@@ -102,14 +102,16 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 def train(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, samples: int = SAMPLES) -> Model:
     """docs (doc_id, text, lang). Two scans, whatever the number of languages: one counts them, one takes the sample."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang").filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    count = {r["lang"]: r["count"] for r in docs.filter(F.length("text") <= chars).groupBy("lang").count().collect()}
+    count = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not count:
         return fit([], [])
     sample = max(1, min(sample, samples // len(count)))
     # a bound on hashes that leaves about twice the sample of each language, so that neither the sort nor its task gets all rows of one
     bounds = docs.sparkSession.createDataFrame([(lang, min((1 << 63) - 1, int((min(1, (2 * sample + 20) / n) - 0.5) * 2**64))) for lang, n in sorted(count.items())], "lang string, bound long")
     key = F.xxhash64("doc_id")
-    near = docs.filter(F.length("text") <= chars).join(F.broadcast(bounds), "lang").filter(key <= F.col("bound"))  # a row for each language
+    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.length("text") - F.lit(chars - 1)).cast("int") + 1
+    docs = docs.withColumn("text", F.when(F.length("text") > chars, F.substring("text", place, F.lit(chars))).otherwise(F.col("text")))
+    near = docs.join(F.broadcast(bounds), "lang").filter(key <= F.col("bound"))  # a row for each language
     once = near.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.*")
     first = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))
     rows = sorted(once.withColumn("n", first).filter(F.col("n") <= sample).select("doc_id", "text", "lang").collect())
