@@ -4,7 +4,9 @@ A word is the mean of the embeddings of its hashed character n-grams and of itse
 classes are told apart by a linear softmax over it, so a misspelt word shares most of its vectors with the word meant.
 A text's bag holds each of its words once, in order of first use, and its score is that of the most toxic window of WINDOW of
 them: a few words in a very long text count, and a harmless word doesn't add up by being repeated. In training,
-a text stands for its windows at first and for its most toxic window in later rounds.
+a text stands for its most toxic window, by log odds of the n-grams at first and by the model itself in later rounds, and a clean one for any other as well.
+n-grams of fewer than LEAST texts take no part, as each text's own rare words would be learnt by heart. A fit on two thirds of the sample tells how far the bias has to
+be lowered for the clean texts of the last third.
 
 The fit takes at most SAMPLE labelled texts of each class (by a hash of the id) of at most SAMPLE_CHARS characters each.
 Labels without a document, or documents without a label, do not matter to it. Null and empty texts get 0.
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 from . import grams
 from .common import Ids, release, sample_ids, tokens
 
-BUCKETS, SIZES, DIM = 1 << 16, (3, 4, 5), 8
-WINDOW, STEP = 8, 4
+BUCKETS, SIZES, DIM = 1 << 16, (5, 7), 8
+WINDOW, STEP = 2, 1
 SAMPLE, SAMPLE_CHARS = 1_500, 60_000
-THRESHOLD = 0.3
+#: Buckets of fewer texts than LEAST stay at nothing, and embeddings shrink by DECAY a step, as else each text's own rare words are learnt by heart.
+LEAST, DECAY, ROUNDS, EPOCHS = 4, 1e-3, 6, 2
+THRESHOLD, ALARMS = 0.3, 0.02
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,20 +49,56 @@ class Model:
     def __init__(self, logits: np.ndarray, bias: float):
         self.logits, self.bias = logits, bias
 
-    def score(self, parts: list[np.ndarray], words: list[bytes]) -> list[float]:
+    def heights(self, parts: list[np.ndarray], words: list[bytes]) -> list[float]:
+        """Logits of the most toxic windows, minus infinity without words."""
         each, out = grams.means(words, self.logits, SIZES), []
         for p in parts:
             if not len(p):
-                out.append(0.0)
+                out.append(-np.inf)
                 continue
             a, b = windows(len(p))
             s = np.concatenate([[0.0], np.cumsum(each[p])])
-            z = float(((s[b] - s[a]) / np.maximum(b - a, 1)).max()) + self.bias
-            out.append(1 / (1 + np.exp(-z)) if z > -700 else 0.0)
+            out.append(float(((s[b] - s[a]) / np.maximum(b - a, 1)).max()) + self.bias)
         return out
 
-
-def fit(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 2, seed: int = 1) -> Model:
+    def score(self, parts: list[np.ndarray], words: list[bytes]) -> list[float]:
+        return [1 / (1 + np.exp(-z)) if z > -700 else 0.0 for z in self.heights(parts, words)]
+
+
+def support(at: np.ndarray, first: np.ndarray, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts of either class have each bucket. at, first: buckets of each word; flat, sizes: words of each text."""
+    n = first[flat + 1] - first[flat]
+    text = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n)
+    pairs = np.unique(text.astype(np.int64) * BUCKETS + at[np.repeat(first[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    seen = [np.bincount(pairs[labels[pairs // BUCKETS] == y] % BUCKETS, minlength=BUCKETS) for y in (0, 1)]
+    return seen[0], seen[1]
+
+
+def log_odds(clean: np.ndarray, toxic: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of the buckets' text counts, over their standard error; 0 for those of too few texts."""
+    n0, n1 = (labels == 0).sum(), (labels == 1).sum()
+    z = np.log((toxic + 0.5) / (n1 - toxic + 0.5)) - np.log((clean + 0.5) / (n0 - clean + 0.5))
+    z /= np.sqrt(1 / (toxic + 0.5) + 1 / (n1 - toxic + 0.5) + 1 / (clean + 0.5) + 1 / (n0 - clean + 0.5))
+    return np.where(clean + toxic >= LEAST, z, 0)
+
+
+def gradients(e, v, c, f, of, share, y):
+    """Mean loss of windows, the buckets in use, and the gradients of their embeddings, of the softmax and of its bias. f, of, share: a bucket, its window
+    and its weight there; y: the windows' classes."""
+    x = np.stack([np.bincount(of, e[f, d] * share, len(y)) for d in range(e.shape[1])], 1).astype(np.float32)
+    z = x @ v + c
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-30)).mean()
+    p[np.arange(len(y)), y] -= 1
+    p /= len(y)
+    gx = p @ v.T
+    used, back = np.unique(f, return_inverse=True)
+    ge = np.stack([np.bincount(back, gx[of, d] * share, len(used)) for d in range(e.shape[1])], 1).astype(np.float32)
+    return loss, used, ge, x.T @ p, p.sum(0)
+
+
+def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, epochs: int = EPOCHS, decay: float = DECAY, seed: int = 1) -> Model:
     labels = np.array(labels)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), -1e4)
@@ -81,7 +121,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 2, s
         base += len(p)
     doc, lo, hi = map(np.concatenate, (doc, lo, hi))
     bounds = np.searchsorted(doc, np.arange(len(parts) + 1))
-    e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    clean, toxic = support(at, first, flat, np.array([len(p) for p in parts]), labels)
+    known = clean + toxic >= LEAST
+    e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32) * known[:, None]
     v = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     c = np.zeros(2, np.float32)
     se, sv, sc = np.full((BUCKETS, DIM), 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -94,41 +136,43 @@ def fit(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 2, s
         k = first[w + 1] - first[w]
         f = at[np.repeat(first[w] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
         share = np.repeat(1 / (np.maximum(n, 1)[of_w] * k), k).astype(np.float32)
-        of_f = np.repeat(of_w, k)
-        x = np.stack([np.bincount(of_f, e[f, d] * share, len(chosen)) for d in range(DIM)], 1).astype(np.float32)
-        z = x @ v + c
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(chosen)), labels[doc[chosen]]] -= 1
-        p /= len(chosen)
-        gv, gc, gx = x.T @ p, p.sum(0), p @ v.T
-        used, back = np.unique(f, return_inverse=True)
-        ge = np.stack([np.bincount(back, gx[of_f, d] * share, len(used)) for d in range(DIM)], 1).astype(np.float32)
+        _, used, ge, gv, gc = gradients(e, v, c, f, np.repeat(of_w, k), share, labels[doc[chosen]])
         se[used] += ge**2
-        e[used] -= 0.3 * ge / np.sqrt(se[used])
+        e[used] = (e[used] - 0.3 * ge / np.sqrt(se[used])) * (1 - decay) * known[used, None]
         sv[:] += gv**2
         v -= 0.1 * gv / np.sqrt(sv)
         sc[:] += gc**2
         c -= 0.1 * gc / np.sqrt(sc)
 
     for r in range(rounds):
-        if r < 1:  # each text by a window of its own choice
-            chosen = bounds[:-1] + (rng.random(len(parts)) * np.diff(bounds)).astype(np.int64)
-            chosen = np.concatenate([chosen, *(bounds[:-1] + (rng.random(len(parts)) * np.diff(bounds)).astype(np.int64) for _ in range(2))])
-        else:  # by its most toxic window, and for clean texts also by any other
-            s = np.concatenate([[0.0], np.cumsum(_word_logits(e, v, at, first)[flat])])
-            z = (s[hi] - s[lo]) / np.maximum(hi - lo, 1)
-            top = np.lexsort((z, doc))[bounds[1:] - 1]
-            other = bounds[:-1] + (rng.random(len(parts)) * np.diff(bounds)).astype(np.int64)
-            chosen = np.concatenate([top, other[labels == 0]])
+        # a text stands for its most toxic window, by log odds at first; clean texts also for any other
+        w = _of_words(log_odds(clean, toxic, labels), at, first) if r < 1 else _of_words(e @ (v[:, 1] - v[:, 0]), at, first)
+        s = np.concatenate([[0.0], np.cumsum(w[flat])])
+        z = (s[hi] - s[lo]) / np.maximum(hi - lo, 1)
+        top = np.lexsort((z, doc))[bounds[1:] - 1]
+        other = bounds[:-1] + (rng.random(len(parts)) * np.diff(bounds)).astype(np.int64)
+        chosen = np.concatenate([top, other[labels == 0]])
         for _ in range(epochs):
             for chunk in np.array_split(rng.permutation(chosen), max(1, len(chosen) // 128)):
                 step(chunk)
     return Model((e @ (v[:, 1] - v[:, 0])).astype(np.float32), float(c[1] - c[0]))
 
 
-def _word_logits(e, v, at, first) -> np.ndarray:
-    s = np.concatenate([[0.0], np.cumsum((e @ (v[:, 1] - v[:, 0]))[at].astype(np.float64))])
+def fit_held(texts: list[str], labels: list[int], seed: int = 1) -> Model:
+    """A fit whose bias is lowered as far as one without a third of the texts needs it to report a share of ALARMS of that third's clean ones at most."""
+    model, apart, labels = fit(texts, labels, seed=seed), np.random.default_rng(seed).random(len(texts)) < 1 / 3, np.array(labels)
+    clean = np.flatnonzero(apart & (labels == 0))
+    if not len(clean) or len(set(labels[~apart].tolist())) < 2:
+        return model
+    other, seen = fit([t for t, out in zip(texts, apart) if not out], labels[~apart].tolist(), seed=seed), Ids()
+    parts = [bag(texts[k], seen) for k in clean]
+    z = np.quantile(np.maximum(other.heights(parts, list(seen)), -1e9), 1 - ALARMS)
+    return Model(model.logits, model.bias - max(0.0, float(z) - float(np.log(THRESHOLD / (1 - THRESHOLD)))))
+
+
+def _of_words(buckets: np.ndarray, at, first) -> np.ndarray:
+    """Means of the buckets' values over the words."""
+    s = np.concatenate([[0.0], np.cumsum(buckets[at].astype(np.float64))])
     return (s[first[1:]] - s[first[:-1]]) / np.maximum(np.diff(first), 1)
 
 
@@ -144,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     rows = sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect())
     texts, marks = [r["text"] for r in rows], [r["toxic"] for r in rows]
     del rows
-    model = fit(texts, marks)
+    model = fit_held(texts, marks)
     release()
     return model
 

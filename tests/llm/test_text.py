@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -14,7 +15,7 @@ import tiktoken
 import tokenizers
 from pyspark.sql import functions as F
 
-from kinloom.llm import ann, bpe, langid, lm, packing, quality, secrets, toxicity
+from kinloom.llm import ann, bpe, grams, langid, lm, packing, quality, secrets, toxicity
 from kinloom.llm.common import tokens
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, spans int, score int, ids string"
@@ -283,3 +284,107 @@ def test_hnsw_recall_in_a_full_shard(clusters):
     want = np.argpartition(-s, 19, axis=1)[:, :20]
     near = [sorted((i for i in own.tolist() if i not in (-1, k)), key=lambda i: -s[j, i])[:20] for j, (k, own) in enumerate(zip(q, found))]
     assert sum(len({*a} & {*b}) for a, b in zip(near, want.tolist())) >= 0.95 * 20 * len(q)
+
+
+def test_gradients_and_scores_of_toxicity_by_hand():
+    rng = np.random.default_rng(3)
+    e, v, c = rng.normal(size=(6, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)
+    f, of, share, y = np.array([0, 1, 1, 5, 2, 0]), np.array([0, 0, 1, 1, 2, 2]), np.array([0.5, 0.5, 0.25, 0.75, 1.0, 1.0], np.float32), np.array([1, 0, 1])
+
+    def loss(e, v, c):
+        x = np.zeros((3, 4))
+        for a, b, w in zip(f, of, share):
+            x[b] += w * e[a]
+        p = np.exp(x @ v + c)
+        return -np.log((p / p.sum(1, keepdims=True))[np.arange(3), y]).mean()
+
+    got, used, ge, gv, gc = toxicity.gradients(e, v, c, f, of, share, y)
+    assert abs(got - loss(e, v, c)) < 1e-5 and used.tolist() == [0, 1, 2, 5]
+    for x, g, rows in ((e, ge, used), (v, gv, range(4)), (c, gc, range(2))):
+        for i, row in enumerate(rows):
+            for j in np.ndindex(x[row].shape):
+                step = np.zeros_like(x)
+                step[(row, *j)] = 1e-5
+                up, down = (loss(*[a + s * step if a is x else a for a in (e, v, c)]) for s in (1, -1))
+                assert abs((up - down) / 2e-5 - g[(i, *j)]) < 1e-3
+    words, model = [b"ab", b"abcdef", b"x"], toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.3)
+    each = []
+    for w in words:
+        at, of = grams.hashed([w], toxicity.SIZES, toxicity.BUCKETS)
+        each.append(model.logits[at].mean())
+    z = max(np.mean(each[a : a + toxicity.WINDOW]) for a in range(0, max(1, 3 - toxicity.WINDOW + 1), toxicity.STEP)) + 0.3
+    assert abs(model.score([np.array([0, 1, 2]), np.zeros(0, int)], words)[0] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_toxic_words_are_told_from_rare_ones():
+    """Held-out texts of invented words: those with one of five words that training has, or such a stem with another ending, are found."""
+    rnd = random.Random(8)
+    part = lambda: "".join(rnd.choice("abdeghilnorstu") for _ in range(rnd.randint(2, 4)))
+    bad = ["zulwog", "krampist", "fovvel", "quexil", "brontap"]
+
+    def text(toxic):
+        words = [part() + part() for _ in range(rnd.randint(30, 120))]
+        if toxic:
+            for _ in range(3):
+                words.insert(rnd.randrange(len(words)), rnd.choice(bad) + (part() if rnd.random() < 0.3 else ""))
+        return " ".join(words)
+
+    rows = [(text(i % 5 == 0), int(i % 5 == 0)) for i in range(600)]
+    model = toxicity.fit_held([t for t, _ in rows[:400]], [y for _, y in rows[:400]])
+    seen = toxicity.Ids()
+    parts = [toxicity.bag(t, seen) for t, _ in rows[400:]]
+    told = np.array(model.score(parts, list(seen))) >= toxicity.THRESHOLD
+    y = np.array([y for _, y in rows[400:]]) == 1
+    assert told[y].mean() >= 0.85 and told[~y].mean() <= 0.05
+
+
+def test_identifiers_are_no_secrets_and_random_strings_are():
+    rnd, novelty = random.Random(6), secrets.Novelty()
+    known = (
+        "user auth token access refresh client server session request response handler manager provider factory service config settings database connection password reset login account profile payment order customer "
+        "product inventory email message queue worker cache storage environment production default timeout policy parser encoder decoder middleware controller repository"
+    ).split()
+    names = ["ThisIsAVeryLongCamelCaseIdentifierName", "user_authentication_token_provider", "internationalization-localization", "getAuthenticationCredentialsFromEnvironment"]
+    while len(names) < 200:
+        w = rnd.sample(known, rnd.choice([3, 4]))
+        name = rnd.choice(["_".join(w), "-".join(w), w[0] + "".join(x.title() for x in w[1:]), "_".join(w).upper()])
+        names += [name] if len(name) >= secrets.LEAST else []
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rnd.choice(alphabet) for _ in range((20, 32, 40)[i % 3])) for i in range(200)]
+    for before, after in (("password ", ""), ("def f():\n    # bearer ", " of the server\n    return 1\n"), ("Ernt thanedble credential ", " the anea thion.")):
+        hit = lambda x: any(k == "novel" for k, _, _ in secrets.find(before + x + after, novelty))  # noqa: E731, B023
+        assert not [x for x in names if hit(x)] and not [x for x in keys if not hit(x)]
+
+
+def test_languages_of_long_texts_only(spark):
+    rows = [(i, ("the quick fox and " if i % 2 else "der schnelle fuchs und ") * 2000, "en" if i % 2 else "de") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, chars=500)
+    assert sorted(model.langs) == ["de", "en"]
+    assert model.predict(["und der fuchs", "the fox and"])[0] == ["de", "en"]
+
+
+def test_vectors_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 8))
+    x[3] *= 1e39
+    x[4] *= 1e200
+    x[5] *= -1e200
+    x[6] *= 1e-200
+    x[7] = 0
+    x[7, 0] = 5e-324
+    x[20] *= 1e200  # a query, whose products overflow
+    x[40] *= 1e-310
+    x[600:] *= 10.0 ** rng.integers(-30, 30, 100)[:, None]
+    df = ann.valid(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = {}
+    for r in sorted(ann.search(ann.index(df), df.filter("vec_id % 20 = 0")).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 700, 20)) and all(len(v) == 20 for v in got.values())
+    hits = 0
+    for q, found in got.items():
+        s = ann.products(x, x[q])
+        best = [i for i in np.lexsort((np.arange(700), -s)).tolist() if i != q][:20]
+        hits += len(set(best) & {i for i, _ in found})
+        assert all(v == s[i] for i, v in found) and not any(np.isnan(v) for _, v in found)
+    assert hits >= 0.95 * 20 * len(got)
