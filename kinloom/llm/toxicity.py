@@ -65,12 +65,16 @@ class Model:
         return [1 / (1 + np.exp(-z)) if z > -700 else 0.0 for z in self.heights(parts, words)]
 
 
-def support(at: np.ndarray, first: np.ndarray, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many texts of either class have each bucket. at, first: buckets of each word; flat, sizes: words of each text."""
-    n = first[flat + 1] - first[flat]
-    text = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n)
-    pairs = np.unique(text.astype(np.int64) * BUCKETS + at[np.repeat(first[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-    seen = [np.bincount(pairs[labels[pairs // BUCKETS] == y] % BUCKETS, minlength=BUCKETS) for y in (0, 1)]
+def support(at: np.ndarray, first: np.ndarray, parts: list[np.ndarray], labels: np.ndarray, step: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """How many clean and toxic texts have each bucket, a few texts at a time. at, first: buckets of each word; parts: words of each text."""
+    seen = np.zeros((2, BUCKETS), np.int64)
+    for k in range(0, len(parts), step):
+        w = np.concatenate(parts[k : k + step])
+        n = first[w + 1] - first[w]
+        text = np.repeat(np.repeat(np.arange(k, k + len(parts[k : k + step])), [len(p) for p in parts[k : k + step]]), n)
+        pairs = np.unique(text * BUCKETS + at[np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        for y in (0, 1):
+            seen[y] += np.bincount(pairs[labels[pairs // BUCKETS] == y] % BUCKETS, minlength=BUCKETS)
     return seen[0], seen[1]
 
 
@@ -121,7 +125,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, epochs: int =
         base += len(p)
     doc, lo, hi = map(np.concatenate, (doc, lo, hi))
     bounds = np.searchsorted(doc, np.arange(len(parts) + 1))
-    clean, toxic = support(at, first, flat, np.array([len(p) for p in parts]), labels)
+    clean, toxic = support(at, first, parts, labels)
     known = clean + toxic >= LEAST
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32) * known[:, None]
     v = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
