@@ -83,9 +83,26 @@ def sliding(calls: DataFrame) -> DataFrame:
     return calls.groupBy(w.alias("w"), "source").agg(F.count(F.lit(1)).alias("calls")).select(F.unix_seconds("w.start").alias("start_s"), "source", "calls")
 
 
-def sessions(calls: DataFrame) -> DataFrame:
-    w = F.session_window(F.col("created_at").cast("timestamp"), "10 minutes")
-    return calls.groupBy(w.alias("w"), "source").agg(F.count(F.lit(1)).alias("calls")).select(F.unix_micros("w.start").alias("start_us"), "source", "calls")
+def sessions(calls: DataFrame, minutes: int = 10, bucket_minutes: int = 60) -> DataFrame:
+    """(start_us, source, calls): runs of a source's calls with gaps under so many minutes. Calls without a time belong to none.
+
+    Islands are found within time buckets (no shorter than the gap), so a source is many tasks' work; only those that reach so near to a bucket's edge that they may go on beyond it,
+    two a bucket at most, are stitched in a second pass by source.
+    """
+    gap, size = minutes * 60_000_000, max(minutes, bucket_minutes) * 60_000_000
+
+    def islands(df: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("start", "end")
+        new = F.coalesce((F.col("start") - F.lag("end").over(w) >= gap).cast("int"), F.lit(1))
+        n = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumn("new", new).withColumn("n", n).groupBy(*keys, "n").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("calls").alias("calls")).drop("n")
+
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    each = calls.select("source", at.alias("start"), at.alias("end"), F.lit(1).alias("calls")).filter("start IS NOT NULL").withColumn("bucket", F.floor(F.col("start") / size))
+    within = islands(each, "source", "bucket")
+    edge = (F.col("start") - F.col("bucket") * size < gap) | ((F.col("bucket") + 1) * size - F.col("end") < gap)
+    whole = within.filter(~edge).select("source", "start", "calls").unionByName(islands(within.filter(edge), "source").select("source", "start", "calls"))
+    return whole.select(F.col("start").alias("start_us"), "source", "calls")
 
 
 def error_kind(status: Column) -> Column:
