@@ -253,4 +253,4 @@ def html_escape(c: Column) -> Column:
 
 def safe_message(c: Column) -> Column:
     """A failure's message, 300 characters of it at most; one that may tell secrets is replaced."""
-    return let(F.trim(c), lambda m: F.when(m.rlike(f"(?i){policy.SENSITIVE_MESSAGE}"), "Exception message omitted because it may contain sensitive data.").otherwise(F.substring(m, 1, 300)))
+    return let(F.trim(c), lambda m: F.when(m.rlike(f"(?i){policy.SENSITIVE_MESSAGE}"), "Message left out: it might hold private data.").otherwise(F.substring(m, 1, 300)))

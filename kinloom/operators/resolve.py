@@ -210,7 +210,7 @@ def _said(*parts: tuple[Column | None, Column]) -> Column:
 
 
 def _scored(groups: str, none: str) -> Column:
-    listed = F.concat(F.lit("Applied independent evidence groups: "), F.array_join(groups, ", "), F.lit("."))
+    listed = F.concat(F.lit("Counted groups of evidence: "), F.array_join(groups, ", "), F.lit("."))
     return F.when(F.size(groups) > 0, listed).otherwise(none)
 
 
@@ -222,11 +222,11 @@ def account_explanations(accounts: DataFrame, scores: DataFrame, limits: policy.
     """(run_id, account_key, explanation): a score in sentences."""
     s = scores.join(accounts.select("run_id", "account_key", "source"), ["run_id", "account_key"])
     return s.select("run_id", "account_key", _said(
-        (None, F.concat(F.lit("Account "), F.col("account_key"), F.lit(" scored "), _two(F.col("confidence")), F.lit(" against the request."))),
-        (None, _scored("groups", "No direct request evidence was applied.")),
-        ((F.size("groups") > 0) & (F.size("strong_groups") == 0), F.lit("Only weak identity signals were applied; classifier should avoid auto-match from this alone.")),
-        (F.col("source") == "hackernews", F.lit("Hacker News evidence is conservative because HN profiles are sparse.")),
-        (F.col("positive") > dec(limits.confidence_cap), F.lit(f"Positive score exceeded the confidence cap and was capped at {limits.confidence_cap}.")),
+        (None, F.concat(F.lit("Account "), F.col("account_key"), F.lit(" scored "), _two(F.col("confidence")), F.lit(" for the request."))),
+        (None, _scored("groups", "The request itself supports nothing.")),
+        ((F.size("groups") > 0) & (F.size("strong_groups") == 0), F.lit("All that counts is weak, which is too little for a match by itself.")),
+        (F.col("source") == "hackernews", F.lit("Profiles of this platform say little, so their evidence is taken with care.")),
+        (F.col("positive") > dec(limits.confidence_cap), F.lit(f"The sum was more than may count and is held at {limits.confidence_cap}.")),
     ).alias("explanation"))
 
 
@@ -234,12 +234,12 @@ def pair_explanations(scores: DataFrame, limits: policy.Policy = policy.DEFAULT)
     """(run_id, pair_key, hn_requires_strong, explanation): a score in sentences, and whether it takes strong evidence as one side is sparse."""
     return scores.select("run_id", "pair_key", (F.col("hn") & F.col("weak_only")).alias("hn_requires_strong"), _said(
         (None, F.concat(F.lit("Account pair "), F.col("pair_key"), F.lit(" scored "), _two(F.col("confidence")), F.lit("."))),
-        (None, _scored("groups", "No positive account-pair evidence was applied.")),
-        (F.col("penalty") < 0, F.concat(F.lit("Conflict penalties reduced the score by "), _two(F.abs("penalty")), F.lit("."))),
-        (F.size("strong_groups") > 0, F.concat(F.lit("Strong connection groups present: "), F.array_join("strong_groups", ", "), F.lit("."))),
-        (F.col("weak_only"), F.lit("Only weak pair signals were applied; classifier should avoid auto-match from this alone.")),
-        (F.col("hn"), F.lit("Pair involves Hacker News or HN-derived evidence; classifier should require stronger corroboration.")),
-        (F.col("positive") + F.col("penalty") > dec(limits.confidence_cap), F.lit(f"Positive score exceeded the confidence cap and was capped at {limits.confidence_cap}.")),
+        (None, _scored("groups", "Nothing links the two accounts.")),
+        (F.col("penalty") < 0, F.concat(F.lit("Conflicts took off "), _two(F.abs("penalty")), F.lit("."))),
+        (F.size("strong_groups") > 0, F.concat(F.lit("Strong groups among them: "), F.array_join("strong_groups", ", "), F.lit("."))),
+        (F.col("weak_only"), F.lit("All links are weak, which is too little for a match by themselves.")),
+        (F.col("hn"), F.lit("One of the two profiles says little, so more support is needed.")),
+        (F.col("positive") + F.col("penalty") > dec(limits.confidence_cap), F.lit(f"The sum was more than may count and is held at {limits.confidence_cap}.")),
     ).alias("explanation"))
 
 

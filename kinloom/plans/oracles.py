@@ -164,8 +164,8 @@ URL_N = """(SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS s, regexp_
 #: The entities that pages have.
 UNESCAPED = "replace(replace(replace(replace({x}, '&quot;', chr(34)), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&')"
 SPACED = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
-LISTED = "CASE WHEN len(groups) > 0 THEN 'Applied independent evidence groups: ' || array_to_string(groups, ', ') || '.' ELSE '{none}' END"
-CAPPED = "CASE WHEN {x} > 0.97 THEN 'Positive score exceeded the confidence cap and was capped at 0.97.' END"
+LISTED = "CASE WHEN len(groups) > 0 THEN 'Counted groups of evidence: ' || array_to_string(groups, ', ') || '.' ELSE '{none}' END"
+CAPPED = "CASE WHEN {x} > 0.97 THEN 'The sum was more than may count and is held at 0.97.' END"
 WEAK = "(SELECT y = '' OR y IN {w} OR (regexp_matches(y, '^(hi|hello)[ ,]') AND contains(y, ' ') AND (regexp_replace(y, '^[^ ]+ ', '') IN {w} OR regexp_matches(regexp_replace(y, '^[^ ]+ ', ''), '^i(.m| am) a developer'))) OR regexp_matches(y, '^welcome( to|!)') FROM (SELECT trim(lower({x}), ' ,.!?') AS y))"
 ORACLES = {
     "health_profile_metrics": f"WITH {RUNS} SELECT count(*) AS total_runs, count(*) FILTER (status = 'resolved') AS resolved_runs, count(*) FILTER (status = 'partial') AS partial_runs, count(*) FILTER (status = 'failed') AS failed_runs, coalesce(avg(duration_ms) FILTER (status IN ('resolved', 'partial')), 0.0) AS avg_duration_ms FROM runs",
@@ -242,20 +242,20 @@ ORACLES = {
 
 _weak = lambda x: WEAK.format(x=x, w=_list(policy.WEAK_HEADLINES))
 ORACLES |= {
-    "account_explanations": f"WITH {SCORES} SELECT run_id, account_key, concat_ws(' ', 'Account ' || account_key || ' scored ' || printf('%.2f', confidence::double) || ' against the request.', {LISTED.format(none='No direct request evidence was applied.')}, CASE WHEN len(groups) > 0 AND len(strong_groups) = 0 THEN 'Only weak identity signals were applied; classifier should avoid auto-match from this alone.' END, CASE WHEN starts_with(account_key, 'hackernews:') THEN 'Hacker News evidence is conservative because HN profiles are sparse.' END, {CAPPED.format(x='positive')}) AS explanation FROM ascore",
-    "pair_explanations": f"WITH {SCORES} SELECT run_id, pair_key, hn AND weak_only AS hn_requires_strong, concat_ws(' ', 'Account pair ' || pair_key || ' scored ' || printf('%.2f', confidence::double) || '.', {LISTED.format(none='No positive account-pair evidence was applied.')}, CASE WHEN penalty < 0 THEN 'Conflict penalties reduced the score by ' || printf('%.2f', abs(penalty)::double) || '.' END, CASE WHEN len(strong_groups) > 0 THEN 'Strong connection groups present: ' || array_to_string(strong_groups, ', ') || '.' END, CASE WHEN weak_only THEN 'Only weak pair signals were applied; classifier should avoid auto-match from this alone.' END, CASE WHEN hn THEN 'Pair involves Hacker News or HN-derived evidence; classifier should require stronger corroboration.' END, {CAPPED.format(x='positive + penalty')}) AS explanation FROM ps",
+    "account_explanations": f"WITH {SCORES} SELECT run_id, account_key, concat_ws(' ', 'Account ' || account_key || ' scored ' || printf('%.2f', confidence::double) || ' for the request.', {LISTED.format(none='The request itself supports nothing.')}, CASE WHEN len(groups) > 0 AND len(strong_groups) = 0 THEN 'All that counts is weak, which is too little for a match by itself.' END, CASE WHEN starts_with(account_key, 'hackernews:') THEN 'Profiles of this platform say little, so their evidence is taken with care.' END, {CAPPED.format(x='positive')}) AS explanation FROM ascore",
+    "pair_explanations": f"WITH {SCORES} SELECT run_id, pair_key, hn AND weak_only AS hn_requires_strong, concat_ws(' ', 'Account pair ' || pair_key || ' scored ' || printf('%.2f', confidence::double) || '.', {LISTED.format(none='Nothing links the two accounts.')}, CASE WHEN penalty < 0 THEN 'Conflicts took off ' || printf('%.2f', abs(penalty)::double) || '.' END, CASE WHEN len(strong_groups) > 0 THEN 'Strong groups among them: ' || array_to_string(strong_groups, ', ') || '.' END, CASE WHEN weak_only THEN 'All links are weak, which is too little for a match by themselves.' END, CASE WHEN hn THEN 'One of the two profiles says little, so more support is needed.' END, {CAPPED.format(x='positive + penalty')}) AS explanation FROM ps",
     "evidence_of_links": f"WITH {DECIDED} SELECT e.run_id, e.account_key, e.other_key, l.relationship, e.signal, e.signal_group AS field_name, cast(e.weight AS double) AS weight, l.source AS source_a, split_part(e.other_key, ':', 1) AS source_b FROM ev e JOIN links l USING (run_id, account_key)",
     "conflict_sides": f"WITH {EVIDENCE}, s AS (SELECT *, 'source' AS side, lk AS account_key FROM cf UNION ALL SELECT *, 'target', rk FROM cf) SELECT run_id, conflict, basis, side, source, account_key, CASE basis WHEN 'name_conflict' THEN n_name WHEN 'website_conflict' THEN n_domain WHEN 'location_conflict' THEN n_location WHEN 'email_hash' THEN email_hash WHEN 'email_domain' THEN email_domain ELSE array_to_string(list_sort(n_topics), ',') END AS value FROM s JOIN norm USING (run_id, account_key)",
     "review_final_links": f"WITH {DECIDED}, n AS (SELECT *, cast(split_part(account_key, ':', 2) AS bigint) AS n, decision = 'needs_review' AND n % 7 <> 0 AND n % 5 < 4 AS told FROM links), s AS (SELECT *, CASE WHEN told AND n % 3 > 0 AND evidence_confidence <> 0 THEN evidence_confidence ELSE decision_confidence END AS sure, CASE WHEN told THEN CASE WHEN n % 5 < 2 THEN 'auto_match' ELSE 'reject' END ELSE decision END AS new FROM n) SELECT run_id, account_key, new AS decision, CASE WHEN told THEN CASE new WHEN 'reject' THEN 'rejected' ELSE 'secondary' END ELSE relationship END AS relationship, CASE WHEN told THEN CASE new WHEN 'reject' THEN 'rejected' ELSE 'likely_same_person' END ELSE verification END AS verification, cast(CASE WHEN new = 'auto_match' THEN greatest(sure, 0.85) ELSE sure END AS double) AS confidence FROM s",
     "review_counters": f"WITH e AS ({ORACLES['review_eligibility']}), n AS (SELECT *, cast(split_part(account_key, ':', 2) AS bigint) AS n, skip_reason IS NULL AS fine FROM e), by_reason AS (SELECT run_id, string_agg(x, ',' ORDER BY x) AS skipped FROM (SELECT run_id, skip_reason || ':' || count(*) AS x FROM n WHERE NOT fine GROUP BY run_id, skip_reason) GROUP BY run_id) SELECT run_id, count_if(fine)::bigint AS eligible, count_if(NOT fine)::bigint AS not_eligible, count_if(fine)::bigint AS attempted, count_if(fine AND n % 5 <> 0)::bigint AS succeeded, count_if(fine AND n % 5 = 0)::bigint AS failed, count_if(fine AND n % 5 <> 0 AND n % 3 = 0)::bigint AS promoted, count_if(fine AND n % 5 <> 0 AND n % 3 = 1)::bigint AS rejected, count_if(fine AND (n % 5 = 0 OR n % 3 = 2))::bigint AS kept, coalesce(any_value(skipped), '') AS skipped FROM n LEFT JOIN by_reason USING (run_id) GROUP BY run_id",
     "model_failure_kinds": f"WITH {CALLS} SELECT event_id, CASE WHEN coalesce(status_code, 0) IN (400, 401, 403, 404) OR (event_id % 11 <> 0 AND event_id % 7 = 0) THEN 'non_retryable' WHEN coalesce(status_code, 0) IN (429, 500, 502, 503, 504) OR event_id % 11 = 0 OR event_id % 5 = 0 OR event_id % 13 = 0 THEN 'retryable' ELSE 'failed' END AS kind FROM calls",
-    "safe_messages": f"SELECT conv_id, turn, sha256(coalesce(CASE WHEN regexp_matches(text, '{policy.SENSITIVE_MESSAGE}', 'i') THEN 'Exception message omitted because it may contain sensitive data.' ELSE left(trim(text), 300) END, '')) AS message_hash FROM conversations",
+    "safe_messages": f"SELECT conv_id, turn, sha256(coalesce(CASE WHEN regexp_matches(text, '{policy.SENSITIVE_MESSAGE}', 'i') THEN 'Message left out: it might hold private data.' ELSE left(trim(text), 300) END, '')) AS message_hash FROM conversations",
     "headlines": f"WITH g AS (SELECT p_partkey, {SPACED.format(x="CASE p_partkey % 7 WHEN 0 THEN 'Welcome to ' || p_name WHEN 1 THEN 'Hello, programmer!' WHEN 2 THEN p_name || '. ' || p_type WHEN 3 THEN repeat(p_name || ' ', 12) WHEN 4 THEN 'Software Developer.' ELSE p_name END")} AS c FROM part), f AS (SELECT *, trim(split_part(c, '.', 1)) AS s, rtrim(left(c, 117)) || '...' AS cut FROM g) SELECT p_partkey, CASE WHEN {_weak('s')} THEN NULL WHEN length(s) BETWEEN 12 AND 120 THEN s WHEN length(c) <= 120 AND NOT {_weak('c')} THEN c WHEN NOT {_weak('cut')} THEN cut END AS headline FROM f",
     "raw_record_warnings": f"""WITH {ACCOUNTS}, a AS (SELECT id, CASE WHEN id % 9 = 0 THEN 'elsewhere' ELSE source END AS source, source AS own, CASE WHEN id % 10 = 0 THEN 'raw:' || id ELSE 'id:' || id END AS grp, id % 6 = 0 AS bad, CASE k WHEN 0 THEN 'profile' ELSE 'user' END AS kind FROM linked)
-  SELECT source, 'raw:' || id AS account_group, kind AS record_type, 'Raw record has unsupported source and was skipped.' AS message FROM a WHERE source = 'elsewhere'
-  UNION ALL SELECT source, grp, kind, 'Raw record had no source_user_id or handle; grouped by raw record ID only.' FROM a WHERE source <> 'elsewhere' AND id % 10 = 0
-  UNION ALL SELECT source, grp, NULL, 'Raw record group could not be normalized because the primary profile/user record was missing or invalid.' FROM a WHERE source <> 'elsewhere' AND bad
-  UNION ALL SELECT source, grp, t, 'Account normalized without ' || t || ' raw record.' FROM (SELECT *, unnest(CASE own WHEN 'github' THEN ['repos'] WHEN 'stackoverflow' THEN ['answers', 'questions'] WHEN 'devto' THEN ['articles'] ELSE ['activity'] END) AS t FROM a WHERE source <> 'elsewhere' AND NOT bad) WHERE NOT (id % 5 = 1 AND t <> 'questions')""",
+  SELECT source, 'raw:' || id AS account_group, kind AS record_type, 'Skipped: a record of an unknown platform.' AS message FROM a WHERE source = 'elsewhere'
+  UNION ALL SELECT source, grp, kind, 'Neither user id nor handle, so the record stands alone.' FROM a WHERE source <> 'elsewhere' AND id % 10 = 0
+  UNION ALL SELECT source, grp, NULL, 'No account: its main record is missing or broken.' FROM a WHERE source <> 'elsewhere' AND bad
+  UNION ALL SELECT source, grp, t, 'Made without the record ' || t FROM (SELECT *, unnest(CASE own WHEN 'github' THEN ['repos'] WHEN 'stackoverflow' THEN ['answers', 'questions'] WHEN 'devto' THEN ['articles'] ELSE ['activity'] END) AS t FROM a WHERE source <> 'elsewhere' AND NOT bad) WHERE NOT (id % 5 = 1 AND t <> 'questions')""",
 }
 
 

@@ -138,17 +138,17 @@ def warnings(raw: DataFrame) -> DataFrame:
     a group's primary record may be missing or no JSON object; if it is fine, the records that go with it may be missing."""
     known = F.col("source").isin(*PRIMARY)
     none = F.lit(None).cast("string")
-    skipped = raw.filter(~F.coalesce(known, F.lit(False))).select("source", F.concat(F.lit("raw:"), F.col("id").cast("string")).alias("account_group"), "record_type", F.lit("Raw record has unsupported source and was skipped.").alias("message"))
+    skipped = raw.filter(~F.coalesce(known, F.lit(False))).select("source", F.concat(F.lit("raw:"), F.col("id").cast("string")).alias("account_group"), "record_type", F.lit("Skipped: a record of an unknown platform.").alias("message"))
     told = raw.filter(known)
-    alone = grouped(told).filter(F.col("account_group").startswith("raw:")).select("source", "account_group", "record_type", F.lit("Raw record had no source_user_id or handle; grouped by raw record ID only.").alias("message"))
+    alone = grouped(told).filter(F.col("account_group").startswith("raw:")).select("source", "account_group", "record_type", F.lit("Neither user id nor handle, so the record stands alone.").alias("message"))
     last = latest(told)
     valid = lambda s: F.get_json_object(F.col("payloads")[PRIMARY[s][0]], "$.items[0]" if s == "stackoverflow" else "$").startswith("{")
     fine = F.coalesce(*[F.when(F.col("source") == s, F.coalesce(valid(s), F.lit(False))) for s in PRIMARY])
     g = last.withColumn("fine", fine)
-    broken = g.filter("NOT fine").select("source", "account_group", none.alias("record_type"), F.lit("Raw record group could not be normalized because the primary profile/user record was missing or invalid.").alias("message"))
+    broken = g.filter("NOT fine").select("source", "account_group", none.alias("record_type"), F.lit("No account: its main record is missing or broken.").alias("message"))
     needs = F.coalesce(*[F.when(F.col("source") == s, F.array(*map(F.lit, kinds))) for s, kinds in policy.SECONDARY_RECORDS.items()])
     lacks = g.filter("fine").select("source", "account_group", F.explode(F.array_except(needs, F.map_keys("payloads"))).alias("record_type"))
-    lacks = lacks.withColumn("message", F.concat(F.lit("Account normalized without "), "record_type", F.lit(" raw record.")))
+    lacks = lacks.withColumn("message", F.concat(F.lit("Made without the record "), "record_type"))
     return skipped.unionByName(alone).unionByName(broken).unionByName(lacks)
 
 

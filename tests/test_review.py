@@ -45,8 +45,8 @@ def test_explanations(spark):
     scores = spark.createDataFrame([(1, "hackernews:x", 0.25, ["name"], [], 0.25), (1, "github:y", 0.97, ["email", "name"], ["email"], 1.1)], "run_id long, account_key string, confidence double, groups array<string>, strong_groups array<string>, positive double")
     own = scores.select("run_id", "account_key", F.substring_index("account_key", ":", 1).alias("source"))
     a, b = (r.explanation for r in resolve.account_explanations(own, scores).orderBy("account_key").collect())
-    assert a == ["Account github:y scored 0.97 against the request.", "Applied independent evidence groups: email, name.", "Positive score exceeded the confidence cap and was capped at 0.97."]
-    assert len(b) == 4 and b[-1].startswith("Hacker News")
+    assert a == ["Account github:y scored 0.97 for the request.", "Counted groups of evidence: email, name.", "The sum was more than may count and is held at 0.97."]
+    assert len(b) == 4 and b[-1].startswith("Profiles of this platform")
 
 
 def test_weak_texts(spark):
@@ -58,14 +58,14 @@ def test_weak_texts(spark):
 def test_html_and_messages(spark):
     df = spark.createDataFrame([("<p>a&amp;amp;b</p> c&nbsp;d", "bad API-Key"), (None, None), ("", " x" * 400)], "h string, m string")
     a, b, c = df.select(fuzzy.html_to_text(F.col("h")), text.safe_message(F.col("m"))).collect()
-    assert a[0] == "a&b c d" and a[1].startswith("Exception message omitted")
+    assert a[0] == "a&b c d" and a[1].startswith("Message left out")
     assert tuple(b) == (None, None) and c[0] is None and len(c[1]) == 300
 
 
 def test_warnings(spark):
     raw = spark.createDataFrame([(1, "github", "profile", "7", None, '{"id": 7}', 1), (2, "github", "repos", "8", None, "[]", 1), (3, "myspace", "profile", "9", None, "{}", 1), (4, "stackoverflow", "user", None, None, '{"items": []}', 1), (5, None, "user", "1", None, "{}", 1)], "id long, source string, record_type string, user_id string, handle string, payload string, fetched_at long")
-    out = [(s, g, t, m.split(" ")[2]) for s, g, t, m in rows(accounts.warnings(raw), "source", "account_group", "record_type")]
-    assert out == [(None, "raw:5", "user", "has"), ("github", "id:7", "repos", "without"), ("github", "id:8", None, "group"), ("myspace", "raw:3", "profile", "has"), ("stackoverflow", "raw:4", None, "group"), ("stackoverflow", "raw:4", "user", "had")]
+    out = [(s, g, t, m.split(" ")[0]) for s, g, t, m in rows(accounts.warnings(raw), "source", "account_group", "record_type")]
+    assert out == [(None, "raw:5", "user", "Skipped:"), ("github", "id:7", "repos", "Made"), ("github", "id:8", None, "No"), ("myspace", "raw:3", "profile", "Skipped:"), ("stackoverflow", "raw:4", None, "No"), ("stackoverflow", "raw:4", "user", "Neither")]
 
 
 def test_skill_terms(spark):
