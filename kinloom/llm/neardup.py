@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import Ids, as_rows, batches, checkpoint, flagged, mix64, split_by_filter, text_hash, tokens
+from .common import Ids, as_rows, batches, checkpoint, collect_garbage, flagged, mix64, split_by_filter, text_hash, tokens
 
 ROWS, BANDS = 6, 40
 #: Classes of a group that are tried one by one, and steps of the prefix filter of larger ones.
@@ -195,6 +195,21 @@ def rest_by_difference(group: DataFrame, items: DataFrame, percent: int) -> Data
     return x.join(y, ["p", "t", "level"]).filter("x <> y AND xc <> yc").select("x", "y").distinct()
 
 
+def further_pairs(tested: DataFrame, comp: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, p) of classes of one pivot's group that may be linked although they aren't in one component (node, root) yet.
+    A function of its own, as the files of its shuffles go with its variables."""
+    # what isn't linked to the pivot may be to another class of its group
+    at = tested.join(comp, tested["x"] == comp["node"], "left").select("x", "p", "linked", F.coalesce("root", "x").alias("comp"))
+    at = at.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int"))
+    size = at.groupBy("p", "part").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("unlinked")).groupBy("p").agg(F.sum("size").alias("size"), F.sum("unlinked").alias("unlinked"), F.collect_list("part").alias("parts")).filter("size > 1 AND unlinked > 0")
+    at = checkpoint(at.join(size.select("p", "size", F.explode("parts").alias("part")), ["p", "part"]).drop("part"))
+    small = at.filter(F.col("size") <= SMALL)
+    few = small.filter("NOT linked").select("p", "x", F.col("comp").alias("xc")).join(small.select("p", F.col("x").alias("y"), F.col("comp").alias("yc")), "p").filter("x <> y AND xc <> yc").select("x", "y")
+    many = rest_by_difference(at.filter(F.col("size") > SMALL).select("x", "p", "comp"), items, percent)
+    more = few.unionByName(many).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("p")).distinct()
+    return checkpoint(more)
+
+
 def groups(docs: DataFrame, words: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """The rows' (doc_id, hash, n, cls), and (cls, component_id, keeper) of the classes: the smallest id, and with it the smallest hash of a text."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -211,16 +226,9 @@ def groups(docs: DataFrame, words: int = 4, percent: int = 80) -> tuple[DataFram
     pairs = checkpoint(rows.join(first, "key").filter("cls <> p").select(F.col("cls").alias("x"), "p").distinct())
     tested = checkpoint(confirm(pairs, items, percent))
     comp = components.components(links_of(tested))
-    # what isn't linked to the pivot may be to another class of its group
-    at = tested.join(comp, tested["x"] == comp["node"], "left").select("x", "p", "linked", F.coalesce("root", "x").alias("comp"))
-    at = at.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int"))
-    size = at.groupBy("p", "part").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("unlinked")).groupBy("p").agg(F.sum("size").alias("size"), F.sum("unlinked").alias("unlinked"), F.collect_list("part").alias("parts")).filter("size > 1 AND unlinked > 0")
-    at = checkpoint(at.join(size.select("p", "size", F.explode("parts").alias("part")), ["p", "part"]).drop("part"))
-    small = at.filter(F.col("size") <= SMALL)
-    few = small.filter("NOT linked").select("p", "x", F.col("comp").alias("xc")).join(small.select("p", F.col("x").alias("y"), F.col("comp").alias("yc")), "p").filter("x <> y AND xc <> yc").select("x", "y")
-    many = rest_by_difference(at.filter(F.col("size") > SMALL).select("x", "p", "comp"), items, percent)
-    more = few.unionByName(many).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("p")).distinct()
-    found = links_of(confirm(checkpoint(more), items, percent))
+    more = further_pairs(tested, comp, items, percent)
+    collect_garbage(docs.sparkSession)
+    found = links_of(confirm(more, items, percent))
     comp = components.components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
     labelled = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("keeper"))
