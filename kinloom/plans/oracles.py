@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import policy
+from ..functions import text
 from ..operators.detail import WARNINGS
 from .derive import ACCOUNTS, CALLS, RUNS
 
@@ -343,3 +344,32 @@ ORACLES |= {
     CASE k WHEN 0 THEN {_json(_ACTIVITY[0])} WHEN 1 THEN {_json(_ACTIVITY[1])} WHEN 2 THEN {_json(_ACTIVITY[2])} ELSE {_json(_ACTIVITY[3])} END AS activity_payload, array_to_string(list_transform(range(CASE k WHEN 1 THEN 3 ELSE 2 END), lambda i: CAST(id * 4 + i AS VARCHAR)), ',') AS raw_record_ids
   FROM (SELECT * REPLACE (list_transform(t, lambda x: lower(x)) AS t) FROM b)""",
 }
+
+PACKETS = f"""{SCORES},
+pke AS (SELECT run_id, lk, rk, list({{'signal': signal, 'signal_group': signal_group, 'weight': weight::double, 'account_key': account_key}} ORDER BY weight DESC, signal, account_key)[1:20] AS evidence FROM pe GROUP BY ALL),
+pkc AS (SELECT run_id, lk, rk, list({{'conflict': conflict, 'basis': basis, 'severity': severity, 'penalty': penalty::double}} ORDER BY penalty, conflict, basis)[1:20] AS conflicts FROM cf GROUP BY ALL),
+packets AS (SELECT run_id, lk, rk, ps.confidence::double AS score, weak_only, groups[1:10] AS groups, strong_groups[1:10] AS strong_groups, blocking_types[1:10] AS blocking_types, coalesce(evidence, []) AS evidence, coalesce(pkc.conflicts, []) AS conflicts
+  FROM ps LEFT JOIN pke USING (run_id, lk, rk) LEFT JOIN pkc USING (run_id, lk, rk))"""
+_used = "list_concat(list_transform(evidence, lambda x: x.signal), list_transform(conflicts, lambda x: x.conflict))"
+ORACLES |= {
+    "evidence_packets": f"WITH {PACKETS} SELECT run_id, lk, rk, score, weak_only, {', '.join(f'{_json(c)} AS {c}' for c in ('groups', 'strong_groups', 'blocking_types', 'evidence', 'conflicts'))} FROM packets",
+    "verdict_breaches": f"""WITH {PACKETS},
+  q AS (SELECT run_id, lk, rk, list_distinct({_used}) AS allowed, (run_id * 3 + ascii(lk) + ascii(rk)) % 9 AS n FROM packets),
+  t AS (SELECT *, '"used_evidence_types": ' || to_json(allowed)::varchar || '}}' AS used, '{{"recommendation": "uncertain", "confidence": "low", ' AS head FROM q),
+  w AS (SELECT *, CASE n WHEN 0 THEN '  ' WHEN 1 THEN 'no verdict {{today' WHEN 2 THEN '[1, 2]' WHEN 3 THEN replace(head, 'uncertain', 'yes') || '"rationale": ["shared site"], ' || used
+    WHEN 4 THEN 'Here it is: ' || head || '"rationale": ["shared site"], ' || used || ' Bye.' WHEN 5 THEN head || '"rationale": ["shared site"], ' || replace(used, ']}}', ', "shoe_size"]}}')
+    WHEN 6 THEN head || '"rationale": ["A Verified Owner of both"], ' || used WHEN 7 THEN head || '"mood": 1, "rationale": ["shared site"], ' || used ELSE '{{"confidence": "high", "rationale": "one text", "used_evidence_types": ["same_website"]}}' END AS verdict FROM t),
+  j AS (SELECT *, CASE WHEN json_valid(verdict) THEN verdict WHEN json_valid(regexp_extract(verdict, '[{{].*[}}]', 0, 's')) THEN regexp_extract(verdict, '[{{].*[}}]', 0, 's') END AS js FROM w),
+  o AS (SELECT *, CASE WHEN trim(verdict) = '' THEN 'empty' WHEN js IS NULL THEN 'no_json' WHEN json_type(js) <> 'OBJECT' THEN 'no_object' ELSE 'object' END AS kind FROM j),
+  g AS (SELECT *, CASE WHEN kind = 'object' THEN js ELSE '{{}}' END AS obj FROM o),
+  f AS (SELECT *, list_filter(['confidence', 'rationale', 'recommendation', 'risk_flags', 'used_evidence_types'], lambda k: CASE k
+      WHEN 'recommendation' THEN coalesce(obj->>'$.recommendation', '') NOT IN ('likely_same_person', 'uncertain', 'likely_different_person') WHEN 'confidence' THEN coalesce(obj->>'$.confidence', '') NOT IN ('low', 'medium', 'high')
+      WHEN 'rationale' THEN coalesce(json_type(obj, '$.rationale') <> 'ARRAY' OR json_array_length(obj, '$.rationale') > 5, false) WHEN 'risk_flags' THEN coalesce(json_type(obj, '$.risk_flags') <> 'ARRAY' OR json_array_length(obj, '$.risk_flags') > 5, false)
+      ELSE coalesce(json_type(obj, '$.used_evidence_types') <> 'ARRAY' OR json_array_length(obj, '$.used_evidence_types') > 10, false) END) AS shape,
+    list_sort(list_filter(json_keys(obj), lambda k: k NOT IN ('confidence', 'rationale', 'recommendation', 'risk_flags', 'used_evidence_types'))) AS extra,
+    list_sort(list_filter(list_distinct(coalesce(from_json(obj->'$.used_evidence_types', '["VARCHAR"]'), [])), lambda k: NOT list_contains(allowed, k))) AS bad,
+    regexp_extract(lower(coalesce((obj->'$.rationale')::varchar, '')), '\\b({'|'.join(sorted(text.CLAIMS, key=len, reverse=True))})\\b', 1) AS claim FROM g)
+  SELECT run_id, lk, rk, kind AS breach, '' AS detail FROM f WHERE kind <> 'object' UNION ALL SELECT run_id, lk, rk, 'shape', array_to_string(shape, ',') FROM f WHERE kind = 'object' AND len(shape) > 0
+  UNION ALL SELECT run_id, lk, rk, 'unknown_field', array_to_string(extra, ',') FROM f WHERE len(extra) > 0 UNION ALL SELECT run_id, lk, rk, 'claim', claim FROM f WHERE kind = 'object' AND claim <> ''
+  UNION ALL SELECT run_id, lk, rk, 'unsupported_type', array_to_string(bad, ',') FROM f WHERE kind = 'object' AND len(bad) > 0""",
+}

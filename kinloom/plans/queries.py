@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text
-from ..operators import detail, discovery, golden, health, resolve, review
+from ..operators import detail, discovery, golden, health, packets, resolve, review
 from ..sources import accounts as sources
 from ..sources import bundles as sources_of
 from ..sources import store
@@ -645,3 +645,21 @@ def raw_record_warnings(spark, d):
     first = a.select("id", F.when(n % 9 == 0, "elsewhere").otherwise(F.col("source")).alias("source"), kind.alias("record_type"), F.when(n % 10 != 0, F.col("user_id")).alias("user_id"), F.lit(None).cast("string").alias("handle"), user.alias("payload"), n.alias("fetched_at"))
     more = a.filter((n % 5 == 1) & (n % 9 != 0)).select(n, "source", F.when(F.col("source") == "github", "repos").when(F.col("source") == "stackoverflow", "answers").when(F.col("source") == "devto", "articles").otherwise("activity").alias("record_type"), "user_id", F.lit(None).cast("string").alias("handle"), F.lit("[]").alias("payload"), n.alias("fetched_at"))
     return sources.warnings(first.unionByName(more))
+
+
+@query
+def evidence_packets(spark, d):
+    r = resolution(spark, d)
+    return _nested(packets.packets(r.pair_scores, r.evidence, r.conflicts))
+
+
+@query
+def verdict_breaches(spark, d):
+    r = resolution(spark, d)
+    made = cut(packets.packets(r.pair_scores, r.evidence, r.conflicts))
+    used = F.concat(F.lit('"used_evidence_types": '), F.to_json(packets.allowed_types(made)), F.lit("}"))
+    good = lambda more="", why="shared site": F.concat(F.lit('{"recommendation": "uncertain", "confidence": "low", ' + more + '"rationale": ["' + why + '"], '), used)
+    n = (F.col("run_id") * 3 + F.ascii(F.substring("lk", 1, 1)) + F.ascii(F.substring("rk", 1, 1))) % 9
+    verdict = F.when(n == 0, "  ").when(n == 1, "no verdict {today").when(n == 2, "[1, 2]").when(n == 3, F.replace(good(), F.lit("uncertain"), F.lit("yes"))).when(n == 4, F.concat(F.lit("Here it is: "), good(), F.lit(" Bye.")))
+    verdict = verdict.when(n == 5, F.replace(good(), F.lit("]}"), F.lit(', "shoe_size"]}'))).when(n == 6, good(why="A Verified Owner of both")).when(n == 7, good('"mood": 1, ')).when(n == 8, '{"confidence": "high", "rationale": "one text", "used_evidence_types": ["same_website"]}')
+    return packets.breaches(made.select(*packets.PAIR, verdict.alias("verdict")), made)
