@@ -373,3 +373,4 @@ ORACLES |= {
   UNION ALL SELECT run_id, lk, rk, 'unknown_field', array_to_string(extra, ',') FROM f WHERE len(extra) > 0 UNION ALL SELECT run_id, lk, rk, 'claim', claim FROM f WHERE kind = 'object' AND claim <> ''
   UNION ALL SELECT run_id, lk, rk, 'unsupported_type', array_to_string(bad, ',') FROM f WHERE kind = 'object' AND len(bad) > 0""",
 }
+ORACLES["stream_upsert"] = "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..operators import detail, discovery, golden, health, packets, resolve, rev
 from ..sources import accounts as sources
 from ..sources import bundles as sources_of
 from ..sources import store
-from ..streaming import metrics
+from ..streaming import merge, metrics
 from . import derive
 
 
@@ -663,3 +664,13 @@ def verdict_breaches(spark, d):
     verdict = F.when(n == 0, "  ").when(n == 1, "no verdict {today").when(n == 2, "[1, 2]").when(n == 3, F.replace(good(), F.lit("uncertain"), F.lit("yes"))).when(n == 4, F.concat(F.lit("Here it is: "), good(), F.lit(" Bye.")))
     verdict = verdict.when(n == 5, F.replace(good(), F.lit("]}"), F.lit(', "shoe_size"]}'))).when(n == 6, good(why="A Verified Owner of both")).when(n == 7, good('"mood": 1, ')).when(n == 8, '{"confidence": "high", "rationale": "one text", "used_evidence_types": ["same_website"]}')
     return packets.breaches(made.select(*packets.PAIR, verdict.alias("verdict")), made)
+
+
+@query
+def stream_upsert(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    folder, buckets = f"{store.shared_folder(spark)}/upsert-{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e.repartitionByRange(4, "event_id").write.parquet(f"{folder}/in")
+    merge.start(e.limit(0), f"{folder}/users", ["user_id"], ["event_id"], buckets)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return merge.run(stream, f"{folder}/users", ["user_id"], ["event_id"], buckets)
