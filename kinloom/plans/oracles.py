@@ -374,3 +374,4 @@ ORACLES |= {
   UNION ALL SELECT run_id, lk, rk, 'unsupported_type', array_to_string(bad, ',') FROM f WHERE kind = 'object' AND len(bad) > 0""",
 }
 ORACLES["stream_upsert"] = "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+ORACLES["replaced_runs"] = f"WITH {DECIDED} SELECT run_id, account_key, CASE WHEN run_id % 5 = 0 THEN 'again_' || relationship ELSE relationship END AS relationship, decision_confidence::double AS confidence FROM links WHERE run_id % 5 > 0 OR run_id % 3 > 0"

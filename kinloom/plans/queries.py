@@ -674,3 +674,15 @@ def stream_upsert(spark, d):
     merge.start(e.limit(0), f"{folder}/users", ["user_id"], ["event_id"], buckets)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     return merge.run(stream, f"{folder}/users", ["user_id"], ["event_id"], buckets)
+
+
+@query
+def replaced_runs(spark, d):
+    r = resolution(spark, d)
+    links = cut(r.links.select("run_id", "account_key", "relationship", "confidence"))
+    path, buckets = f"{store.shared_folder(spark)}/links-{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    merge.start(links, path, ["run_id"], [], buckets)
+    again = links.filter("run_id % 5 = 0 AND run_id % 3 > 0").withColumn("relationship", F.concat(F.lit("again_"), "relationship"))
+    for _ in range(2):  # a second try changes nothing
+        merge.replace(again, links.filter("run_id % 5 = 0").select("run_id"), 0, path, buckets)
+    return _num(merge.state(spark, path, links.schema).drop("bucket"))

@@ -33,3 +33,17 @@ def test_a_stream_gives_what_one_batch_gives(spark, tmp_path):
         got = merge.run(stream, str(tmp_path / "t"), ["k"], ["version"], 4)
         assert {(r.k, r.version) for r in got.collect()} == {(k, max(i for i in range(400) if i % 37 == k)) for k in range(37)} and got.count() == 37
     assert merge.changes(spark, str(tmp_path / "t")).select("batch").distinct().count() == 3
+
+
+def test_owners_rows_are_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    owners = spark.createDataFrame([(1,), (2,), (4,), (None,), (1,)], "k long")
+    merge.start(rows((1, "a"), (1, "b"), (2, "c"), (3, "d"), (3, "d"), (None, "e")), path, ["k"], [], 2)
+    for _ in range(2):
+        merge.replace(rows((1, "x"), (1, "x"), (4, "y"), (3, "not its own"), (None, "z")), owners, 0, path, 2)
+        got = sorted(map(repr, (tuple(r) for r in merge.state(spark, path, rows().schema).drop("bucket").collect())))
+        assert got == sorted(map(repr, [(1, "x"), (1, "x"), (3, "d"), (3, "d"), (4, "y"), (None, "z")]))
+    merge.replace(rows(), spark.createDataFrame([(1,), (3,), (4,), (None,)], "k long"), 1, path, 2)  # nothing is left
+    assert merge.state(spark, path, rows().schema).count() == 0
+    assert merge.state(spark, path, rows().schema, 1).count() == 6

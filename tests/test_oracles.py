@@ -20,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["health_api_calls", "rolling_rate_window", "session_activity", "stream_watermark_counts", "url_normalize", "html_to_text", "keyword_topics_topk", "candidate_caps", "pair_scores", "evidence_packets", "verdict_breaches", "stream_upsert", "classify_decisions", "canonical_profile", "review_eligibility", "retry_policy", "headlines", "review_final_links", "raw_record_warnings", "conflict_sides", "handle_indel_similarity", "name_compatibility", "similar_handles", "profile_link_graph", "profile_full_read", "profile_detail", "bundle_raw_records", "normalize_raw_accounts"])
+@pytest.mark.parametrize("name", ["health_api_calls", "rolling_rate_window", "session_activity", "stream_watermark_counts", "url_normalize", "html_to_text", "keyword_topics_topk", "candidate_caps", "pair_scores", "evidence_packets", "verdict_breaches", "stream_upsert", "replaced_runs", "classify_decisions", "canonical_profile", "review_eligibility", "retry_policy", "headlines", "review_final_links", "raw_record_warnings", "conflict_sides", "handle_indel_similarity", "name_compatibility", "similar_handles", "profile_link_graph", "profile_full_read", "profile_detail", "bundle_raw_records", "normalize_raw_accounts"])
 def test_query_matches_sql(spark, duck, name):
     df, sql = QUERIES[name](spark, DATA), duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(sql.columns)
