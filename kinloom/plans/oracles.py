@@ -354,7 +354,7 @@ _used = "list_concat(list_transform(evidence, lambda x: x.signal), list_transfor
 ORACLES |= {
     "evidence_packets": f"WITH {PACKETS} SELECT run_id, lk, rk, score, weak_only, {', '.join(f'{_json(c)} AS {c}' for c in ('groups', 'strong_groups', 'blocking_types', 'evidence', 'conflicts'))} FROM packets",
     "verdict_breaches": f"""WITH {PACKETS},
-  q AS (SELECT run_id, lk, rk, list_distinct({_used}) AS allowed, (run_id * 3 + ascii(lk) + ascii(rk)) % 9 AS n FROM packets),
+  q AS (SELECT run_id, lk, rk, list_distinct({_used}) AS allowed, (run_id * 4 + ascii(lk) + ascii(rk)) % 9 AS n FROM packets),
   t AS (SELECT *, '"used_evidence_types": ' || to_json(allowed)::varchar || '}}' AS used, '{{"recommendation": "uncertain", "confidence": "low", ' AS head FROM q),
   w AS (SELECT *, CASE n WHEN 0 THEN '  ' WHEN 1 THEN 'no verdict {{today' WHEN 2 THEN '[1, 2]' WHEN 3 THEN replace(head, 'uncertain', 'yes') || '"rationale": ["shared site"], ' || used
     WHEN 4 THEN 'Here it is: ' || head || '"rationale": ["shared site"], ' || used || ' Bye.' WHEN 5 THEN head || '"rationale": ["shared site"], ' || replace(used, ']}}', ', "shoe_size"]}}')

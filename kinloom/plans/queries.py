@@ -660,7 +660,7 @@ def verdict_breaches(spark, d):
     made = cut(packets.packets(r.pair_scores, r.evidence, r.conflicts))
     used = F.concat(F.lit('"used_evidence_types": '), F.to_json(packets.allowed_types(made)), F.lit("}"))
     good = lambda more="", why="shared site": F.concat(F.lit('{"recommendation": "uncertain", "confidence": "low", ' + more + '"rationale": ["' + why + '"], '), used)
-    n = (F.col("run_id") * 3 + F.ascii(F.substring("lk", 1, 1)) + F.ascii(F.substring("rk", 1, 1))) % 9
+    n = (F.col("run_id") * 4 + F.ascii(F.substring("lk", 1, 1)) + F.ascii(F.substring("rk", 1, 1))) % 9
     verdict = F.when(n == 0, "  ").when(n == 1, "no verdict {today").when(n == 2, "[1, 2]").when(n == 3, F.replace(good(), F.lit("uncertain"), F.lit("yes"))).when(n == 4, F.concat(F.lit("Here it is: "), good(), F.lit(" Bye.")))
     verdict = verdict.when(n == 5, F.replace(good(), F.lit("]}"), F.lit(', "shoe_size"]}'))).when(n == 6, good(why="A Verified Owner of both")).when(n == 7, good('"mood": 1, ')).when(n == 8, '{"confidence": "high", "rationale": "one text", "used_evidence_types": ["same_website"]}')
     return packets.breaches(made.select(*packets.PAIR, verdict.alias("verdict")), made)
