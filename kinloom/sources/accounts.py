@@ -21,18 +21,26 @@ HITS = "struct<hits:array<struct<objectID:string,title:string,story_title:string
 COLUMNS = ("source", "user_id", "handle", "display_name", "bio", "location", "website_url", "profile_url", "avatar_url", "topics", "outbound_links", "activity_payload", "raw_record_ids")
 
 
+def runs_of(rows: DataFrame) -> list[str]:
+    """The columns that tell apart requests, whose accounts are never put together: run_id, if the rows have it."""
+    return [c for c in rows.columns if c == "run_id"]
+
+
 def grouped(raw: DataFrame) -> DataFrame:
-    """Raw records with their account's group: the user id, else the id of the handle's other records, else the handle, else the record."""
-    both = raw.filter("user_id IS NOT NULL AND handle IS NOT NULL").groupBy("source", F.lower("handle").alias("low")).agg(F.max_by("user_id", F.struct("fetched_at", "id")).alias("alias"))
-    r = raw.withColumn("low_handle", F.lower("handle")).join(both.withColumnRenamed("source", "s"), (F.col("source") == F.col("s")) & (F.col("low_handle") == F.col("low")), "left")
+    """Raw records with their account's group within their run: the user id, else the id of the handle's other records, else the handle, else the record."""
+    run = runs_of(raw)
+    both = raw.filter("user_id IS NOT NULL AND handle IS NOT NULL").groupBy(*[F.col(c).alias(f"of_{c}") for c in run], F.col("source").alias("s"), F.lower("handle").alias("low")).agg(F.max_by("user_id", F.struct("fetched_at", "id")).alias("alias"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in run]
+    r = raw.withColumn("low_handle", F.lower("handle")).join(both, [F.col("source") == F.col("s"), F.col("low_handle") == F.col("low"), *same], "left")
     key = F.coalesce(F.concat(F.lit("id:"), F.coalesce("user_id", "alias")), F.concat(F.lit("handle:"), F.col("low_handle")), F.concat(F.lit("raw:"), F.col("id").cast("string")))
-    return r.withColumn("account_group", key).drop("s", "low", "low_handle", "alias")
+    return r.withColumn("account_group", key).drop("s", "low", "low_handle", "alias", *[f"of_{c}" for c in run])
 
 
 def latest(raw: DataFrame) -> DataFrame:
-    """(source, account_group, payloads, raw_record_ids): the last payload of each record type, and the ids of all records."""
-    each = grouped(raw).groupBy("source", "account_group", "record_type").agg(F.max_by("payload", F.struct("fetched_at", "id")).alias("payload"), F.collect_list("id").alias("ids"))
-    return each.groupBy("source", "account_group").agg(F.map_from_entries(F.collect_list(F.struct("record_type", "payload"))).alias("payloads"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("raw_record_ids"))
+    """(run_id if raw has it, source, account_group, payloads, raw_record_ids): the last payload of each record type, and the ids of all records."""
+    run = runs_of(raw)
+    each = grouped(raw).groupBy(*run, "source", "account_group", "record_type").agg(F.max_by("payload", F.struct("fetched_at", "id")).alias("payload"), F.collect_list("id").alias("ids"))
+    return each.groupBy(*run, "source", "account_group").agg(F.map_from_entries(F.collect_list(F.struct("record_type", "payload"))).alias("payloads"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("raw_record_ids"))
 
 
 def _part(kind: str, ddl: str):
@@ -70,7 +78,7 @@ def github(p: DataFrame) -> DataFrame:
     repo = lambda x: F.struct(text.clean(x["name"]).alias("name"), text.clean(x["full_name"]).alias("full_name"), x["html_url"].alias("html_url"), text.clean(x["language"]).alias("language"), x["stargazers_count"].alias("stars"), x["fork"].alias("fork"), x["updated_at"].alias("updated_at"))
     starred = F.transform(F.slice(F.array_sort(F.transform(r, lambda x, i: F.struct((-F.coalesce(x["stargazers_count"], F.lit(0))).alias("o"), i.alias("i"), repo(x).alias("row")))), 1, 10), lambda s: s["row"])
     done = _activity(public_repos=u["public_repos"], followers=u["followers"], following=u["following"], top_languages=text.top_values(languages), repo_count_fetched=F.size(r), top_repositories=starred)
-    return p.select(F.lit("github").alias("source"), u["id"].cast("string").alias("user_id"), u["login"].alias("handle"), F.coalesce(text.clean(u["name"]), u["login"]).alias("display_name"), text.clean(u["bio"]).alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["blog"]).alias("website_url"), text.normalize_url(F.coalesce(u["html_url"], F.concat(F.lit("https://github.com/"), u["login"]))).alias("profile_url"), u["avatar_url"].alias("avatar_url"), topics.alias("topics"), links.alias("outbound_links"), done, "raw_record_ids")
+    return p.select(*runs_of(p), F.lit("github").alias("source"), u["id"].cast("string").alias("user_id"), u["login"].alias("handle"), F.coalesce(text.clean(u["name"]), u["login"]).alias("display_name"), text.clean(u["bio"]).alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["blog"]).alias("website_url"), text.normalize_url(F.coalesce(u["html_url"], F.concat(F.lit("https://github.com/"), u["login"]))).alias("profile_url"), u["avatar_url"].alias("avatar_url"), topics.alias("topics"), links.alias("outbound_links"), done, "raw_record_ids")
 
 
 def stackoverflow(p: DataFrame) -> DataFrame:
@@ -80,7 +88,7 @@ def stackoverflow(p: DataFrame) -> DataFrame:
     asked, answered = (_flat(F.col(c), lambda x: x["tags"]) for c in "qa")
     name = text.clean(fuzzy.html_unescape(u["display_name"]))
     done = _activity(reputation=u["reputation"], badge_counts=u["badge_counts"], answers_count_fetched=F.size("a"), questions_count_fetched=F.size("q"), top_question_tags=text.top_values(asked), top_answer_tags=text.top_values(answered))
-    return p.select(F.lit("stackoverflow").alias("source"), u["user_id"].cast("string").alias("user_id"), name.alias("handle"), name.alias("display_name"), F.lit(None).cast("string").alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["website_url"]).alias("website_url"), text.normalize_url(F.coalesce(u["link"], F.concat(F.lit("https://stackoverflow.com/users/"), u["user_id"].cast("string")))).alias("profile_url"), u["profile_image"].alias("avatar_url"), _topics(asked, answered).alias("topics"), _links(F.array(text.normalize_url(u["website_url"]))).alias("outbound_links"), done, "raw_record_ids")
+    return p.select(*runs_of(p), F.lit("stackoverflow").alias("source"), u["user_id"].cast("string").alias("user_id"), name.alias("handle"), name.alias("display_name"), F.lit(None).cast("string").alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["website_url"]).alias("website_url"), text.normalize_url(F.coalesce(u["link"], F.concat(F.lit("https://stackoverflow.com/users/"), u["user_id"].cast("string")))).alias("profile_url"), u["profile_image"].alias("avatar_url"), _topics(asked, answered).alias("topics"), _links(F.array(text.normalize_url(u["website_url"]))).alias("outbound_links"), done, "raw_record_ids")
 
 
 def tags_of(v):
@@ -100,7 +108,7 @@ def devto(p: DataFrame) -> DataFrame:
     linked = F.struct(text.clean(u["github_username"]).alias("github"), text.clean(u["twitter_username"]).alias("twitter"))
     done = _activity(articles_count_fetched=F.size(r), top_tags=text.top_values(F.col("t")), recent_articles=F.slice(F.transform(r, article), 1, 10), linked_usernames=linked)
     bio = text.clean(text.strip_tags(fuzzy.html_unescape(u["summary"])))
-    return p.select(F.lit("devto").alias("source"), F.coalesce(u["id"].cast("string"), u["username"]).alias("user_id"), u["username"].alias("handle"), F.coalesce(text.clean(u["name"]), u["username"]).alias("display_name"), bio.alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["website_url"]).alias("website_url"), text.normalize_url(F.coalesce(u["url"], F.concat(F.lit("https://dev.to/"), u["username"]))).alias("profile_url"), F.coalesce(u["profile_image"], u["profile_image_90"]).alias("avatar_url"), _topics(F.col("t")).alias("topics"), links.alias("outbound_links"), done, "raw_record_ids")
+    return p.select(*runs_of(p), F.lit("devto").alias("source"), F.coalesce(u["id"].cast("string"), u["username"]).alias("user_id"), u["username"].alias("handle"), F.coalesce(text.clean(u["name"]), u["username"]).alias("display_name"), bio.alias("bio"), text.clean(u["location"]).alias("location"), text.normalize_url(u["website_url"]).alias("website_url"), text.normalize_url(F.coalesce(u["url"], F.concat(F.lit("https://dev.to/"), u["username"]))).alias("profile_url"), F.coalesce(u["profile_image"], u["profile_image_90"]).alias("avatar_url"), _topics(F.col("t")).alias("topics"), links.alias("outbound_links"), done, "raw_record_ids")
 
 
 def hackernews(p: DataFrame) -> DataFrame:
@@ -113,7 +121,7 @@ def hackernews(p: DataFrame) -> DataFrame:
     hit = lambda x: F.struct(x["objectID"].alias("object_id"), title(x).alias("title"), x["url"].alias("url"), x["created_at"].alias("created_at"), x["points"].alias("points"), F.when(has(x, "comment"), "comment").when(has(x, "story"), "story").alias("type"))
     n = lambda tag: F.size(F.filter(h, lambda x: has(x, tag)))
     done = _activity(karma=u["karma"], created_at=u["created_at"], activity_count_fetched=F.size(h), comments_count_fetched=n("comment"), stories_count_fetched=n("story"), recent_activity=F.slice(F.transform(h, hit), 1, 10), weak_identity_source=F.lit(True))
-    return p.select(F.lit("hackernews").alias("source"), u["username"].alias("user_id"), u["username"].alias("handle"), u["username"].alias("display_name"), about.alias("bio"), F.lit(None).cast("string").alias("location"), F.get(text.extract_urls(about, 5), 0).alias("website_url"), F.concat(F.lit("https://news.ycombinator.com/user?id="), u["username"]).alias("profile_url"), F.lit(None).cast("string").alias("avatar_url"), counted.alias("topics"), text.extract_urls(about, 5).alias("outbound_links"), done, "raw_record_ids")
+    return p.select(*runs_of(p), F.lit("hackernews").alias("source"), u["username"].alias("user_id"), u["username"].alias("handle"), u["username"].alias("display_name"), about.alias("bio"), F.lit(None).cast("string").alias("location"), F.get(text.extract_urls(about, 5), 0).alias("website_url"), F.concat(F.lit("https://news.ycombinator.com/user?id="), u["username"]).alias("profile_url"), F.lit(None).cast("string").alias("avatar_url"), counted.alias("topics"), text.extract_urls(about, 5).alias("outbound_links"), done, "raw_record_ids")
 
 
 #: What makes accounts of a platform's payloads; further platforms are added here.
@@ -121,10 +129,11 @@ NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {"github": github, "s
 
 
 def normalize(raw: DataFrame) -> DataFrame:
-    """Accounts of raw records (id, source, record_type, user_id, handle, payload, fetched_at); unknown sources and bad JSON give none."""
+    """Accounts of raw records (id, source, record_type, user_id, handle, payload, fetched_at); unknown sources and bad JSON give none. With a run_id,
+    records are put together within a run only, and the accounts have it as well: an account that two requests ask for is one of each."""
     last, out = latest(raw), None
     for source, f in NORMALIZERS.items():
-        part = f(last.filter(F.col("source") == source)).select(*COLUMNS)
+        part = f(last.filter(F.col("source") == source)).select(*runs_of(raw), *COLUMNS)
         out = part if out is None else out.unionByName(part)
     return out.withColumn("account_key", text.account_key(F.col("source"), F.col("user_id"), F.col("handle")))
 

@@ -68,3 +68,17 @@ def test_bundles(spark):
     assert (g.user_id, g.handle, g.payload, g.profile_url) == ("4", "Real", "[]", "https://github.com/Real") and g.request_url.startswith("https://api.github.com/users/Real/repos?")
     assert got["stackoverflow", "questions"].payload == '{"items":[]}' and got["stackoverflow", "user"].user_id == "9" and got["stackoverflow", "user"].profile_url == "https://stackoverflow.com/users/9"
     assert (got["devto", "user"].payload, got["devto", "user"].handle, got["hackernews", "activity"].user_id) == ("{}", "y", "z")
+
+
+def test_runs_stay_apart(spark):
+    """One name in two requests: an account of each, with its own last payload and records; a handle's id holds within a request."""
+    rows = [
+        (1, 1, "hackernews", "user", "ann", "ann", json.dumps({"username": "ann", "about": "of one"}), 1), (2, 2, "hackernews", "user", "ann", "ann", json.dumps({"username": "ann", "about": "of two"}), 2),
+        (3, 1, "devto", "user", "7", "Bo", json.dumps({"id": 7, "username": "Bo"}), 1), (4, 2, "devto", "articles", None, "bo", "[]", 2),
+    ]
+    raw = spark.createDataFrame(rows, "id long, run_id long, source string, record_type string, user_id string, handle string, payload string, fetched_at long")
+    got = {(r.run_id, r.source): r for r in accounts.normalize(raw).collect()}
+    assert {k: r.raw_record_ids for k, r in got.items()} == {(1, "hackernews"): [1], (2, "hackernews"): [2], (1, "devto"): [3]}
+    assert (got[1, "hackernews"].bio, got[2, "hackernews"].bio) == ("of one", "of two")
+    assert {(r.id, r.account_group) for r in accounts.grouped(raw).collect() if r.source == "devto"} == {(3, "id:7"), (4, "handle:bo")}
+    assert {r.account_group for r in accounts.grouped(raw.drop("run_id")).collect() if r.source == "devto"} == {"id:7"}
