@@ -144,3 +144,14 @@ def test_request_fields_may_be_profile_urls(spark):
         df = spark.createDataFrame([(raw,) for raw, _ in rows], "raw string")
         got = [r[0] for r in df.select(discovery.requested(source, F.col("raw"))).collect()]
         assert got == [want for _, want in rows], source
+
+
+def test_small_files_become_many_tasks(spark):
+    """Accounts and requests that lie in one partition are dealt by run before the work on them."""
+    from pyspark.sql import functions as F
+
+    raw = spark.range(0, 40, 1, 1).select((F.col("id") % 10).alias("run_id"), *[F.col("id").cast("string").alias(c) for c in ("account_key", "source", "user_id", "handle", "display_name", "location", "website_url", "profile_url", "email_hash", "email_domain", "bio")], F.array(F.lit("a")).alias("topics"), F.array(F.lit("b")).alias("outbound_links"))
+    asked = raw.select("run_id", *[F.col("handle").alias(c) for c in ("name", "github", "devto", "hackernews", "stackoverflow")], "email_hash", "email_domain").dropDuplicates(["run_id"]).coalesce(1)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [run_id" in plan(resolve.normalized(raw))
+    assert plan(resolve.request_evidence(resolve.normalized(raw), asked)).count("RepartitionByExpression [run_id") == 2
