@@ -1,7 +1,7 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Each word gives its hashed character n-grams and itself to a bag of BUCKETS hashed features. The raw multinomial counts the
-features of all documents, the target those of trusted ones, at most TRUSTED of them (by a hash of the id). A document's
+features of all documents, the target those of all trusted ones, whose texts are found by a join of ids. A document's
 score is the mean of log(target / raw) over its features, so that length doesn't count. A fixed share (LOST) of the trusted documents
 falls short of a score; the threshold is as far below that as that is below their median. Every document is held against it.
 
@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import Ids, batches, checkpoint, mix64, sample_ids
+from .common import Ids, batches, checkpoint, flagged, mix64
 
 BUCKETS, SIZES = 1 << 16, (1, 2, 3)
-TRUSTED, LOST = 20_000, 0.003
+LOST = 0.003
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 #: Words that are gathered before the work on distinct ones is done.
 CHUNK = 500_000
@@ -78,36 +78,57 @@ def _chunks(it):
         yield ids, texts, parts, list(seen)
 
 
-def _counts(trusted: frozenset):
-    def run(it):
-        sums = np.zeros((2, BUCKETS))
-        for ids, _, parts, words in _chunks(it):
-            at, of = grams.hashed(words, SIZES, BUCKETS)
-            for k, held in enumerate((parts, [p for i, p in zip(ids, parts) if i in trusted])):
-                n = np.bincount(np.concatenate(held), minlength=len(words)) if held else np.zeros(len(words))
-                sums[k] += np.bincount(at, n[of], BUCKETS)
-        used = np.flatnonzero(sums[0])
-        if len(used):
-            yield pa.RecordBatch.from_pydict({"bucket": used.astype(np.int32), "raw": sums[0][used].astype(np.int64), "target": sums[1][used].astype(np.int64)})
-
-    return run
-
-
-def ratios(docs: DataFrame, trusted: frozenset) -> np.ndarray:
-    """log(target / raw) of each bucket, over all documents; smoothed by half a count. The driver gets a row for each bucket."""
-    rows = docs.mapInArrow(_counts(trusted), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.full(BUCKETS, 0.5), np.full(BUCKETS, 0.5)
-    raw[rows["bucket"]] += rows["raw"]
-    target[rows["bucket"]] += rows["target"]
-    if not trusted or not rows["target"].sum():
+def _counts(it):
+    sums = np.zeros(BUCKETS)
+    for _, _, parts, words in _chunks(it):
+        at, of = grams.hashed(words, SIZES, BUCKETS)
+        n = np.bincount(np.concatenate(parts), minlength=len(words))
+        sums += np.bincount(at, n[of], BUCKETS)
+    used = np.flatnonzero(sums)
+    if len(used):
+        yield pa.RecordBatch.from_pydict({"bucket": used.astype(np.int32), "n": sums[used].astype(np.int64)})
+
+
+def _counted(docs: DataFrame) -> np.ndarray:
+    """How often each bucket's features are found, and half a count. The driver gets a row for each bucket."""
+    rows, out = docs.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas(), np.full(BUCKETS, 0.5)
+    out[rows["bucket"]] += rows["n"]
+    return out
+
+
+def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """log(target / raw) of each bucket, over all documents and all those with a trusted doc_id. Texts that a filter of ids rules out aren't shuffled;
+    the ids are never broadcast, as they grow with the documents."""
+    may = flagged(docs, F.col("doc_id"), trusted, "maybe").filter("maybe").drop("maybe")
+    target = _counted(may.join(trusted.hint("merge"), "doc_id", "left_semi"))
+    if target.sum() == BUCKETS / 2:
         return np.zeros(BUCKETS)
+    raw = _counted(docs)
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("score", pa.float64()), ("trusted", pa.bool_())])
+def percentiles(values: DataFrame, shares: tuple[float, ...]) -> list[float] | None:
+    """Exact percentiles, between two values as Spark's percentile() has them, of the one column of doubles; null without any. The values are
+    sorted by ranges and those at the ranks picked from their partitions, so no task has them all."""
+    c = values.columns[0]
+    ordered = checkpoint(values.orderBy(c))
+    counts = dict(ordered.groupBy(F.spark_partition_id().alias("part")).count().collect())
+    total = sum(counts.values())
+    if not total:
+        return None
+    spots = [share * (total - 1) for share in shares]
+    ranks, name, before = sorted({int(f(x)) for x in spots for f in (np.floor, np.ceil)}), {}, 0
+    for part in sorted(counts):  # a row's id: its partition in the upper bits, its place there in the lower 33
+        name |= {(part << 33) + k - before: k for k in ranks if before <= k < before + counts[part]}
+        before += counts[part]
+    found = {name[r["at"]]: r[c] for r in ordered.withColumn("at", F.monotonically_increasing_id()).filter(F.col("at").isin(*name)).collect()}
+    return [found[int(np.floor(x))] + (x - np.floor(x)) * (found[int(np.ceil(x))] - found[int(np.floor(x))]) for x in spots]
+
+
+_ROWS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("score", pa.float64())])
 
 
-def _scores(ratio: np.ndarray, trusted: frozenset):
+def _scores(ratio: np.ndarray):
     def rows(it):
         for ids, texts, parts, words in _chunks(it):
             at, of = grams.hashed(words, SIZES, BUCKETS)
@@ -116,20 +137,18 @@ def _scores(ratio: np.ndarray, trusted: frozenset):
             for doc_id, text, p in zip(ids, texts, parts):
                 c = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
                 score = float(total[p].sum() / n[p].sum()) if len(p) else 0.0
-                yield doc_id, len(p), int(c[CHARACTERS].sum()), int(c[SYMBOLS].sum()), repeated_lines(text), repeated_words(keys[p]), score, doc_id in trusted
+                yield doc_id, len(p), int(c[CHARACTERS].sum()), int(c[SYMBOLS].sum()), repeated_lines(text), repeated_words(keys[p]), score
 
     return lambda it: batches(rows(it), _ROWS)
 
 
-def judge(docs: DataFrame, labels: DataFrame, max_trusted: int = TRUSTED, lost: float = LOST) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, lost: float = LOST) -> DataFrame:
     """Counts, score, base_failed and kept of each document. Trusted: quality 1 in labels (doc_id, quality)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # at most max_trusted ids go to the driver and the tasks
-    ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
-    trusted = frozenset(r[0] for r in sample_ids(ids, max_trusted).collect())
-    scored = checkpoint(docs.mapInArrow(_scores(ratios(docs, trusted), trusted), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, trusted boolean"))
+    trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
+    scored = checkpoint(docs.mapInArrow(_scores(ratios(docs, trusted)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    low, middle = scored.filter("trusted AND NOT base_failed").agg(F.expr(f"percentile(score, {lost})"), F.expr("percentile(score, 0.5)")).first()
-    least = float("-inf") if low is None else float(low) - (float(middle) - float(low))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least))).drop("trusted")
+    at = percentiles(scored.filter("NOT base_failed").join(trusted, "doc_id", "left_semi").select("score"), (lost, 0.5))
+    least = float("-inf") if at is None else at[0] - (at[1] - at[0])
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))

@@ -388,3 +388,15 @@ def test_vectors_of_any_size(spark):
         hits += len(set(best) & {i for i, _ in found})
         assert all(v == s[i] for i, v in found) and not any(np.isnan(v) for _, v in found)
     assert hits >= 0.95 * 20 * len(got)
+
+
+def test_all_trusted_documents_count(spark):
+    """However many ids are trusted, each of their documents counts; percentiles are those of Spark's own function."""
+    texts = [" ".join(f"w{i % 7}{j * i % 11}x" for j in range(30)) for i in range(40)]
+    few = spark.range(0, 40, 3).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    many = few.unionByName(spark.range(100, 60_100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    a, b = ({r["doc_id"]: (r["score"], r["kept"]) for r in quality.judge(docs(spark, texts), x).collect()} for x in (few, many))
+    assert a == b and len(a) == 40 and len({x for x, _ in a.values()}) > 1
+    values = spark.range(0, 1001, 1, 7).select((F.col("id") * 37 % 101 / F.lit(7.0)).alias("v"))
+    expected = values.agg(F.expr("percentile(v, 0.003)"), F.expr("percentile(v, 0.5)")).first()
+    assert quality.percentiles(values, (0.003, 0.5)) == pytest.approx(list(expected)) and quality.percentiles(values.limit(0), (0.5,)) is None
