@@ -98,10 +98,12 @@ def _sure(name: str) -> Column:
 
 
 def _best_group(df: DataFrame, key: str, *order) -> DataFrame:
-    """Rows of each run's best group: order takes the group's aggregates as columns n, conf, rel, prio and len."""
-    g = df.groupBy("run_id", key).agg(F.count(F.lit(1)).alias("n"), F.max("field_confidence").alias("conf"), F.max("relation_rank").alias("rel"), F.max("prio").alias("prio_g"), F.max(F.length("value")).alias("len"), F.min("bundle_rank").alias("first_rank"))
-    top = g.withColumn("at", F.row_number().over(Window.partitionBy("run_id").orderBy(*order, F.asc("first_rank")))).filter("at = 1").select("run_id", key, "n", "conf")
-    return df.join(top, ["run_id", key])
+    """Rows of each run's best group: order takes the group's aggregates as columns n, conf, rel, prio_g and len. Windows within a run, so that what is
+    dealt by run stays where it is; a group's first bundle_rank is its own, so just its rows come first."""
+    own = Window.partitionBy("run_id", key)
+    g = {"n": F.count(F.lit(1)), "conf": F.max("field_confidence"), "rel": F.max("relation_rank"), "prio_g": F.max("prio"), "len": F.max(F.length("value")), "first_rank": F.min("bundle_rank")}
+    ranked = df.withColumns({name: x.over(own) for name, x in g.items()}).withColumn("at", F.rank().over(Window.partitionBy("run_id").orderBy(*order, F.asc("first_rank"))))
+    return ranked.filter("at = 1").drop("at", "rel", "prio_g", "len", "first_rank")
 
 
 def display_name(b: DataFrame) -> DataFrame:
@@ -197,9 +199,9 @@ def skills(b: DataFrame, limit: int = 30) -> DataFrame:
     return g.withColumn("skill_rank", F.row_number().over(order)).filter(F.col("skill_rank") <= limit).select("run_id", skill_label(F.col("term")).alias("skill"), (F.col("points") / 100).alias("weight"), "n_sources", "skill_rank")
 
 
-def profiles(linked: DataFrame, accounts: DataFrame) -> DataFrame:
-    """A golden record for each run; runs without an accepted account have null fields and level `uncertain`."""
-    b = bundles(linked, accounts)
+def profiles(linked: DataFrame, accounts: DataFrame, b: DataFrame | None = None) -> DataFrame:
+    """A golden record for each run; runs without an accepted account have null fields and level `uncertain`. b: their bundles(), if they are at hand."""
+    b = bundles(linked, accounts) if b is None else b
     top = skills(b).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("skill_rank", "skill"))), lambda s: s["skill"]), ", ").alias("skills"))
     per_run = b.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_accounts"), F.max("confidence").alias("top_link"), F.max("evidence_confidence").alias("top_evidence"), F.max("field_confidence").alias("top_field"))
     out = linked.select("run_id").distinct().join(per_run, "run_id", "left")
