@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import text
 from kinloom.operators import golden, resolve
-from kinloom.plans.queries import dealt
+from kinloom.plans.queries import KEPT, dealt, kept, resolution
 
 ROWS = "run_id long, account_key string, source string, handle string, display_name string, location string, website_url string, bio string, field_confidence decimal(6,4), relation_rank int, source_rank int, bundle_rank int"
 
@@ -26,6 +26,31 @@ def test_what_is_dealt_by_run_is_not_shuffled_again(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == before == "true"
 
 
+def test_stages_of_a_resolution_stay_where_they_are(spark):
+    r = resolution(spark, "/root/testdata/sf0.001")
+    names, before = ("requests", "accounts", "evidence", "conflicts", "account_scores", "pair_scores", "decided", "bundles"), {n: spark.conf.get(n) for n in KEPT}
+    for name in names:
+        own = getattr(r, name)
+        plan = own._jdf.queryExecution().executedPlan()
+        held = [a.toString() for a in (plan.output().apply(i) for i in range(plan.output().size())) if a.name() == "run_id"]
+        assert plan.outputPartitioning().toString().startswith(f"hashpartitioning({held[0]}, "), name
+        assert "Exchange" not in own.groupBy("run_id").count()._jdf.queryExecution().executedPlan().toString(), name
+    assert {n: spark.conf.get(n) for n in KEPT} == before
+
+
+def test_rows_of_a_view_keep_how_they_are_dealt(spark):
+    spark.sql("SELECT id % 3 AS k, id FROM range(30)").createOrReplaceTempView("dealt_view")
+    made = dealt(spark.sql("WITH a AS (SELECT k AS run_id, id FROM dealt_view), b AS (SELECT a.* FROM a) SELECT run_id, id FROM b"), "run_id", "run_id", "id")
+    both = made.join(made.select("run_id", "id", (F.col("id") + 1).alias("more")), ["run_id", "id"])
+    assert made.columns == ["run_id", "id"] and sorted(map(tuple, made.collect())) == sorted((i % 3, i) for i in range(30))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in made.groupBy("run_id").count()._jdf.queryExecution().executedPlan().toString()
+        assert kept(both).count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_signals_are_told_without_lambdas(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, None, "b")], "run_id long, x string, y string")
     made = resolve._unpivot(df, resolve._signal("same_website", F.col("x").isNotNull(), F.col("x"), F.col("y"), F.col("x")), resolve._signal("same_location", F.col("x") > "z", F.col("x"), F.col("y"), F.col("x")))
