@@ -64,3 +64,14 @@ def test_names_and_blanks(spark):
     assert [r[0] for r in df.orderBy("i").select(text.normalize_name(F.col("t"))).collect()] == list(given.values())
     assert [r[0] for r in df.orderBy("i").select(text.blank_to_null(F.col("t"))).collect()] == [t or None for t in given]
     assert "lambda" not in df.select(text.blank_to_null(F.col("t")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_ratios_of_handles_need_no_shuffle(spark):
+    from kinloom.functions import fuzzy
+    from kinloom.plans.queries import QUERIES
+
+    made = QUERIES["handle_indel_similarity"](spark, "/root/testdata/sf0.001")
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame([(1, "ab", "b"), (2, "b", "ab"), (3, None, "b"), (4, "b", None), (5, None, None), (6, "a", "a"), (7, "", ""), (8, "", "a")], "i int, a string, b string")
+    got, want = fuzzy.with_indel_ratio(df, "a", "b", "ratio"), fuzzy.by_distinct_pair(df, "a", "b", fuzzy.indel_ratio, "ratio")
+    assert sorted(got.collect(), key=lambda r: r.i) == sorted(want.collect(), key=lambda r: r.i)
