@@ -78,6 +78,18 @@ def test_similarity_join_equals_brute_force(spark):
         assert len(want) > 30 and {(r.a, r.b) for r in fuzzy.similar_pairs(df, percent).collect()} == want
 
 
+def test_a_common_ending_makes_no_candidates(spark):
+    rnd = random.Random(2)
+    values = {"".join(rnd.choice("abcdefgh12345678") for _ in range(size)) + "_dev" for size in [7] * 150 + [8] * 150 + [22] * 150}
+    near = {v[:3] + v[4:] for v in list(values)[:40]} | {v[1] + v[0] + v[2:] for v in list(values)[:40]} | {"zz" + v for v in list(values)[:40]} | {"x" + v[1:] for v in values if len(v) == 11} | {v[:-3] for v in list(values)[:40]} | {"q" + v[:9] + "q" + v[9:] for v in values if len(v) > 20}
+    values |= near
+    want = {(a, b): fuzzy.indel(a, b) for a in values for b in values if (len(a), a) < (len(b), b) and fuzzy.indel(a, b) >= 90}
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    met = fuzzy.meeting_pairs(df).collect()
+    assert len(met) == len({(r.a, r.b) for r in met}) and len(want) > 300 and len(met) < len(want) + 50
+    assert {(r.a, r.b): r.ratio for r in fuzzy.similar_pairs(df).collect()} == want
+
+
 def test_pairs_are_worked_out_once_and_joined_back(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, "b", "a"), (3, None, "b"), (4, "b", None), (5, None, None), (6, "a", "a")], "i int, a string, b string")
     got = fuzzy.by_distinct_pair(df, "a", "b", fuzzy.indel_ratio, "ratio")
