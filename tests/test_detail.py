@@ -90,6 +90,16 @@ def test_a_common_ending_makes_no_candidates(spark):
     assert {(r.a, r.b): r.ratio for r in fuzzy.similar_pairs(df).collect()} == want
 
 
+def test_long_and_odd_values_have_partners_too(spark):
+    long = "".join(chr(97 + i * i % 23) for i in range(1500))
+    values = {long, long[:700] + "-" + long[720:], "\U0001f600" * 9 + "a", "\U0001f600" * 9 + "b", "\u00e9" * 12, "\u00e9" * 13, "a" * 9, "   ", "    "}
+    want = {(a, b): fuzzy.indel(a, b) for a in values for b in values if (len(a), a) < (len(b), b) and fuzzy.indel(a, b) >= 90}
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), ("",)], "value string")
+    assert len(want) == 3 and {(r.a, r.b): r.ratio for r in fuzzy.similar_pairs(df).collect()} == want
+    alone = spark.createDataFrame([(long * 4,), ("abc",)], "value string")  # nothing is made of a length that no partner has
+    assert fuzzy.similar_pairs(alone).count() == 0
+
+
 def test_pairs_are_worked_out_once_and_joined_back(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, "b", "a"), (3, None, "b"), (4, "b", None), (5, None, None), (6, "a", "a")], "i int, a string, b string")
     got = fuzzy.by_distinct_pair(df, "a", "b", fuzzy.indel_ratio, "ratio")
